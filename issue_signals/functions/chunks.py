@@ -5,13 +5,13 @@ Tokens are white-space tokens unless the caller brings a tokenizer. No token is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, squeeze
+from .text import col, let
 
 SPLITTERS = {
     "sentence": r"(?<=[\.\n])\s+",
@@ -19,6 +19,8 @@ SPLITTERS = {
     "newline": r"\n",
 }
 
+TOKEN = r"(?U)[^\s\x1c-\x1f]+"
+
 Tokenizer = tuple[Callable[[str], list], Callable[[list], str]]
 
 
@@ -27,22 +29,23 @@ def pieces(text: Column | str, strategy: str = "sentence") -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    return F.filter(F.split(squeeze(col(text)), " "), lambda t: t != "")
+    return F.regexp_extract_all(col(text), F.lit(TOKEN), F.lit(0))
 
 
 def token_count(text: Column | str) -> Column:
-    return F.size(tokens(text))
+    return F.regexp_count(col(text), F.lit(TOKEN))
 
 
 def token_windows(text: Column | str, size: Column | int) -> Column:
     """Consecutive windows of size tokens, the last one shorter; blank text has none."""
     width = F.lit(size) if isinstance(size, int) else size
-    all_tokens = tokens(text)
-    count = F.size(all_tokens)
-    starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)), width)
-    return F.when(
-        count > 0, F.transform(starts, lambda i: F.array_join(F.slice(all_tokens, i, width), " "))
-    ).otherwise(F.array().cast("array<string>"))
+
+    def windows(all_tokens: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_tokens), width)
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(all_tokens, i, width), " "))
+        return F.when(F.size(all_tokens) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens(text), windows)
 
 
 def token_budget(prompt_tokens: Column | int, model_limit: int = 8192, reserve: int = 8) -> Column:
@@ -53,10 +56,13 @@ def token_budget(prompt_tokens: Column | int, model_limit: int = 8192, reserve:
 
 def fit_context(text: Column | str, context: int, answer_tokens: int = 2) -> Column:
     """The trailing tokens that leave room for the answer."""
-    all_tokens = tokens(text)
-    keep = F.least(F.size(all_tokens), F.lit(context - answer_tokens))
-    start = F.size(all_tokens) - keep + F.lit(1)
-    return F.when(keep > 0, F.array_join(F.slice(all_tokens, start, keep), " ")).otherwise(F.lit(""))
+
+    def tail(all_tokens: Column) -> Column:
+        keep = F.least(F.size(all_tokens), F.lit(context - answer_tokens))
+        last = F.slice(all_tokens, F.size(all_tokens) - keep + F.lit(1), keep)
+        return F.when(keep > 0, F.array_join(last, " ")).otherwise(F.lit(""))
+
+    return let(tokens(text), tail)
 
 
 def trim_ends(text: Column) -> Column:
@@ -69,8 +75,6 @@ def packed_chunks(text: Column | str, max_tokens: int, strategy: str = "sentence
     A piece above the budget stays whole, as a chunk of its own. The fold over the pieces keeps
     only where each chunk starts, so its state grows with the chunks and not with the text.
     """
-    kept = F.filter(pieces(text, strategy), lambda p: token_count(p) > 0)
-    counted = F.transform(kept, lambda p, i: F.struct(token_count(p).alias("n"), (i + 1).alias("place")))
     start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -80,12 +84,22 @@ def packed_chunks(text: Column | str, max_tokens: int, strategy: str = "sentence
             F.when(fits, acc["used"] + p["n"]).otherwise(p["n"]).alias("used"),
         )
 
-    starts = F.aggregate(counted, start, step, lambda acc: acc["starts"])
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(0))), F.array(F.size(kept) + 1))
-    chunks = F.zip_with(
-        starts, ends, lambda a, b: trim_ends(F.array_join(F.slice(kept, a, F.coalesce(b - a, F.lit(0))), " "))
+    def cut(c: Column) -> Column:
+        kept, starts = c["kept"], c["starts"]
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(kept) + 1))
+        return F.zip_with(starts, ends, lambda a, b: trim_ends(F.array_join(F.slice(kept, a, b - a), " ")))
+
+    def pack(counted: Column) -> Column:
+        starts = F.aggregate(counted, start, step, lambda acc: acc["starts"])
+        found = F.struct(F.transform(counted, lambda p: p["piece"]).alias("kept"), starts.alias("starts"))
+        return F.when(F.size(counted) > 0, let(found, cut)).otherwise(F.array().cast("array<string>"))
+
+    measured = F.transform(pieces(text, strategy), lambda p: F.struct(p.alias("piece"), token_count(p).alias("n")))
+    counted = F.transform(
+        F.filter(measured, lambda p: p["n"] > 0),
+        lambda p, i: F.struct(p["piece"].alias("piece"), p["n"].alias("n"), (i + 1).alias("place")),
     )
-    return F.when(F.size(starts) > 0, chunks).otherwise(F.array().cast("array<string>"))
+    return let(counted, pack)
 
 
 def _white_space() -> Tokenizer:
@@ -135,8 +149,3 @@ def line_chunker(
             )
 
     return chunk
-
-
-def polarity_hits(text: Column | str, words: Sequence[str]) -> Column:
-    """How many tokens of the text are in the word list."""
-    return F.size(F.filter(tokens(F.lower(col(text))), lambda t: t.isin(list(words))))

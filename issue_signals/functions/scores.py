@@ -8,15 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import LABELLING_THRESHOLDS
-from .text import col
+from .text import col, let
 
 
 def softmax(logits: Column | str) -> Column:
-    x = col(logits)
-    top = F.array_max(x)
-    powers = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(powers, lambda v: v / total)
+    def powers(x: Column) -> Column:
+        return let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+
+    def shares(p: Column) -> Column:
+        return let(F.aggregate(p, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(p, lambda v: v / total))
+
+    return let(let(col(logits), powers), shares)
 
 
 def entailment(logits: Column | str, index: int | None = None) -> Column:

@@ -6,7 +6,7 @@ Texts are taken whole; where a model has an input limit the caller passes max_ch
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,12 +25,19 @@ from ..fixed_values import (
 
 # Unicode white space plus the four separators that Python also counts as white space.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value computed once. A plain Column used several times, or inside a lambda, would be
+    computed anew at each use and for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cap(text: Column, max_chars: int | None) -> Column:
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
@@ -69,7 +76,7 @@ def is_valid_text(text: Column | str) -> Column:
     non_ascii = F.length(F.regexp_replace(t, r"[\x00-\x7F]+", ""))
     unknown = F.regexp_count(t, F.lit(r"\[UNK\]"))
     return F.coalesce(
-        (squeeze(t) != "") & (unknown <= 5) & (non_ascii <= F.lit(0.30) * F.length(t)), F.lit(False)
+        F.rlike(t, F.lit(NOT_SPACE)) & (unknown <= 5) & (non_ascii <= F.lit(0.30) * F.length(t)), F.lit(False)
     )
 
 
@@ -82,24 +89,30 @@ def clean_for_sentiment(text: Column | str, max_chars: int | None = None) -> Col
 
 def content_type(text: Column | str, words: dict[str, Sequence[str]] = CONTENT_TYPE_WORDS) -> Column:
     """First type, in the order of the table, with a word inside the text; else general."""
-    lowered = F.lower(col(text))
-    hits = [F.when(any_substring(lowered, ws), F.lit(name)) for name, ws in words.items()]
-    return F.coalesce(*hits, F.lit("general"))
+
+    def first_hit(lowered: Column) -> Column:
+        hits = [F.when(any_substring(lowered, ws), F.lit(name)) for name, ws in words.items()]
+        return F.coalesce(*hits, F.lit("general"))
+
+    return let(F.lower(col(text)), first_hit)
 
 
 def _attribute_words(attribute: Column) -> Column:
-    """Long words of a multi-word attribute; empty for a single word."""
+    """struct(phrase, words): the lowered attribute and, if it has several words, the long ones."""
     words = F.split(squeeze(F.lower(attribute)), " ")
-    return F.when(F.size(words) > 1, F.filter(words, lambda w: F.length(w) > 3)).otherwise(F.array().cast("array<string>"))
+    long_words = F.filter(words, lambda w: F.length(w) > 3)
+    none = F.array().cast("array<string>")
+    return F.struct(F.lower(attribute).alias("phrase"), F.when(F.size(words) > 1, long_words).otherwise(none).alias("words"))
 
 
-def _mentions(lowered: Column, attribute_lowered: Column, long_words: Column) -> Column:
-    return F.contains(lowered, attribute_lowered) | F.exists(long_words, lambda w: F.contains(lowered, w))
+def _mentions(lowered: Column, attribute: Column) -> Column:
+    return F.contains(lowered, attribute["phrase"]) | F.exists(attribute["words"], lambda w: F.contains(lowered, w))
 
 
 def is_relevant(text: Column | str, attribute: Column | str) -> Column:
-    a = col(attribute)
-    return F.coalesce(_mentions(F.lower(col(text)), F.lower(a), _attribute_words(a)), F.lit(False))
+    """The attribute, or a word of more than three letters of one with several words, is in the text."""
+    pair = F.struct(F.lower(col(text)).alias("text"), _attribute_words(col(attribute)).alias("attribute"))
+    return F.coalesce(let(pair, lambda p: _mentions(p["text"], p["attribute"])), F.lit(False))
 
 
 def override_sentiment(
@@ -111,15 +124,26 @@ def override_sentiment(
 ) -> Column:
     """struct(sentiment, confidence): flipped to the clear majority of cue words when the
     model was less than 0.90 sure."""
-    lowered, s, c = F.lower(col(text)), col(sentiment), col(confidence)
-    pos, neg = count_present(lowered, positive), count_present(lowered, negative)
-    unsure = c < 0.90
-    flipped = F.when(unsure & (s == "-") & (pos > neg * 2), F.lit("+")).when(
-        unsure & (s == "+") & (neg > pos * 2), F.lit("-")
-    )
-    return F.struct(
-        F.coalesce(flipped, s).alias("sentiment"),
-        F.when(flipped.isNotNull(), F.lit(0.70)).otherwise(c).alias("confidence"),
+    s, c = col(sentiment), col(confidence)
+
+    def decide(cues: Column) -> Column:
+        unsure = c < 0.90
+        flipped = F.when(unsure & (s == "-") & (cues["pos"] > cues["neg"] * 2), F.lit("+")).when(
+            unsure & (s == "+") & (cues["neg"] > cues["pos"] * 2), F.lit("-")
+        )
+        return F.struct(
+            F.coalesce(flipped, s).alias("sentiment"),
+            F.when(flipped.isNotNull(), F.lit(0.70)).otherwise(c).alias("confidence"),
+        )
+
+    return let(cue_counts(text, positive, negative), decide)
+
+
+def cue_counts(text: Column | str, positive: Sequence[str], negative: Sequence[str]) -> Column:
+    """struct(pos, neg): distinct words of either list that occur in the text."""
+    return let(
+        F.lower(col(text)),
+        lambda t: F.struct(count_present(t, positive).alias("pos"), count_present(t, negative).alias("neg")),
     )
 
 
@@ -128,10 +152,6 @@ def split_sentences(text: Column | str) -> Column:
     return F.split(col(text), r"(?<=[.!?])\s+")
 
 
-def _word_count(sentence: Column) -> Column:
-    return F.size(F.filter(F.split(sentence, " "), lambda w: w != ""))
-
-
 def _joined(sentences: Column) -> Column:
     return F.when(F.size(sentences) > 0, F.array_join(sentences, " "))
 
@@ -149,45 +169,59 @@ def meaningful_context(
     The two short sentences that mention it with most polarity words; else the first two with a
     word of the text's content type; else its title; else its first thirty words.
     """
-    t, a = col(text), col(attribute)
-    clean = drop_model_markers(t)
-    attribute_lowered, long_words = F.lower(a), _attribute_words(a)
-    polarity = [*positive, *negative]
-    sentences = split_sentences(clean)
-
-    about = F.filter(
-        sentences,
-        lambda s: (F.length(s) <= 200) & (_word_count(s) >= 3) & _mentions(F.lower(s), attribute_lowered, long_words),
-    )
-    ranked = F.array_sort(
-        F.transform(
+    t, polarity = col(text), [*positive, *negative]
+
+    def sentences_of(clean: Column) -> Column:
+        """Sentences of at least three words and at most 200 characters, each with its lowered form."""
+        usable = F.filter(
+            split_sentences(clean), lambda s: (F.length(s) <= 200) & (F.regexp_count(s, F.lit("[^ ]+")) >= 3)
+        )
+        return F.transform(usable, lambda s: F.struct(s.alias("sentence"), F.lower(s).alias("lowered")))
+
+    def most_opinionated(about: Column) -> Column:
+        ranked = F.transform(
             about,
             lambda s, i: F.struct(
-                (-count_present(F.lower(s), polarity)).alias("rank"), i.alias("position"), s.alias("sentence")
+                (-count_present(s["lowered"], polarity)).alias("rank"), i.alias("position"), s["sentence"].alias("sentence")
             ),
         )
-    )
-    best = F.transform(F.slice(ranked, 1, 2), lambda r: r["sentence"])
-
-    kind = content_type(clean, type_words)
-    of_kind = F.filter(
-        sentences,
-        lambda s: (_word_count(s) >= 3)
-        & (F.length(s) < 200)
-        & reduce(
-            lambda x, y: x | y,
-            [(kind == name) & any_substring(F.lower(s), ws) for name, ws in context_words.items()],
-        ),
-    )
+        return F.transform(F.slice(F.array_sort(ranked), 1, 2), lambda r: r["sentence"])
 
-    title = F.trim(F.regexp_extract(clean, r"(?i)title:\s*([^\n]+)", 1))
-    short_title = F.when(F.length(title) > TITLE_CHARS, F.concat(F.substring(title, 1, TITLE_CHARS), F.lit("..."))).when(
-        title != "", title
-    )
-    preview = F.concat(F.array_join(F.slice(F.split(clean, " "), 1, 30), " "), F.lit("..."))
-    return F.when(
-        is_valid_text(t), F.coalesce(_joined(best), _joined(F.slice(of_kind, 1, 2)), short_title, preview)
-    ).otherwise(F.lit(INVALID_CONTEXT))
+    def hits_of(p: Column) -> list[Callable[[Column], Column]]:
+        return [
+            lambda s, name=name, ws=ws: (p["kind"] == name) & any_substring(s["lowered"], ws)
+            for name, ws in context_words.items()
+        ]
+
+    def choose(p: Column) -> Column:
+        about = F.filter(p["sentences"], lambda s: _mentions(s["lowered"], p["attribute"]))
+        typed = F.filter(
+            p["sentences"],
+            lambda s: (F.length(s["sentence"]) < 200) & reduce(lambda x, y: x | y, [h(s) for h in hits_of(p)]),
+        )
+        first_typed = F.transform(F.slice(typed, 1, 2), lambda s: s["sentence"])
+        return F.coalesce(
+            let(most_opinionated(about), _joined), let(first_typed, _joined), short_title(p["clean"]), preview(p["clean"])
+        )
+
+    def short_title(clean: Column) -> Column:
+        title = F.trim(F.regexp_extract(clean, r"(?i)title:\s*([^\n]+)", 1))
+        shortened = F.concat(F.substring(title, 1, TITLE_CHARS), F.lit("..."))
+        return F.when(F.length(title) > TITLE_CHARS, shortened).when(title != "", title)
+
+    def preview(clean: Column) -> Column:
+        return F.concat(F.array_join(F.slice(F.split(clean, " "), 1, 30), " "), F.lit("..."))
+
+    def parts(clean: Column) -> Column:
+        return F.struct(
+            clean.alias("clean"),
+            content_type(clean, type_words).alias("kind"),
+            sentences_of(clean).alias("sentences"),
+            _attribute_words(col(attribute)).alias("attribute"),
+        )
+
+    context = let(let(drop_model_markers(t), parts), choose)
+    return F.when(is_valid_text(t), context).otherwise(F.lit(INVALID_CONTEXT))
 
 
 def sentiment_reason(
@@ -202,28 +236,31 @@ def sentiment_reason(
 ) -> Column:
     """A sentence that names sentiment, confidence, attribute and context."""
     t, a, s, c = col(text), col(attribute), col(sentiment), col(confidence)
-    final = override_sentiment(t, s, c, positive, negative)
-    kind = content_type(t, type_words)
-    context = meaningful_context(t, a, positive, negative, type_words, context_words)
 
     def opening(label: Column, sure: Column) -> Column:
         name = F.when(label == "+", F.lit("Positive")).otherwise(F.lit("Negative"))
         return F.format_string("%s sentiment (%.2f) about %s: ", name, sure, a)
 
-    phrase = F.coalesce(
-        *[
-            F.when(kind == name, F.when(final["sentiment"] == "+", F.lit(good)).otherwise(F.lit(bad)))
-            for name, (good, bad) in REASON_PHRASES.items()
-        ]
+    def compose(p: Column) -> Column:
+        final = p["final"]
+        phrase = F.coalesce(
+            *[
+                F.when(p["kind"] == name, F.when(final["sentiment"] == "+", F.lit(good)).otherwise(F.lit(bad)))
+                for name, (good, bad) in REASON_PHRASES.items()
+            ]
+        )
+        start = F.when(p["relevant"], phrase).otherwise(F.lit("Content may indirectly relate to"))
+        return F.concat(
+            opening(final["sentiment"], final["confidence"]), start, F.lit(" "), F.lower(a), F.lit(". "), p["context"]
+        )
+
+    parts = F.struct(
+        content_type(t, type_words).alias("kind"),
+        override_sentiment(t, s, c, positive, negative).alias("final"),
+        is_relevant(t, a).alias("relevant"),
+        meaningful_context(t, a, positive, negative, type_words, context_words).alias("context"),
     )
-    relevant = F.concat(phrase, F.lit(" "), F.lower(a), F.lit(". "), context)
-    indirect = F.concat(F.lit("Content may indirectly relate to "), F.lower(a), F.lit(". "), context)
-    return F.when(
-        is_valid_text(t),
-        F.concat(
-            opening(final["sentiment"], final["confidence"]), F.when(is_relevant(t, a), relevant).otherwise(indirect)
-        ),
-    ).otherwise(F.concat(opening(s, c), F.lit(INVALID_CONTEXT)))
+    return F.when(is_valid_text(t), let(parts, compose)).otherwise(F.concat(opening(s, c), F.lit(INVALID_CONTEXT)))
 
 
 # ---------------------------------------------------------------------------- small parsers

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_issue_text, col
+from .text import col, let
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -23,28 +23,12 @@ def norm(a: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """Scaled to length 1; a zero vector stays zero."""
-    v = col(a)
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
 
+    def scaled(p: Column) -> Column:
+        return F.transform(p["v"], lambda x: F.when(p["length"] > 0, x.cast("double") / p["length"]).otherwise(0.0))
 
-def cosine(a: Column | str, b: Column | str) -> Column:
-    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
-
-
-def hashed_counts(text: Column | str, dim: int = 64) -> Column:
-    """Bag of words of the cleaned text, each word in the bucket its md5 names.
-
-    The model-free stand-in for a text encoder: deterministic and the same in every engine that
-    has md5, so that results can be checked in plain SQL.
-    """
-    words = F.filter(F.split(clean_issue_text(text), " "), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % dim)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("float"),
-    )
+    return let(let(col(a), lambda v: F.struct(v.alias("v"), norm(v).alias("length"))), scaled)
 
 
-def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
-    return unit(hashed_counts(text, dim))
+def cosine(a: Column | str, b: Column | str) -> Column:
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))

@@ -14,6 +14,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import any_substring, related_words
 from .skew import MAX_BROADCAST_ROWS, bounded_rows
@@ -82,8 +83,8 @@ def keyword_matches(
     for row in sorted(rows):
         by_attribute.setdefault(row["attribute_id"], []).append(row["term"])
     hits = [F.when(any_substring(F.col("lowered"), words), F.lit(k).cast(kind)) for k, words in by_attribute.items()]
-    found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
-    return lowered.select(*keep, F.explode(found).cast(kind).alias("attribute_id"))
+    found = F.array_compact(F.array(*hits)) if hits else F.array().cast(T.ArrayType(kind))
+    return lowered.select(*keep, F.explode(found).alias("attribute_id"))
 
 
 def _paired_blocks(lowered: DataFrame, terms: DataFrame, keep: list[str], schema, block_rows: int) -> DataFrame:

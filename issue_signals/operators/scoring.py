@@ -8,42 +8,67 @@ deterministic default takes the model's place, so that plans run and can be chec
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import NEGATIVE_WORDS, POSITIVE_WORDS
 from ..functions.scores import overlap_ratio, sign_of
-from ..functions.text import clean_for_sentiment, clean_issue_text, count_present, related_words
-from ..functions.vectors import hashed_embedding
+from ..functions.text import clean_for_sentiment, clean_issue_text, cue_counts, let, related_words
 from .skew import skew_join
 
 Batch = Callable[[list[str]], list]
 Factory = Callable[[], Batch]
 
 
+def word_hashes(dim: int = 64) -> Factory:
+    """The model-free text encoder: a bag of words of length 1, each word counted in the bucket that
+    the first six digits of its md5 name. Any engine with md5 gives the same vectors."""
+
+    def load() -> Batch:
+        @lru_cache(maxsize=1 << 18)
+        def bucket(word: str) -> int:
+            return int(md5(word.encode()).hexdigest()[:6], 16) % dim
+
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            places = [[i * dim + bucket(w) for w in t.split()] for i, t in enumerate(texts)]
+            flat = np.fromiter((p for row in places for p in row), dtype=np.int64)
+            counts = np.bincount(flat, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
+            lengths = np.linalg.norm(counts, axis=1, keepdims=True)
+            return list(np.divide(counts, lengths, out=counts, where=lengths > 0))
+
+        return encode
+
+    return load
+
+
 def embed(df: DataFrame, text: str = "text", factory: Factory | None = None, dim: int = 64, name: str = "vector") -> DataFrame:
-    """Add a vector per text. Default: hashed bag of words of length 1."""
-    if factory is None:
-        return df.withColumn(name, hashed_embedding(text, dim))
+    """Add a vector per text, NULL for a NULL text. Default: word_hashes of the cleaned text."""
+    source = clean_issue_text(text) if factory is None else F.col(text)
+    load = factory or word_hashes(dim)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
+        model = load()
         for texts in batches:
-            yield pd.Series([None if v is None else list(map(float, v)) for v in model(texts.fillna("").tolist())])
+            vectors = pd.Series([np.asarray(v, dtype=np.float64) for v in model(texts.fillna("").tolist())])
+            yield vectors.where(texts.notna().to_numpy(), None)
 
-    return df.withColumn(name, encode(F.col(text)))
+    return df.withColumn(name, encode(source))
 
 
 def lexicon_compound(
     text: Column | str, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS
 ) -> Column:
     """(positive - negative) / (positive + negative) distinct words present, 0.0 without any."""
-    lowered = F.lower(F.col(text) if isinstance(text, str) else text)
-    pos, neg = count_present(lowered, positive), count_present(lowered, negative)
-    return F.coalesce(F.try_divide(pos - neg, pos + neg).cast("double"), F.lit(0.0))
+    return let(
+        cue_counts(text, positive, negative),
+        lambda c: F.coalesce(F.try_divide(c["pos"] - c["neg"], c["pos"] + c["neg"]).cast("double"), F.lit(0.0)),
+    )
 
 
 def weighted_compound(df: DataFrame, lexicon: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import MATCH_THRESHOLD, MENTION_THRESHOLD
@@ -198,17 +198,21 @@ def matched_words(hits: DataFrame, words: DataFrame, keep: tuple[str, ...] = ("i
     return named.groupBy(*keep, "criteria").agg(F.array_sort(F.collect_list(entry)).alias("matched"))
 
 
-def signed_mentions(scores: DataFrame, threshold: float = MENTION_THRESHOLD, sentiment: str = "sentiment") -> DataFrame:
-    """Add semantic and similarity_score to rows with a score and the text's sentiment; all words of
-    a text share its sentiment, so the signed sum is the sum with one sign. Sums at or under the
-    threshold drop out."""
-    total = F.when(F.col(sentiment) == "+", F.col("score")).otherwise(-F.col("score"))
+def signed(score: Column | str, sentiment: Column | str) -> Column:
+    """score with the sign of the sentiment. All words of a text share its sentiment, so the sum of
+    their signed scores is their summed score with one sign."""
+    value = F.col(score) if isinstance(score, str) else score
+    return F.when((F.col(sentiment) if isinstance(sentiment, str) else sentiment) == "+", value).otherwise(-value)
+
+
+def mentions_of(totals: DataFrame, threshold: float = MENTION_THRESHOLD, total: str = "total") -> DataFrame:
+    """Put semantic and similarity_score in place of the signed total: its sign, '-' for 0, and its
+    size. Totals of at most the threshold drop out."""
     return (
-        scores.withColumn("total", total)
-        .withColumn("semantic", F.when(F.col("total") > 0, F.lit("+")).otherwise(F.lit("-")))
-        .withColumn("similarity_score", F.abs("total"))
+        totals.withColumn("semantic", F.when(F.col(total) > 0, F.lit("+")).otherwise(F.lit("-")))
+        .withColumn("similarity_score", F.abs(total))
         .filter(F.col("similarity_score") > threshold)
-        .drop("total")
+        .drop(total)
     )
 
 

@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that is read with fewer tasks than cores, because it has few files, to all cores.
+    A large table is read with more tasks than that and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once, so that several consumers read it instead of
     computing it again and a lost executor does not take it away."""
