@@ -619,7 +619,7 @@ def q_neighbours(spark, sf):
 
 @query
 def q_synonyms(spark, sf):
-    criteria = spark.createDataFrame([(w,) for w in ("license", "test", "that", "with", "on")], "criteria string")
+    criteria = T.inline_table(spark, [(w,) for w in ("license", "test", "that", "with", "on")], "criteria string")
     return reports.synonyms(_neighbours(spark, sf), criteria, 10)
 
 

@@ -63,12 +63,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name == "documents" else df
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of parameters."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    entries = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*entries)))
+
+
 def attributes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ATTRIBUTES, ATTRIBUTE_SCHEMA)
+    return inline_table(spark, ATTRIBUTES, ATTRIBUTE_SCHEMA)
 
 
 def words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WORDS, WORD_SCHEMA)
+    return inline_table(spark, WORDS, WORD_SCHEMA)
 
 
 def project_id():

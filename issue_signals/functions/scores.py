@@ -57,9 +57,7 @@ def polarity_of_label(label: Column | str) -> Column:
     return F.when(col(label) == "POSITIVE", F.lit("+")).otherwise(F.lit("-"))
 
 
-def overlap_ratio(chunk_tokens: Column | str, hypothesis_tokens: Column | str) -> Column:
-    """Share of the hypothesis' distinct words that occur in the chunk."""
-    h = F.array_distinct(col(hypothesis_tokens))
-    return F.coalesce(
-        F.try_divide(F.size(F.array_intersect(h, col(chunk_tokens))), F.size(h)).cast("double"), F.lit(0.0)
-    )
+def overlap_ratio(known: Column | str, words: Column | str) -> Column:
+    """Share of the distinct words that are known; 0.0 without words."""
+    w = col(words)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(w, col(known))), F.size(w)).cast("double"), F.lit(0.0))

@@ -134,9 +134,22 @@ def _one_by_one(model: Batch, text: str) -> tuple:
         return None, None, str(error)
 
 
-def vocabulary(hypotheses: Column) -> Column:
-    """The distinct words of a list of token lists."""
-    return F.array_distinct(F.flatten(hypotheses))
+def hypothesis_words(hypotheses: Column | str) -> Column:
+    """The distinct cleaned words of each hypothesis."""
+    return F.transform(hypotheses, lambda h: F.array_distinct(F.split(clean_issue_text(h), " ")))
+
+
+def overlap_scores(chunk: Column | str, words: Column | str) -> Column:
+    """Per hypothesis the share of its words in the chunk. The chunk is first cut down to the words of
+    all hypotheses, so that its long word list is looked at once."""
+
+    def known(p: Column) -> Column:
+        return F.struct(p["words"].alias("words"), F.array_intersect(p["chunk"], F.flatten(p["words"])).alias("known"))
+
+    chunk_words = F.coalesce(F.split(clean_issue_text(chunk), " "), F.array().cast("array<string>"))
+    words = F.col(words) if isinstance(words, str) else words
+    parts = let(F.struct(words.alias("words"), chunk_words.alias("chunk")), known)
+    return let(parts, lambda p: F.transform(p["words"], lambda h: overlap_ratio(p["known"], h)))
 
 
 def entailment_scores(
@@ -145,18 +158,12 @@ def entailment_scores(
     """Add scores, one per hypothesis of the row; a NULL chunk scores 0.0 throughout.
 
     A factory's function takes [(chunk, hypothesis), ...] and returns probabilities; each distinct
-    pair is scored once. Default: share of the hypothesis' words in the chunk. The chunk is first cut
-    down to the words of all its hypotheses, so the long list is looked at once.
+    pair is scored once. Default: share of the hypothesis' words in the chunk, from the words in a
+    column hypothesis_words where there is one.
     """
     if factory is None:
-        split = F.transform(hypotheses, lambda h: F.split(clean_issue_text(h), " "))
-        known = F.array_intersect(F.split(clean_issue_text(chunk), " "), vocabulary(F.col("hypothesis_words")))
-        return (
-            chunks.withColumn("hypothesis_words", split)
-            .withColumn("chunk_words", F.coalesce(known, F.array().cast("array<string>")))
-            .withColumn("scores", F.transform("hypothesis_words", lambda h: overlap_ratio("chunk_words", h)))
-            .drop("hypothesis_words", "chunk_words")
-        )
+        words = F.col("hypothesis_words") if "hypothesis_words" in chunks.columns else hypothesis_words(hypotheses)
+        return chunks.withColumn("scores", overlap_scores(chunk, words))
     keyed = chunks.withColumn("pair_key", F.sha2(F.concat_ws("\x01", F.col(chunk), F.col(hypotheses)), 256))
     once = keyed.groupBy("pair_key").agg(F.any_value(chunk).alias("c"), F.any_value(hypotheses).alias("h"))
 

@@ -27,7 +27,7 @@ from ..operators.evaluate import (
     todo,
 )
 from ..operators.keywords import attribute_terms, keyword_matches
-from ..operators.scoring import Factory, entailment_scores
+from ..operators.scoring import Factory, entailment_scores, hypothesis_words
 from ..operators.skew import lookup_join
 
 DEFAULT_MODEL = "token-overlap"
@@ -35,10 +35,12 @@ SETTING = ["chunking_strategy", "threshold_config", "hypothesis_version", "max_t
 
 
 def hypothesis_lists(attributes: DataFrame, rows: DataFrame) -> DataFrame:
-    """attribute_id, attribute, hypotheses: an attribute's hypotheses in version and template order."""
+    """attribute_id, attribute, hypotheses, hypothesis_words: an attribute's hypotheses in version and
+    template order. Their words are taken here, once per attribute and not per chunk."""
     ordered = F.array_sort(F.collect_list(F.struct("version", "hypothesis_no", "hypothesis")))
     lists = rows.groupBy("attribute_id").agg(F.transform(ordered, lambda h: h["hypothesis"]).alias("hypotheses"))
-    return attributes.select("attribute_id", "attribute").join(lists, "attribute_id")
+    named = attributes.select("attribute_id", "attribute").join(lists, "attribute_id")
+    return named.withColumn("hypothesis_words", hypothesis_words("hypotheses"))
 
 
 def version_places(templates: dict[str, Sequence[str]] = HYPOTHESIS_TEMPLATES) -> dict[str, tuple[int, int]]:

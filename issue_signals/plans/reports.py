@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_issue_text
 from ..operators.skew import lookup_join, skew_join, top_n_per_key
 from ..operators.summaries import histogram, sentiment_table, value_counts
+from ..session import materialize
 
 
 def chart_tables(mentions: DataFrame) -> dict[str, DataFrame]:
@@ -66,8 +67,10 @@ def synonyms(neighbours: DataFrame, criteria: DataFrame, top: int = 10) -> DataF
     """criteria, similar_word, max_w2v_score: the words whose neighbours are most like a criterion's.
 
     A word's vector is its neighbour counts; the score is the cosine. Only words that share a
-    neighbour with a criterion get a product, found by an equality join on the neighbour.
+    neighbour with a criterion get a product, found by an equality join on the neighbour. The counts
+    are written once, as four steps read them.
     """
+    neighbours = materialize(neighbours)
     lengths = neighbours.groupBy("word").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
     wanted = lookup_join(neighbours, criteria.select(F.col("criteria").alias("word")).distinct(), ["word"], row_id=["neighbour"])
     left = wanted.select(F.col("word").alias("criteria"), "neighbour", F.col("n").alias("m"))
