@@ -191,10 +191,9 @@ def _judged(spark, sf):
 
 @query
 def q_override(spark, sf):
-    flipped = X.override_sentiment("text", "sentiment", "confidence", T.POSITIVE, T.NEGATIVE)
-    return _judged(spark, sf).select(
-        "doc_id", flipped["sentiment"].alias("sentiment"), F.round(flipped["confidence"], 4).alias("confidence")
-    )
+    final = X.override_sentiment("text", "sentiment", "confidence", T.POSITIVE, T.NEGATIVE)
+    rows = _judged(spark, sf).select("doc_id", final.alias("final"))
+    return rows.select("doc_id", "final.sentiment", F.round("final.confidence", 4).alias("confidence"))
 
 
 @query
@@ -420,7 +419,7 @@ def q_nli_scores(spark, sf):
     )
     return rows.select(
         "issue_id", "attribute_id", "chunking_strategy", "max_tokens", "position",
-        F.round("s.max_scores", 4).alias("max_score"), F.round("s.mean_scores", 4).alias("mean_score"),
+        F.round("s.max_scores", 8).alias("max_score"), F.round("s.mean_scores", 8).alias("mean_score"),
     )
 
 
@@ -468,9 +467,9 @@ def q_vote_eval(spark, sf):
     return _rounded_measures(rows.drop("tp", "fp", "fn", "tn"))
 
 
-def _rounded_measures(df: DataFrame) -> DataFrame:
+def _rounded_measures(df: DataFrame, digits: int = 6) -> DataFrame:
     for c in ("precision", "recall", "specificity", "accuracy", "f1_score"):
-        df = df.withColumn(c, F.round(c, 6))
+        df = df.withColumn(c, F.round(c, digits))
     return df
 
 
@@ -523,7 +522,7 @@ def q_best_config(spark, sf):
 @query
 def q_macro_mean(spark, sf):
     means = evaluate.macro_mean(_rounded_measures(_grid(spark, sf)), ["hypothesis_version", "threshold_config"])
-    return _rounded_measures(means)
+    return _rounded_measures(means, 9)
 
 
 # ---------------------------------------------------------------------------- sentiment
@@ -548,7 +547,7 @@ def q_weighted_sentiment(spark, sf):
 @query
 def q_mentions(spark, sf):
     rows = criteria_mentions(
-        T.issues(spark, sf), T.comments(spark, sf), T.words(spark), 0.2, positive=T.POSITIVE, negative=T.NEGATIVE
+        T.issues(spark, sf), T.comments(spark, sf), T.words(spark), 0.213, positive=T.POSITIVE, negative=T.NEGATIVE
     )
     return rows.withColumn("similarity_score", F.round("similarity_score", 4))
 

@@ -239,7 +239,8 @@ def sentiment_reason(
 
     def opening(label: Column, sure: Column) -> Column:
         name = F.when(label == "+", F.lit("Positive")).otherwise(F.lit("Negative"))
-        return F.format_string("%s sentiment (%.2f) about %s: ", name, sure, a)
+        # format_number rounds the exact binary value, half to even.
+        return F.concat(name, F.lit(" sentiment ("), F.format_number(sure, 2), F.lit(") about "), a, F.lit(": "))
 
     def compose(p: Column) -> Column:
         final = p["final"]

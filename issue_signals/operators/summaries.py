@@ -57,7 +57,7 @@ def words_per_criteria(words: DataFrame) -> DataFrame:
 def cap_matches(mentions: DataFrame, limit: int = 1000, sample: bool = True, seed: int = 0) -> DataFrame:
     """At most limit mentions per project: the highest scores, or a sample that is the same each time."""
     key = ["issue_id", "criteria"]
-    draw = F.xxhash64(F.lit(seed), *key)
+    draw = F.md5(F.concat_ws(":", F.lit(seed), *key))
     order = [draw, *key] if sample else [F.desc("similarity_score"), *key]
     ordered = [F.col(c) if isinstance(c, str) else c for c in order]
     return top_n_per_key(mentions, ["project_id"], ordered, limit, row_id=key)
