@@ -107,25 +107,26 @@ def _white_space() -> Tokenizer:
 
 
 def _line_chunks(text: str, encode: Callable, decode: Callable, budget: int, oversize: str) -> list[str]:
-    if len(encode(text)) <= budget:
+    def fits(t: str) -> bool:
+        return len(encode(t)) <= budget
+
+    if fits(text):
         return [text]
     found: list[str] = []
     held = ""
     for line in text.split("\n"):
-        if len(encode(held + line)) <= budget:
-            held += line + "\n"
-        elif held:
+        if held and not fits(held + line):
             found.append(held.strip())
-            held = line
-        else:
-            for part in filter(str.strip, line.split(".")):
-                ids = encode(part)
-                if len(ids) <= budget:
-                    found.append(part.strip())
-                    continue
-                stop = len(ids) if oversize == "split" else budget
-                found.extend(decode(ids[i : i + budget]) for i in range(0, stop, budget))
-    if held:
+            held = ""
+        if fits(held + line):
+            held += line + "\n"
+            continue
+        for part in filter(str.strip, line.split(".")):
+            ids = encode(part)
+            stop = len(ids) if oversize == "split" else budget
+            windows = range(0, stop, budget)
+            found.extend([part.strip()] if len(ids) <= budget else [decode(ids[i : i + budget]) for i in windows])
+    if held.strip():
         found.append(held.strip())
     return found
 
@@ -136,8 +137,7 @@ def line_chunker(
     """A column function: text -> chunks that prefer to end at a newline, then at a full stop.
 
     A sentence above the budget is cut into windows; oversize="truncate" keeps only the first.
-    A line that was carried over stays whole even above the budget. tokenizer is a factory that each
-    Python worker calls once.
+    tokenizer is a factory that each Python worker calls once.
     """
 
     @F.pandas_udf("array<string>")

@@ -92,14 +92,14 @@ def _paired_blocks(lowered: DataFrame, terms: DataFrame, keep: list[str], schema
     term_blocks = max(1, -(-terms.count() // block_rows))
 
     def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     left = lowered.select(
-        "*", F.pmod(F.xxhash64(*keep), F.lit(text_blocks)).cast("int").alias("text_block"),
+        "*", F.pmod(F.xxhash64(*keep), F.lit(text_blocks)).alias("text_block"),
         numbers(term_blocks).alias("term_block"),
     )
     right = terms.select(
-        "*", F.pmod(F.xxhash64("term"), F.lit(term_blocks)).cast("int").alias("term_block"),
+        "*", F.pmod(F.xxhash64("term"), F.lit(term_blocks)).alias("term_block"),
         numbers(text_blocks).alias("text_block"),
     )
 

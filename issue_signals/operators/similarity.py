@@ -116,15 +116,15 @@ def _blocked_hits(
     word_blocks = max(1, -(-words.count() // block_rows))
 
     def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     left = texts.filter(F.col(vector).isNotNull()).select(
         *keep, F.col(vector).alias("vector"), F.pmod(F.xxhash64(*keep), F.lit(text_blocks)).alias("text_block"),
         numbers(word_blocks).alias("word_block"),
     )
     right = words.select(
-        "word_no", "vector", F.pmod(F.xxhash64("word_no"), F.lit(word_blocks)).cast("int").alias("word_block"),
-        numbers(text_blocks).cast("long").alias("text_block"),
+        "word_no", "vector", F.pmod(F.xxhash64("word_no"), F.lit(word_blocks)).alias("word_block"),
+        numbers(text_blocks).alias("text_block"),
     )
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
