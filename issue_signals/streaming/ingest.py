@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.keys import insert_if_absent
+from ..operators.keys import first_by_key
 from ..operators.progress import above_tracker, tracker_after
 from ..plans.reports import alerts, daily_mentions
 from ..sources.landing import read_table
@@ -18,8 +18,9 @@ from ..sources.sinks import append_run, replace_table
 
 
 def raw_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
-    """Newly landed JSON files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+    """Newly landed JSON files, each row with the time its file landed."""
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return files.withColumn("landed_at", F.col("_metadata.file_modification_time"))
 
 
 def land_stream(
@@ -32,15 +33,16 @@ def land_stream(
 ) -> StreamingQuery:
     """Append landed rows to a table, each key once however often and in however many batches it lands.
 
-    A batch is written under its own number: a batch that is run again after a failure replaces its
-    own rows and does not see them as present.
+    raw has id and landed_at; the first arrival of an id wins. key is its name in the table. A batch is written under its own number: a
+    batch that is run again after a failure replaces its own rows and does not see them as present.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = to_rows(batch)
-        stored = read_table(batch.sparkSession, table, schema.add("run_id", "string", True) if "run_id" not in schema.names else schema)
+        arrival = [F.col("landed_at"), F.xxhash64(*[c for c in batch.columns if c != "landed_at"])]
+        rows = to_rows(first_by_key(batch, ["id"], arrival))
+        stored = read_table(batch.sparkSession, table, T.StructType([*schema.fields, T.StructField("run_id", T.StringType())]))
         before = stored.filter(F.col("run_id") != _run(batch_id)).select(key)
-        append_run(insert_if_absent(before, rows, [key], [F.xxhash64(*rows.columns)]), table, schema, _run(batch_id))
+        append_run(rows.join(before, key, "left_anti"), table, schema, _run(batch_id))
 
     return _once(raw, write, checkpoint)
 
