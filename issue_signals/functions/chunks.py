@@ -5,13 +5,13 @@ Tokens are white-space tokens unless the caller brings a tokenizer. No token is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, let
+from .text import NOT_SPACE, col, let, strip
 
 SPLITTERS = {
     "sentence": r"(?<=[\.\n])\s+",
@@ -19,7 +19,7 @@ SPLITTERS = {
     "newline": r"\n",
 }
 
-TOKEN = r"(?U)[^\s\x1c-\x1f]+"
+TOKEN = NOT_SPACE + "+"
 
 Tokenizer = tuple[Callable[[str], list], Callable[[list], str]]
 
@@ -36,16 +36,20 @@ def token_count(text: Column | str) -> Column:
     return F.regexp_count(col(text), F.lit(TOKEN))
 
 
-def token_windows(text: Column | str, size: Column | int) -> Column:
-    """Consecutive windows of size tokens, the last one shorter; blank text has none."""
+def windows_of(all_tokens: Column | str, size: Column | int) -> Column:
+    """Consecutive windows of size tokens, the last one shorter; no tokens, no windows."""
     width = F.lit(size) if isinstance(size, int) else size
 
-    def windows(all_tokens: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(all_tokens), width)
-        cut = F.transform(starts, lambda i: F.array_join(F.slice(all_tokens, i, width), " "))
-        return F.when(F.size(all_tokens) > 0, cut).otherwise(F.array().cast("array<string>"))
+    def windows(found: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(found), width)
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(found, i, width), " "))
+        return F.when(F.size(found) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    return let(col(all_tokens), windows)
 
-    return let(tokens(text), windows)
+
+def token_windows(text: Column | str, size: Column | int) -> Column:
+    return windows_of(tokens(text), size)
 
 
 def token_budget(prompt_tokens: Column | int, model_limit: int = 8192, reserve: int = 8) -> Column:
@@ -65,34 +69,44 @@ def fit_context(text: Column | str, context: int, answer_tokens: int = 2) -> Col
     return let(tokens(text), tail)
 
 
-def trim_ends(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def packed_chunks(text: Column | str, max_tokens: int, strategy: str = "sentence") -> Column:
     """Neighbouring pieces packed greedily into chunks of at most max_tokens tokens.
 
-    A piece above the budget stays whole, as a chunk of its own. The fold over the pieces keeps
-    only where each chunk starts, so its state grows with the chunks and not with the text.
+    A piece above the budget stays whole, as a chunk of its own.
     """
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"))
+    return F.get(packed_chunk_lists(text, [max_tokens], strategy), F.lit(0))
 
-    def step(acc: Column, p: Column) -> Column:
-        fits = (acc["used"] > 0) & (acc["used"] + p["n"] <= max_tokens)
-        return F.struct(
-            F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(p["place"]))).alias("starts"),
-            F.when(fits, acc["used"] + p["n"]).otherwise(p["n"]).alias("used"),
-        )
 
-    def cut(c: Column) -> Column:
-        kept, starts = c["kept"], c["starts"]
-        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(kept) + 1))
-        return F.zip_with(starts, ends, lambda a, b: trim_ends(F.array_join(F.slice(kept, a, b - a), " ")))
+def packed_chunk_lists(text: Column | str, limits: Sequence[int], strategy: str = "sentence") -> Column:
+    """The packed chunks for each of several budgets; the text is split and counted once.
+
+    The fold over the pieces keeps only where each chunk starts, so its state grows with the chunks
+    and not with the text.
+    """
+
+    def starts(counted: Column, limit: int) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            fits = (acc["used"] > 0) & (acc["used"] + p["n"] <= limit)
+            return F.struct(
+                F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(p["place"]))).alias("starts"),
+                F.when(fits, acc["used"] + p["n"]).otherwise(p["n"]).alias("used"),
+            )
+
+        empty = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"))
+        return F.aggregate(counted, empty, step, lambda acc: acc["starts"])
+
+    def cut(kept: Column, at: Column) -> Column:
+        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(kept) + 1))
+        return F.zip_with(at, ends, lambda a, b: strip(F.array_join(F.slice(kept, a, b - a), " ")))
 
     def pack(counted: Column) -> Column:
-        starts = F.aggregate(counted, start, step, lambda acc: acc["starts"])
-        found = F.struct(F.transform(counted, lambda p: p["piece"]).alias("kept"), starts.alias("starts"))
-        return F.when(F.size(counted) > 0, let(found, cut)).otherwise(F.array().cast("array<string>"))
+        found = F.struct(
+            F.transform(counted, lambda p: p["piece"]).alias("kept"),
+            *[starts(counted, limit).alias(f"at{i}") for i, limit in enumerate(limits)],
+        )
+        lists = let(found, lambda c: F.array(*[cut(c["kept"], c[f"at{i}"]) for i in range(len(limits))]))
+        none = F.array(*[F.array().cast("array<string>") for _ in limits])
+        return F.when(F.size(counted) > 0, lists).otherwise(none)
 
     measured = F.transform(pieces(text, strategy), lambda p: F.struct(p.alias("piece"), token_count(p).alias("n")))
     counted = F.transform(

@@ -23,9 +23,11 @@ from ..fixed_values import (
     TITLE_CHARS,
 )
 
-# Unicode white space plus the four separators that Python also counts as white space.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
-NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+# --- fixed values: the characters that Python counts as white space, as a Java character class
+WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{WHITE}]+"
+NOT_SPACE = f"[^{WHITE}]"
+OUTER_SPACE = f"^[{WHITE}]+|[{WHITE}]+$"
 
 
 def col(c: Column | str) -> Column:
@@ -47,6 +49,10 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, OUTER_SPACE, "")
+
+
 def any_substring(lowered: Column, words: Sequence[str]) -> Column:
     if not words:
         return F.lit(False)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cap, clean_issue_text
+from ..functions.text import cap, clean_issue_text, strip
 from .skew import lookup_join, skew_join
 
 PAGE_COMMENTS = 10_000
@@ -83,7 +83,7 @@ def labelled_parts_text(max_chars: int | None = None) -> Column:
 def blank_joined_text() -> Column:
     """title, body and comments joined by blanks, NULL as '', trimmed."""
     parts = [F.coalesce(c, F.lit("")) for c in ("title", "body_text", "comment_text")]
-    text = F.regexp_replace(F.concat_ws(" ", *parts), r"(?U)^\s+|\s+$", "")
+    text = strip(F.concat_ws(" ", *parts))
     return _first_or_more(text, F.col("comment_text"))
 
 

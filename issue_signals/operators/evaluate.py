@@ -14,8 +14,14 @@ from .skew import lookup_join
 
 
 def labelled_texts(texts: DataFrame, truth: DataFrame) -> DataFrame:
-    """Texts with their hand labels, one row per label."""
-    return texts.join(truth.select("issue_id", "attribute_id", "is_related"), "issue_id")
+    """Texts with their hand labels, one row per label. Hand labels are few: texts stay where they are."""
+    labels = truth.select("issue_id", "attribute_id", "is_related")
+    return lookup_join(texts, labels, ["issue_id"], "inner", row_id=["issue_id"])
+
+
+def of_labelled(texts: DataFrame, truth: DataFrame) -> DataFrame:
+    """The texts that have a hand label, once each."""
+    return lookup_join(texts, truth.select("issue_id").distinct(), ["issue_id"], "left_semi", row_id=["issue_id"])
 
 
 def hypothesis_scores(scored: DataFrame, keys: Sequence[str], width: int, scores: str = "scores") -> DataFrame:
@@ -25,9 +31,10 @@ def hypothesis_scores(scored: DataFrame, keys: Sequence[str], width: int, scores
     an issue arrive in one row.
     """
     at = [F.get(scores, F.lit(i)) for i in range(width)]
+    chunks = F.count(scores)
     return scored.groupBy(*keys).agg(
         F.array(*[F.coalesce(F.max(s), F.lit(0.0)) for s in at]).alias("max_scores"),
-        F.array(*[F.coalesce(F.avg(s), F.lit(0.0)) for s in at]).alias("mean_scores"),
+        F.array(*[F.coalesce(F.try_divide(F.sum(s), chunks), F.lit(0.0)) for s in at]).alias("mean_scores"),
     )
 
 

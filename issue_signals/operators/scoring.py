@@ -192,11 +192,13 @@ def votes(
     A factory's function takes prompts and returns answers. Default: yes when a related word is in
     the chunk; the same in every trial.
     """
-    rows = chunks.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    each_trial = F.explode(F.sequence(F.lit(1), F.lit(trials)))
     if factory is None:
-        lowered = F.lower(F.col(chunk))
-        hit = F.exists(related_words(words), lambda w: F.contains(lowered, F.lower(w)))
-        return rows.withColumn("answer", F.when(hit, F.lit("yes")).otherwise(F.lit("no")))
+        lowered = F.struct(F.lower(chunk).alias("chunk"), F.transform(related_words(words), F.lower).alias("words"))
+        hit = let(lowered, lambda p: F.exists(p["words"], lambda w: F.contains(p["chunk"], w)))
+        answered = chunks.withColumn("answer", F.when(hit, F.lit("yes")).otherwise(F.lit("no")))
+        return answered.withColumn("trial", each_trial)
+    rows = chunks.withColumn("trial", each_trial)
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import MATCH_THRESHOLD, MENTION_THRESHOLD
@@ -36,9 +36,9 @@ def word_lookup(words: DataFrame, score: str | None = None, shared_words: str =
     weight = F.col(score).cast("double") if score else F.lit(1.0)
     rows = words.select("word_no", "criteria", F.col("similar_word").alias("word"), weight.alias("weight"))
     keys = ["word"] if shared_words == "last" else ["word", "criteria"]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct("criteria", "weight"), "word_no").alias("last"))
-    joined = lookup_join(rows.select("word_no", *keys), last, keys, "inner", row_id=["word_no"])
-    return joined.select("word_no", F.col("last.criteria").alias("criteria"), "word", F.col("last.weight").alias("weight"))
+    last = F.max_by(F.struct("criteria", "weight"), "word_no").over(Window.partitionBy(*keys))
+    found = rows.select("word_no", "word", last.alias("last"))
+    return found.select("word_no", F.col("last.criteria").alias("criteria"), "word", F.col("last.weight").alias("weight"))
 
 
 def score_column(df: DataFrame) -> str | None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
@@ -15,13 +15,14 @@ from ..fixed_values import (
     THRESHOLD_LISTS,
     TOKEN_LIMITS,
 )
-from ..functions.chunks import line_chunker, packed_chunks
+from ..functions.chunks import line_chunker, packed_chunk_lists
 from ..functions.hypotheses import hypotheses, labelling_hypotheses
 from ..functions.scores import labelling_verdict
 from ..functions.text import verdict_json
 from ..operators.evaluate import (
     hypothesis_scores,
     labelled_texts,
+    of_labelled,
     predictions_by_setting,
     quality,
     todo,
@@ -81,21 +82,19 @@ def label_corpus(
     )
 
 
-def all_chunks(
-    texts: DataFrame, text: str, chunkings: Sequence[str] = CHUNKINGS, limits: Sequence[int] = TOKEN_LIMITS
-) -> DataFrame:
-    """Each row once per chunking, token limit and chunk; a text without tokens has a NULL chunk."""
-    sets = [
-        F.struct(
-            F.lit(strategy).alias("chunking_strategy"),
-            F.lit(limit).alias("max_tokens"),
-            packed_chunks(text, limit, strategy).alias("chunks"),
+def chunk_sets(text: str, chunkings: Sequence[str] = CHUNKINGS, limits: Sequence[int] = TOKEN_LIMITS) -> Column:
+    """One (chunking_strategy, max_tokens, chunks) per chunking and token limit."""
+
+    def sets_of(strategy: str) -> Column:
+        return F.zip_with(
+            packed_chunk_lists(text, limits, strategy),
+            F.array(*[F.lit(n) for n in limits]),
+            lambda chunks, n: F.struct(
+                F.lit(strategy).alias("chunking_strategy"), n.alias("max_tokens"), chunks.alias("chunks")
+            ),
         )
-        for strategy in chunkings
-        for limit in limits
-    ]
-    rows = texts.select("*", F.inline(F.array(*sets)))
-    return rows.withColumn("chunk", F.explode_outer("chunks")).drop("chunks", text)
+
+    return F.flatten(F.array(*[sets_of(strategy) for strategy in chunkings]))
 
 
 def score_grid(
@@ -109,16 +108,19 @@ def score_grid(
 ) -> DataFrame:
     """issue_id, attribute_id, attribute, is_related, chunking_strategy, max_tokens, max_scores, mean_scores.
 
-    Scores depend on text, hypothesis, chunking and limit only; thresholds and aggregations are
-    applied to them afterwards and cost no further model call.
+    texts has one row per issue or page. Scores depend on text, hypothesis, chunking and limit only;
+    thresholds and aggregations are applied to them afterwards and cost no further model call. A text
+    is chunked once, whatever the number of its labels.
     """
     lists = hypothesis_lists(attributes, hypotheses(attributes))
-    labelled = labelled_texts(texts.select("issue_id", text), truth)
+    once = of_labelled(texts.select("issue_id", text), truth)
+    sets = once.select("issue_id", F.inline_outer(chunk_sets(text, chunkings, limits)))
+    chunked = sets.select("issue_id", "chunking_strategy", "max_tokens", F.explode_outer("chunks").alias("chunk"))
+    labelled = labelled_texts(chunked, truth)
     asked = lookup_join(labelled, lists, ["attribute_id"], "inner", row_id=["issue_id"])
-    scored = entailment_scores(all_chunks(asked, text, chunkings, limits), factory=factory)
     width = sum(len(t) for t in HYPOTHESIS_TEMPLATES.values())
     keys = ["issue_id", "attribute_id", "attribute", "is_related", "chunking_strategy", "max_tokens"]
-    return hypothesis_scores(scored, keys, width)
+    return hypothesis_scores(entailment_scores(asked, factory=factory), keys, width)
 
 
 def evaluate_grid(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_issue_text
-from ..operators.skew import lookup_join, skew_join, top_n_per_key
+from ..operators.skew import lookup_join, top_n_per_key
 from ..operators.summaries import histogram, sentiment_table, value_counts
 from ..session import materialize
 
@@ -50,17 +50,19 @@ def content_words(df: DataFrame, stop_words: Sequence[str], text: str = "text")
 def neighbour_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """word, neighbour, n: how often a word stands next to another, either side.
 
-    Each text sums its own pairs up in the task before the shuffle, so frequent pairs stay cheap.
+    Pairs are counted in the task before the shuffle, so frequent pairs stay cheap.
     """
     words = F.col(tokens)
-    ahead = F.zip_with(
-        words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))),
-        lambda a, b: F.struct(a.alias("word"), b.alias("neighbour")),
-    )
-    pairs = df.select(F.explode(ahead).alias("p")).select("p.*").filter(F.col("neighbour").isNotNull())
-    counted = pairs.groupBy("word", "neighbour").agg(F.count("*").alias("n"))
-    both = counted.unionByName(counted.select(F.col("neighbour").alias("word"), F.col("word").alias("neighbour"), "n"))
-    return both.groupBy("word", "neighbour").agg(F.sum("n").alias("n"))
+
+    def pairs(a, b):
+        return F.array(
+            F.struct(a.alias("word"), b.alias("neighbour")), F.struct(b.alias("word"), a.alias("neighbour"))
+        )
+
+    following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    before = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+    rows = df.select(F.explode(F.zip_with(before, following, pairs)).alias("pair")).select(F.inline("pair"))
+    return rows.groupBy("word", "neighbour").agg(F.count("*").alias("n"))
 
 
 def synonyms(neighbours: DataFrame, criteria: DataFrame, top: int = 10) -> DataFrame:
@@ -74,7 +76,7 @@ def synonyms(neighbours: DataFrame, criteria: DataFrame, top: int = 10) -> DataF
     lengths = neighbours.groupBy("word").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
     wanted = lookup_join(neighbours, criteria.select(F.col("criteria").alias("word")).distinct(), ["word"], row_id=["neighbour"])
     left = wanted.select(F.col("word").alias("criteria"), "neighbour", F.col("n").alias("m"))
-    shared = skew_join(neighbours, left, ["neighbour"], "inner", row_id=["word"])
+    shared = lookup_join(neighbours, left, ["neighbour"], "inner", row_id=["word"])
     dots = shared.groupBy("criteria", "word").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     of_criteria = lengths.select(F.col("word").alias("criteria"), F.col("length").alias("criteria_length"))
     scored = (

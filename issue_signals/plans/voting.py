@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunks import token_budget, token_count, token_windows
+from ..functions.chunks import token_budget, token_count, tokens, windows_of
 from ..functions.hypotheses import hypotheses, vote_prompt
-from ..operators.evaluate import labelled_texts, predictions_by_rule, quality, trial_results, vote_results
+from ..operators.evaluate import (
+    labelled_texts,
+    of_labelled,
+    predictions_by_rule,
+    quality,
+    trial_results,
+    vote_results,
+)
 from ..operators.scoring import Factory, votes
 from ..operators.skew import lookup_join
 
@@ -36,11 +43,11 @@ def prompt_chunks(
     empty = vote_prompt("hypotheses", F.lit(""))
     used = token_count(F.concat_ws(" ", empty["system"], empty["user"]))
     sized = lists.withColumn("max_tokens", token_budget(used, model_limit))
-    labelled = labelled_texts(texts.select("issue_id", text), truth)
-    asked = lookup_join(labelled, sized, ["attribute_id"], "inner", row_id=["issue_id"])
-    windows = asked.select("*", F.posexplode_outer(token_windows(text, F.col("max_tokens"))).alias("chunk_no", "chunk"))
+    words = of_labelled(texts.select("issue_id", text), truth).select("issue_id", tokens(text).alias("tokens"))
+    asked = lookup_join(labelled_texts(words, truth), sized, ["attribute_id"], "inner", row_id=["issue_id"])
+    windows = asked.select("*", F.posexplode_outer(windows_of("tokens", F.col("max_tokens"))).alias("chunk_no", "chunk"))
     prompt = vote_prompt("hypotheses", F.coalesce("chunk", F.lit("")))
-    return windows.withColumn("prompt", F.concat_ws("\n", prompt["system"], prompt["user"])).drop(text, "hypotheses")
+    return windows.withColumn("prompt", F.concat_ws("\n", prompt["system"], prompt["user"])).drop("tokens", "hypotheses")
 
 
 def vote_predictions(prompts: DataFrame, factory: Factory | None = None, trials: int = 5) -> DataFrame:
