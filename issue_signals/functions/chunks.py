@@ -5,13 +5,14 @@ Tokens are white-space tokens unless the caller brings a tokenizer. No token is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_SPACE, col, let, strip
+from .text import NOT_SPACE, col, let
 
 SPLITTERS = {
     "sentence": r"(?<=[\.\n])\s+",
@@ -69,55 +70,51 @@ def fit_context(text: Column | str, context: int, answer_tokens: int = 2) -> Col
     return let(tokens(text), tail)
 
 
-def packed_chunks(text: Column | str, max_tokens: int, strategy: str = "sentence") -> Column:
-    """Neighbouring pieces packed greedily into chunks of at most max_tokens tokens.
+def _white_space() -> Tokenizer:
+    return str.split, " ".join
 
-    A piece above the budget stays whole, as a chunk of its own.
-    """
-    return F.get(packed_chunk_lists(text, [max_tokens], strategy), F.lit(0))
 
+def _packed(counted: list[tuple[str, int]], budget: int) -> list[str]:
+    found: list[list[str]] = []
+    used = 0
+    for piece, n in counted:
+        if found and used + n <= budget:
+            found[-1].append(piece)
+            used += n
+        else:
+            found.append([piece])
+            used = n
+    return [" ".join(chunk).strip() for chunk in found]
 
-def packed_chunk_lists(text: Column | str, limits: Sequence[int], strategy: str = "sentence") -> Column:
-    """The packed chunks for each of several budgets; the text is split and counted once.
 
-    The fold over the pieces keeps only where each chunk starts, so its state grows with the chunks
-    and not with the text.
-    """
+def packer(
+    limits: Sequence[int], strategy: str = "sentence", tokenizer: Callable[[], Tokenizer] = _white_space
+) -> Callable[[Column], Column]:
+    """A column function: text -> for each token limit the list of chunks.
 
-    def starts(counted: Column, limit: int) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            fits = (acc["used"] > 0) & (acc["used"] + p["n"] <= limit)
-            return F.struct(
-                F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(p["place"]))).alias("starts"),
-                F.when(fits, acc["used"] + p["n"]).otherwise(p["n"]).alias("used"),
-            )
+    Neighbouring pieces are packed greedily into chunks of at most the limit; a piece above it stays
+    whole, as a chunk of its own. Packing is a running sum with restarts over the pieces of one text.
+    As a fold expression it took thirty times as long as this Arrow function, which splits and counts
+    a text once for all limits.
+    """
 
-        empty = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"))
-        return F.aggregate(counted, empty, step, lambda acc: acc["starts"])
+    @F.pandas_udf("array<array<string>>")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, _ = tokenizer()
+        boundary = re.compile(SPLITTERS[strategy])
 
-    def cut(kept: Column, at: Column) -> Column:
-        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(kept) + 1))
-        return F.zip_with(at, ends, lambda a, b: strip(F.array_join(F.slice(kept, a, b - a), " ")))
+        def chunks(text: str | None) -> list[list[str]]:
+            counted = [(p, len(encode(p))) for p in boundary.split(text or "") if p.strip()]
+            return [_packed(counted, limit) for limit in limits]
 
-    def pack(counted: Column) -> Column:
-        found = F.struct(
-            F.transform(counted, lambda p: p["piece"]).alias("kept"),
-            *[starts(counted, limit).alias(f"at{i}") for i, limit in enumerate(limits)],
-        )
-        lists = let(found, lambda c: F.array(*[cut(c["kept"], c[f"at{i}"]) for i in range(len(limits))]))
-        none = F.array(*[F.array().cast("array<string>") for _ in limits])
-        return F.when(F.size(counted) > 0, lists).otherwise(none)
+        for texts in batches:
+            yield texts.map(chunks, na_action=None)
 
-    measured = F.transform(pieces(text, strategy), lambda p: F.struct(p.alias("piece"), token_count(p).alias("n")))
-    counted = F.transform(
-        F.filter(measured, lambda p: p["n"] > 0),
-        lambda p, i: F.struct(p["piece"].alias("piece"), p["n"].alias("n"), (i + 1).alias("place")),
-    )
-    return let(counted, pack)
+    return pack
 
 
-def _white_space() -> Tokenizer:
-    return str.split, " ".join
+def packed_chunks(text: Column | str, max_tokens: int, strategy: str = "sentence") -> Column:
+    return F.get(packer([max_tokens], strategy)(col(text)), F.lit(0))
 
 
 def _line_chunks(text: str, encode: Callable, decode: Callable, budget: int, oversize: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,13 +29,20 @@ def entailment(logits: Column | str, index: int | None = None) -> Column:
     return F.get(softmax(x), place)
 
 
-def passes_cascade(scores: Column | str, thresholds: Column | Sequence[float]) -> Column:
+def ranked_scores(scores: Column | str) -> Column:
+    return F.sort_array(col(scores), asc=False)
+
+
+def ranked_pass(ranked: Column | str, thresholds: Sequence[float]) -> Column:
+    """True if the i-th of the ranked scores reaches the i-th threshold for any i; plain comparisons,
+    so that the generated code holds them."""
+    hits = [F.coalesce(F.get(col(ranked), F.lit(i)) >= float(t), F.lit(False)) for i, t in enumerate(thresholds)]
+    return reduce(lambda a, b: a | b, hits)
+
+
+def passes_cascade(scores: Column | str, thresholds: Sequence[float]) -> Column:
     """True if the i-th highest score reaches the i-th threshold for any i."""
-    limits = thresholds if isinstance(thresholds, Column) else F.array(*[F.lit(float(t)) for t in thresholds])
-    ranked = F.sort_array(F.filter(col(scores), lambda s: s.isNotNull()), asc=False)
-    return F.exists(
-        F.zip_with(ranked, limits, lambda s, t: F.coalesce(s >= t, F.lit(False))), lambda hit: hit
-    )
+    return ranked_pass(ranked_scores(scores), thresholds)
 
 
 def labelling_verdict(scores: Column | str, thresholds: Sequence[float] = LABELLING_THRESHOLDS) -> Column:
@@ -55,9 +63,3 @@ def sign_of(compound: Column | str, cut: float = 0.0) -> Column:
 
 def polarity_of_label(label: Column | str) -> Column:
     return F.when(col(label) == "POSITIVE", F.lit("+")).otherwise(F.lit("-"))
-
-
-def overlap_ratio(known: Column | str, words: Column | str) -> Column:
-    """Share of the distinct words that are known; 0.0 without words."""
-    w = col(words)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(w, col(known))), F.size(w)).cast("double"), F.lit(0.0))

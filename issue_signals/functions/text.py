@@ -23,11 +23,10 @@ from ..fixed_values import (
     TITLE_CHARS,
 )
 
-# --- fixed values: the characters that Python counts as white space, as a Java character class
-WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{WHITE}]+"
-NOT_SPACE = f"[^{WHITE}]"
-OUTER_SPACE = f"^[{WHITE}]+|[{WHITE}]+$"
+# Unicode white space plus the four separators that Python also counts as white space.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def col(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import SCORE_AGGREGATIONS, THRESHOLD_LISTS, VOTE_AGGREGATIONS, VOTE_RATIO
-from ..functions.scores import passes_cascade
+from ..functions.scores import ranked_pass, ranked_scores
 from ..functions.text import normal_answer
 from .skew import lookup_join
 
@@ -53,19 +53,25 @@ def predictions_by_setting(
 
     Settings are a list inside the row: scores are computed once and no settings table is joined.
     """
-    settings = [
+    kept = [c for c in scores.columns if c not in ("max_scores", "mean_scores")]
+    ranked = [
         F.struct(
             F.lit(version).alias("hypothesis_version"),
-            F.lit(threshold_name(limits)).alias("threshold_config"),
             F.lit(how).alias("aggregation_logic"),
-            passes_cascade(F.slice(f"{how}_scores", first + 1, count), limits).cast("double").alias("prediction"),
+            ranked_scores(F.slice(f"{how}_scores", first + 1, count)).alias("ranked"),
         )
         for version, (first, count) in versions.items()
-        for limits in threshold_lists
         for how in aggregations
     ]
-    kept = [c for c in scores.columns if c not in ("max_scores", "mean_scores")]
-    return scores.select(*kept, F.inline(F.array(*settings)))
+    judged = [
+        F.struct(
+            F.lit(threshold_name(limits)).alias("threshold_config"),
+            ranked_pass("ranked", limits).cast("double").alias("prediction"),
+        )
+        for limits in threshold_lists
+    ]
+    rows = scores.select(*kept, F.inline(F.array(*ranked)))
+    return rows.select(*kept, "hypothesis_version", "aggregation_logic", F.inline(F.array(*judged)))
 
 
 def trial_results(answers: DataFrame, keys: Sequence[str], answer: str = "answer") -> DataFrame:

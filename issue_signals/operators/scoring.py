@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import NEGATIVE_WORDS, POSITIVE_WORDS
-from ..functions.scores import overlap_ratio, sign_of
+from ..functions.scores import sign_of
 from ..functions.text import clean_for_sentiment, clean_issue_text, cue_counts, let, related_words
 from .skew import skew_join
 
@@ -134,22 +134,36 @@ def _one_by_one(model: Batch, text: str) -> tuple:
         return None, None, str(error)
 
 
-def hypothesis_words(hypotheses: Column | str) -> Column:
-    """The distinct cleaned words of each hypothesis."""
-    return F.transform(hypotheses, lambda h: F.array_distinct(F.split(clean_issue_text(h), " ")))
+def word_overlap() -> Batch:
+    """The model-free entailment score: the share of the hypothesis' distinct words in the chunk."""
 
+    @lru_cache(maxsize=1 << 14)
+    def words(text: str) -> frozenset[str]:
+        return frozenset("".join(c if "a" <= c <= "z" else " " for c in text.lower()).split())
 
-def overlap_scores(chunk: Column | str, words: Column | str) -> Column:
-    """Per hypothesis the share of its words in the chunk. The chunk is first cut down to the words of
-    all hypotheses, so that its long word list is looked at once."""
+    def score(pairs: list[tuple[frozenset[str], str]]) -> list[float]:
+        return [len(words(h) & chunk) / len(words(h)) if words(h) else 0.0 for chunk, h in pairs]
 
-    def known(p: Column) -> Column:
-        return F.struct(p["words"].alias("words"), F.array_intersect(p["chunk"], F.flatten(p["words"])).alias("known"))
+    return score
 
-    chunk_words = F.coalesce(F.split(clean_issue_text(chunk), " "), F.array().cast("array<string>"))
-    words = F.col(words) if isinstance(words, str) else words
-    parts = let(F.struct(words.alias("words"), chunk_words.alias("chunk")), known)
-    return let(parts, lambda p: F.transform(p["words"], lambda h: overlap_ratio(p["known"], h)))
+
+def _pair_scorer(factory: Factory, prepare: Callable[[str], object]) -> Callable[[Column, Column], Column]:
+    """A column function (chunk, hypotheses) -> one score per hypothesis."""
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = factory()
+
+        def scores(text: str | None, hypotheses: list[str]) -> list[float]:
+            if text is None:
+                return [0.0] * len(hypotheses)
+            chunk = prepare(text)
+            return [float(s) for s in model([(chunk, h) for h in hypotheses])]
+
+        for texts, lists in batches:
+            yield pd.Series([scores(t, h) for t, h in zip(texts, lists)])
+
+    return score
 
 
 def entailment_scores(
@@ -157,28 +171,17 @@ def entailment_scores(
 ) -> DataFrame:
     """Add scores, one per hypothesis of the row; a NULL chunk scores 0.0 throughout.
 
-    A factory's function takes [(chunk, hypothesis), ...] and returns probabilities; each distinct
-    pair is scored once. Default: share of the hypothesis' words in the chunk, from the words in a
-    column hypothesis_words where there is one.
+    A factory's function takes [(chunk, hypothesis), ...] and returns probabilities. Each distinct
+    chunk and hypothesis list is scored once, as a model costs far more than the shuffle that finds
+    them. Default: word_overlap, which is cheap and scores the rows where they are.
     """
     if factory is None:
-        words = F.col("hypothesis_words") if "hypothesis_words" in chunks.columns else hypothesis_words(hypotheses)
-        return chunks.withColumn("scores", overlap_scores(chunk, words))
+        cleaned = F.when(F.col(chunk).isNotNull(), clean_issue_text(chunk))
+        overlap = _pair_scorer(word_overlap, lambda t: frozenset(t.split()))
+        return chunks.withColumn("scores", overlap(cleaned, F.col(hypotheses)))
     keyed = chunks.withColumn("pair_key", F.sha2(F.concat_ws("\x01", F.col(chunk), F.col(hypotheses)), 256))
     once = keyed.groupBy("pair_key").agg(F.any_value(chunk).alias("c"), F.any_value(hypotheses).alias("h"))
-
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = factory()
-        for texts, lists in batches:
-            yield pd.Series(
-                [
-                    [0.0] * len(h) if t is None else [float(s) for s in model([(t, one) for one in h])]
-                    for t, h in zip(texts, lists)
-                ]
-            )
-
-    scored = once.select("pair_key", score("c", "h").alias("scores"))
+    scored = once.select("pair_key", _pair_scorer(factory, str)("c", "h").alias("scores"))
     row_id = [c for c in chunks.columns if c not in (chunk, hypotheses)]
     return skew_join(keyed, scored, ["pair_key"], "inner", row_id=row_id).drop("pair_key")
 

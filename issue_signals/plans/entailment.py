@@ -15,7 +15,7 @@ from ..fixed_values import (
     THRESHOLD_LISTS,
     TOKEN_LIMITS,
 )
-from ..functions.chunks import line_chunker, packed_chunk_lists
+from ..functions.chunks import line_chunker, packer
 from ..functions.hypotheses import hypotheses, labelling_hypotheses
 from ..functions.scores import labelling_verdict
 from ..functions.text import verdict_json
@@ -28,7 +28,7 @@ from ..operators.evaluate import (
     todo,
 )
 from ..operators.keywords import attribute_terms, keyword_matches
-from ..operators.scoring import Factory, entailment_scores, hypothesis_words
+from ..operators.scoring import Factory, entailment_scores
 from ..operators.skew import lookup_join
 
 DEFAULT_MODEL = "token-overlap"
@@ -36,12 +36,10 @@ SETTING = ["chunking_strategy", "threshold_config", "hypothesis_version", "max_t
 
 
 def hypothesis_lists(attributes: DataFrame, rows: DataFrame) -> DataFrame:
-    """attribute_id, attribute, hypotheses, hypothesis_words: an attribute's hypotheses in version and
-    template order. Their words are taken here, once per attribute and not per chunk."""
+    """attribute_id, attribute, hypotheses: an attribute's hypotheses in version and template order."""
     ordered = F.array_sort(F.collect_list(F.struct("version", "hypothesis_no", "hypothesis")))
     lists = rows.groupBy("attribute_id").agg(F.transform(ordered, lambda h: h["hypothesis"]).alias("hypotheses"))
-    named = attributes.select("attribute_id", "attribute").join(lists, "attribute_id")
-    return named.withColumn("hypothesis_words", hypothesis_words("hypotheses"))
+    return attributes.select("attribute_id", "attribute").join(lists, "attribute_id")
 
 
 def version_places(templates: dict[str, Sequence[str]] = HYPOTHESIS_TEMPLATES) -> dict[str, tuple[int, int]]:
@@ -87,7 +85,7 @@ def chunk_sets(text: str, chunkings: Sequence[str] = CHUNKINGS, limits: Sequence
 
     def sets_of(strategy: str) -> Column:
         return F.zip_with(
-            packed_chunk_lists(text, limits, strategy),
+            packer(limits, strategy)(F.col(text)),
             F.array(*[F.lit(n) for n in limits]),
             lambda chunks, n: F.struct(
                 F.lit(strategy).alias("chunking_strategy"), n.alias("max_tokens"), chunks.alias("chunks")
