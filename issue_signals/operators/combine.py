@@ -31,7 +31,7 @@ def by_users(issues: DataFrame) -> DataFrame:
 
 def _crowded(comments: DataFrame, page_comments: int) -> DataFrame | None:
     """Issues with more than page_comments comments, or None. Reads the key column only."""
-    counts = comments.filter(F.col("body_text").isNotNull()).groupBy("issue_id").agg(F.count("*").alias("n"))
+    counts = comments.groupBy("issue_id").agg(F.count("*").alias("n"))
     crowded = counts.filter(F.col("n") > page_comments).select("issue_id", F.lit(True).alias("crowded"))
     return None if crowded.isEmpty() else crowded
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import NEGATIVE_WORDS, POSITIVE_WORDS
 from ..functions.scores import sign_of
 from ..functions.text import clean_for_sentiment, clean_issue_text, cue_counts, let, related_words
-from .skew import skew_join
+from .skew import lookup_join, skew_join
 
 Batch = Callable[[list[str]], list]
 Factory = Callable[[], Batch]
@@ -74,14 +74,11 @@ def lexicon_compound(
 def weighted_compound(df: DataFrame, lexicon: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """keep..., compound: mean weight of the text's lexicon words (word, weight), 0.0 without any.
 
-    A join on the word: texts give their words with counts first, so a word is sent once per text.
+    The lexicon is normally small: words meet it where they are, and each task sends one sum per text.
     """
     words = df.select(*keep, F.explode_outer(F.split(clean_issue_text(text), " ")).alias("word"))
-    counted = words.groupBy(*keep, "word").agg(F.count("*").alias("n"))
-    joined = skew_join(counted, lexicon.select("word", "weight"), ["word"], "left", row_id=list(keep))
-    total = F.sum(F.col("n") * F.col("weight"))
-    hits = F.sum(F.when(F.col("weight").isNotNull(), F.col("n")))
-    return joined.groupBy(*keep).agg(F.coalesce(F.try_divide(total, hits), F.lit(0.0)).alias("compound"))
+    joined = lookup_join(words, lexicon.select("word", "weight"), ["word"], "left", row_id=list(keep))
+    return joined.groupBy(*keep).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("compound"))
 
 
 def sentiment(
