@@ -26,7 +26,7 @@ from ..fixed_values import (
 # Unicode white space plus the four separators that Python also counts as white space.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
-OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -49,7 +49,8 @@ def squeeze(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    """White space off both ends; looks at the ends only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def any_substring(lowered: Column, words: Sequence[str]) -> Column:
