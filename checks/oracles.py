@@ -289,6 +289,14 @@ ORACLES: dict[str, str] = {
     "q_csv_roundtrip": "SELECT doc_id, text, lang FROM documents",
     "q_append_run": """SELECT user_id AS project_id, event_type AS criteria,
         CASE WHEN event_type <> 'error' THEN value END AS similarity_score, event_id AS issue_id FROM events""",
+    "q_land_stream": f"SELECT doc_id AS issue_id, {PROJECT} AS project_id, source AS title FROM documents",
+    # A first run that skips lower ids of a project leaves them behind its mark.
+    "q_tracked_runs": f"""WITH marks AS (SELECT source, max(doc_id) AS mark FROM documents
+          WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source)
+        SELECT {PROJECT} AS project_id, doc_id AS issue_id FROM documents LEFT JOIN marks USING (source)
+        WHERE doc_id > coalesce(mark, 0) OR (doc_id > 0 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
+    "q_alert_stream": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS criteria, count(*) AS mentions FROM events
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL HAVING count(*) > 60""",
     "q_combine_a": f"""SELECT issue_id, project_id, 0::BIGINT AS page_no,
         concat_ws(' ', 'title: ' || title, body_text, 'comment: ' || comment_text) AS text
         FROM ({GAPS}) i LEFT JOIN ({comment_text("chr(10)")}) c USING (issue_id) WHERE title IS NOT NULL OR body_text IS NOT NULL""",
@@ -359,7 +367,7 @@ ORACLES: dict[str, str] = {
         SELECT (SELECT count(DISTINCT issue_id) FROM ({GAPS}) WHERE length(body_text) > 0 AND owner_type = 'User') AS total,
           (SELECT count(*) FROM labels) AS existing, (SELECT coalesce(max(doc_id), 0) FROM labels) AS last_issue_id)""",
     "q_next_batch": f"""SELECT issue_id, project_id FROM ({ISSUES})
-        WHERE issue_id > (SELECT coalesce(max(doc_id), 0) FROM labels WHERE doc_id < 100) ORDER BY issue_id LIMIT 100""",
+        WHERE issue_id > (SELECT coalesce(max(doc_id), 0) FROM labels WHERE toxic = 1 AND quality = 0) ORDER BY issue_id LIMIT 100""",
     "q_page": f"SELECT issue_id, project_id FROM ({ISSUES}) ORDER BY issue_id LIMIT 30 OFFSET 30",
     "q_mean_vector": """SELECT label, (i - 1)::INT AS position, round(avg(embedding[i]::DOUBLE), 6) AS value
         FROM embeddings, range(1, 65) r(i) GROUP BY ALL""",
@@ -394,13 +402,13 @@ ORACLES: dict[str, str] = {
           round(max(len(list_intersect(h.hs, c.cs))::DOUBLE / len(h.hs)), 8) AS max_score,
           round(avg(len(list_intersect(h.hs, c.cs))::DOUBLE / len(h.hs)), 8) AS mean_score
         FROM ({TRUTH}) t JOIN hyp_words h USING (attribute_id) JOIN chunks c ON c.id = t.issue_id GROUP BY ALL""",
-    "q_entailment": """SELECT vec_id, round(e3 / (e1 + e2 + e3), 5) AS sweep, round(e1 / (e1 + e2 + e3), 5) AS production,
-        round(e2 / (e1 + e2), 5) AS two_classes FROM (SELECT vec_id, exp(embedding[1]::DOUBLE * 10) AS e1, exp(embedding[2]::DOUBLE * 10) AS e2,
-        exp(embedding[3]::DOUBLE * 10) AS e3 FROM embeddings)""",
+    "q_entailment": """SELECT vec_id, round(e[3] / list_sum(e), 7) AS sweep, round(e[1] / list_sum(e), 7) AS production,
+        round(e[64] / (e[1] + e[64]), 7) AS two_classes
+        FROM (SELECT vec_id, list_transform(embedding, lambda v: exp(v::DOUBLE * 10)) AS e FROM embeddings)""",
     "q_cascade": f"""SELECT vec_id, {cascade("s", THRESHOLD_LISTS[0])} AS lenient, {cascade("s", THRESHOLD_LISTS[1])} AS middle,
         {cascade("s", THRESHOLD_LISTS[2])} AS strict, l AS nli_label, '{{"label":"' || l || '","score":' || s[1]::VARCHAR || '}}' AS nli_json FROM (
         SELECT vec_id, s, CASE WHEN {cascade("s", [0.9, 0.85, 0.8, 0.75, 0.7])} THEN 'maybe-relevant' ELSE 'maybe-not-relevant' END AS l FROM (
-        SELECT vec_id, list_reverse_sort(list_transform(embedding[1:5], lambda v: round(least(abs(v::DOUBLE) * 4, 1.0), 4))) AS s FROM embeddings))""",
+        SELECT vec_id, list_reverse_sort(list_transform(embedding, lambda v: round(least(abs(v::DOUBLE) * 2.5, 1.0), 4))) AS s FROM embeddings))""",
     # A cleaned text is one line without full stops: above the budget it is cut into windows.
     "q_label_corpus": f"""WITH parts AS ({ATTRIBUTE_PARTS}), hyps AS ({hypothesis_rows({"prod": LABELLING_TEMPLATES})}),
         hyp_words AS (SELECT attribute_id, hypothesis_no, list_distinct(string_split({clean("hypothesis")}, ' ')) AS hs FROM hyps),

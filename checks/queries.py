@@ -21,6 +21,7 @@ from issue_signals.plans.corpus import new_corpus_rows
 from issue_signals.plans.mentions import criteria_mentions
 from issue_signals.session import shared_dir
 from issue_signals.sources import landing, schemas, sinks
+from issue_signals.streaming import ingest
 
 from . import standins as T
 
@@ -105,7 +106,7 @@ def q_orphans(spark, sf):
 
 @query
 def q_csv_roundtrip(spark, sf):
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = _fresh_dir(spark)
     table = docs(spark, sf).select("doc_id", "text", "lang")
     sinks.write_csv(table, path)
     return landing.read_csv(spark, path, table.schema)
@@ -114,7 +115,7 @@ def q_csv_roundtrip(spark, sf):
 @query
 def q_append_run(spark, sf):
     """Two runs of a results table, the second written twice; a NaN score becomes NULL."""
-    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    path = _fresh_dir(spark)
     rows = T.table(spark, sf, "events").select(
         F.col("user_id").alias("project_id"), F.col("event_type").alias("criteria"), F.lit("+").alias("semantic"),
         F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")).alias("similarity_score"),
@@ -127,6 +128,49 @@ def q_append_run(spark, sf):
     return stored.select("project_id", "criteria", "similarity_score", "issue_id")
 
 
+def _fresh_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@query
+def q_land_stream(spark, sf):
+    """All documents land twice, the second time under another title; the stream runs after each."""
+    at = _fresh_dir(spark)
+    raw = docs(spark, sf).select(F.col("doc_id").alias("id"), T.project_id().alias("project_id"), F.col("source").alias("title"))
+    for title in (F.col("title"), F.lit("again")):
+        raw.withColumn("title", title).write.mode("append").json(f"{at}/in")
+        stream = ingest.raw_stream(spark, f"{at}/in", schemas.RAW_ISSUES)
+        ingest.land_stream(stream, landing.issue_rows, f"{at}/issues", schemas.ISSUES, "issue_id", f"{at}/mark").awaitTermination()
+    return landing.read_table(spark, f"{at}/issues", schemas.ISSUES, ["issue_id", "project_id", "title"])
+
+
+@query
+def q_tracked_runs(spark, sf):
+    """Three tracked runs: over the labelled issues, over all, and over all again."""
+    at = _fresh_dir(spark)
+    issues = T.issues(spark, sf).select("issue_id", "project_id")
+    labelled = T.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("issue_id"))
+
+    def analyse(batch):
+        return batch.select("project_id", F.lit("c").alias("criteria"), "issue_id")
+
+    for i, seen in enumerate((issues.join(labelled, "issue_id", "left_semi"), issues, issues)):
+        ingest.analyse_above_tracker(seen, f"{at}/m{i}", f"{at}/m{i + 1}", analyse, f"{at}/out", schemas.MENTIONS, f"r{i}")
+    return landing.read_table(spark, f"{at}/out", schemas.MENTIONS, ["project_id", "issue_id"])
+
+
+@query
+def q_alert_stream(spark, sf):
+    """Days that a watermark of one day has closed, with more than 60 mentions."""
+    at = _fresh_dir(spark)
+    table = T.table(spark, sf, "events").select(F.col("event_type").alias("criteria"), F.col("ts").cast("timestamp").alias("created_at"))
+    table.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(table.schema).parquet(f"{at}/in")
+    ingest.alert_stream(stream, 60, "1 day", f"{at}/out", f"{at}/mark").awaitTermination()
+    rows = spark.read.schema("day timestamp, criteria string, mentions long").parquet(f"{at}/out")
+    return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 # ---------------------------------------------------------------------------- texts
 
 @query
@@ -317,7 +361,7 @@ def q_progress(spark, sf):
 
 @query
 def q_next_batch(spark, sf):
-    mark = progress.watermark(T.table(spark, sf, "labels").filter("doc_id < 100"), "doc_id").scalar()
+    mark = progress.watermark(T.table(spark, sf, "labels").filter("toxic = 1 AND quality = 0"), "doc_id").scalar()
     return progress.next_batch(T.issues(spark, sf).select("issue_id", "project_id"), mark, 100)
 
 
@@ -425,16 +469,17 @@ def q_nli_scores(spark, sf):
 
 @query
 def q_entailment(spark, sf):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double") * 10)
+    logits = F.transform("embedding", lambda v: v.cast("double") * 10)
+    ends = F.array(F.element_at(logits, 1), F.element_at(logits, -1))
     return T.table(spark, sf, "embeddings").select(
-        "vec_id", F.round(S.entailment(logits), 5).alias("sweep"), F.round(S.entailment(logits, 0), 5).alias("production"),
-        F.round(S.entailment(F.slice(logits, 1, 2)), 5).alias("two_classes"),
+        "vec_id", F.round(S.entailment(logits), 7).alias("sweep"), F.round(S.entailment(logits, 0), 7).alias("production"),
+        F.round(S.entailment(ends), 7).alias("two_classes"),
     )
 
 
 @query
 def q_cascade(spark, sf):
-    scores = F.transform(F.slice("embedding", 1, 5), lambda v: F.round(F.least(F.abs(v.cast("double")) * 4, F.lit(1.0)), 4))
+    scores = F.transform("embedding", lambda v: F.round(F.least(F.abs(v.cast("double")) * 2.5, F.lit(1.0)), 4))
     verdict = S.labelling_verdict("scores")
     rows = T.table(spark, sf, "embeddings").select("vec_id", scores.alias("scores"))
     return rows.select(
