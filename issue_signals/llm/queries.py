@@ -11,18 +11,39 @@ from issue_signals.llm.bpe import decoded, encoded
 from issue_signals.llm.chat import conversation_digests, formatted
 from issue_signals.llm.common import table
 from issue_signals.llm.exact_dedup import exact_duplicates
+from issue_signals.llm.html_extract import extracted
+from issue_signals.llm.html_extract import trained as trained_extractor
 from issue_signals.llm.mixing import mixture
+from issue_signals.llm.quality import graded, grades_of
+from issue_signals.llm.quality import trained as trained_classifier
 from issue_signals.llm.sharding import sharded
+from issue_signals.llm.simhash import near_duplicates
+from issue_signals.llm.weighted_fingerprints import edited_fingerprints
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SHARDS = 16
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharded(table(spark, sf_dir, "documents"), SHARDS)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = graded(docs, trained_classifier(docs, grades_of(labels)))
+    return rows.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round(F.get("tails", F.lit(1)), 6).alias("p_best"), "kept")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,12 +76,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extracted(pages, trained_extractor(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_sharding": op3_sharding,
+    "op4_weighted_fingerprints": op4_weighted_fingerprints,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
