@@ -25,8 +25,9 @@ from pyspark.sql.types import BinaryType
 
 from issue_signals.llm.common import small_batches
 
-#: Words whose ids a worker remembers; beyond it starts over. Characters of texts taken together.
-MAX_KNOWN, GROUP_CHARS = 500_000, 12 << 20
+#: Words, and pieces, whose ids a worker remembers until it forgets those that it didn't meet since the
+#: last time. Characters of texts taken together.
+MAX_KNOWN, GROUP_CHARS = 250_000, 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -142,15 +143,16 @@ def replay(pieces: list[bytes], path: str) -> list[bytes]:
 
 
 @lru_cache(maxsize=2)
-def _known(path: str, pattern: str) -> tuple[regex.Pattern, dict[str, bytes], dict[str, bytes | None]]:
-    """The compiled pattern, the ids of pieces, and the ids of the words that follow a space."""
-    return regex.compile(pattern), {}, {}
+def _known(path: str, pattern: str) -> tuple[regex.Pattern, dict[str, bytes], dict[str, bytes | None], dict[str, bytes | None]]:
+    """The compiled pattern, the ids of pieces, and the ids of the words that follow a space: those met
+    lately, and those met before."""
+    return regex.compile(pattern), {}, {}, {}
 
 
 def _learn(groups: Iterable[Iterable[str]], path: str, pattern: str) -> None:
     pieces = _known(path, pattern)[1]
     new = list(set().union(*groups).difference(pieces))
-    if len(pieces) + len(new) > 2 * MAX_KNOWN:
+    if len(pieces) + len(new) > MAX_KNOWN:
         pieces.clear()
         new = list(set().union(*groups))
     pieces.update(zip(new, replay([p.encode() for p in new], path)))
@@ -158,7 +160,7 @@ def _learn(groups: Iterable[Iterable[str]], path: str, pattern: str) -> None:
 
 def _by_pieces(text: str, path: str, pattern: str) -> bytes:
     """The ids of a text of any form; a very long one is taken part by part."""
-    compiled, pieces, _ = _known(path, pattern)
+    compiled, pieces, *_ = _known(path, pattern)
     found = iter(compiled.findall(text)) if len(text) < GROUP_CHARS else (m.group() for m in compiled.finditer(text))
     out = []
     while group := list(islice(found, 1_000_000)):
@@ -173,12 +175,17 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     Where one space or line break stands between two other characters, no piece of the pattern crosses
     it, and what follows it is the same everywhere. So a text is cut there into words whose ids are
     remembered; a text with other white space at a cut goes through the pattern as a whole."""
-    compiled, pieces, words = _known(path, pattern)
+    compiled, pieces, words, earlier = _known(path, pattern)
     cut = [t.replace("\n", " \n").split(" ") for t in texts]
     new = set().union(*(c[1:] for c in cut)).difference(words)
     if len(words) + len(new) > MAX_KNOWN:
+        earlier.clear()
+        earlier.update(words)
         words.clear()
         new = set().union(*(c[1:] for c in cut))
+    again = new & earlier.keys()
+    words.update((w, earlier[w]) for w in again)
+    new -= again
     parted: dict[str, list[str]] = {}
     for word in new:
         body = word[1:] if word[:1] == "\n" else word
