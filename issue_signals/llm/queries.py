@@ -18,6 +18,7 @@ from issue_signals.llm.quality import graded, grades_of
 from issue_signals.llm.quality import trained as trained_classifier
 from issue_signals.llm.sharding import sharded
 from issue_signals.llm.simhash import near_duplicates
+from issue_signals.llm.suffix_dedup import without_repeats
 from issue_signals.llm.weighted_fingerprints import edited_fingerprints
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +30,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    rows = without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharded(table(spark, sf_dir, "documents"), SHARDS)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -83,6 +90,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_weighted_fingerprints": op4_weighted_fingerprints,
     "op5_quality": op5_quality,
