@@ -299,11 +299,17 @@ def _repeated(runs: DataFrame) -> DataFrame:
     schema = pa.schema([("suffix", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def solve(blobs: list[bytes]) -> pa.RecordBatch:
-        lcp, payloads = [], []
+        lcp, payloads, copies = [], [], []
+        seen: dict[bytes, int] = {}
         for _, shared, payload in merged([pickle.loads(b) for b in blobs]):
+            at = seen.setdefault(payload[4], len(lcp))
+            if at < len(lcp):  # the suffix of another run, with equal bytes after and before: one entry
+                copies[at] += payload[3]
+                continue
             lcp.append(shared)
             payloads.append(payload)
-        before, least, most, copies, names = zip(*payloads)
+            copies.append(payload[3])
+        before, least, most, _, names = zip(*payloads)
         least, most = np.array(least), np.array(most)
         low, high = covered(np.array(lcp), list(before), least, most, np.array(copies))
         hit = np.flatnonzero(low <= high)
@@ -333,6 +339,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = _anchored(docs, id_col, text_col)
     marks = known.select("sha", "doc_id", F.inline("anchors"))
     twice = known.select(F.explode("anchors.hash").alias("hash")).groupBy("hash").count().filter("count > 1").select("hash")
+    twice = shared_table(twice, "suffix-hashes")  # a table, so that both sides of the join are shuffled for it and a hot hash is split
     kept = marks.join(twice, "hash", "left_semi")
     per_text = kept.groupBy("sha", "doc_id").agg(F.collect_list(F.struct("hash", "place", "first", "last")).alias("anchors"))  # a text's own
     per_text = shared_table(per_text, "suffix-candidates")
