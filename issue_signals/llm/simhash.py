@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issue_signals.llm.common import shared_table, small_batches, text_or_empty
@@ -77,16 +77,17 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, simhash (the 64 bits as a signed long) per row of docs. No words: 0."""
+    """doc_id, text_hash, simhash (the 64 bits as a signed long) per row of docs. No words: 0."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8").alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "simhash"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "simhash"])
 
-    return rows.mapInArrow(compute, "doc_id long, simhash long")
+    return rows.mapInArrow(compute, "doc_id long, text_hash long, simhash long")
 
 
 def masks(bits: int = BITS, blocks: int = BLOCKS) -> list[int]:
@@ -200,6 +201,18 @@ def close_links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> Da
     return dealt.mapInArrow(verify, "u long, v long")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, bits: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs, and the row that stands for each fingerprint's component: simhash, stays
+    (no_id, doc_id, text_hash)."""
+    prints = shared_table(fingerprints(docs, id_col, text_col), "simhash")
+    linked = components(close_links(prints, bits, blocks))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = prints.groupBy("simhash").agg(F.min(row).alias("least"))
+    named = least.join(linked, least["simhash"] == linked["node"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("stays"))
+    return prints, named.join(smallest, "component").select("simhash", "stays")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """One row per row of docs: doc_id, simhash, component_id.
 
@@ -207,21 +220,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked. A null or blank text has fingerprint 0 and is linked like any other. Rows with a null id
     link others but are never a component's id, which is null if no row of it has an id. Repeated rows
     are repeated in the result. An empty table gives no rows."""
-    prints = shared_table(fingerprints(docs, id_col, text_col), "simhash")
-    linked = components(close_links(prints, bits, blocks))
-    least = prints.groupBy("simhash").agg(F.min("doc_id").alias("least"))
-    named = least.join(linked, least["simhash"] == linked["node"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(smallest, "component").select("simhash", "component_id")
-    return prints.join(classes, "simhash").select("doc_id", "simhash", "component_id")
+    prints, classes = _classes(docs, id_col, text_col, bits, blocks)
+    return prints.join(classes, "simhash").select("doc_id", "simhash", F.col("stays.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id; rows that repeat that
-    id stay with it, and so do rows without an id if no row of the component has one."""
-    stays = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    on = ["__id", "__no_id"]
-    stays = stays.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """One row of docs of each component, with all its columns: the one with the smallest id (a null id
+    comes last), and of rows that share it the one with the smallest hash of its text."""
+    _, classes = _classes(docs, id_col, text_col, bits, blocks)
+    on = ["__id", "__no_id", "__text"]
+    stays = classes.select("stays").distinct().select(F.coalesce("stays.doc_id", F.lit(0)).alias("__id"), F.col("stays.no_id").alias("__no_id"), F.col("stays.text_hash").alias("__text"))
     key = F.col(f"`{id_col}`").cast("long")
-    rows = docs.withColumns({"__id": F.coalesce(key, F.lit(0)), "__no_id": key.isNull()})
-    return rows.join(stays, on, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumns({"__id": F.coalesce(key, F.lit(0)), "__no_id": key.isNull(), "__text": F.xxhash64(F.encode(text_or_empty(text_col), "UTF-8"))})
+    first = Window.partitionBy(*on).orderBy(F.lit(0))
+    rows = rows.join(stays, on, "left_semi").withColumn("__place", F.row_number().over(first)).filter("__place = 1")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from issue_signals.llm import mixing, sharding
 
 DOCS = "doc_id long, source string, text string"
-EXTRA = {c: F.lit(1) for c in ("size", "place", "whole", "threshold", "weight", "cell", "at", "slot", "shard", "rank", "pieces", "taken", "target")}
+EXTRA = ("size", "place", "whole", "threshold", "weight", "cell", "at", "slot", "shard", "rank", "pieces", "taken", "target")
+
+
+def with_extra(df):
+    return df.withColumns({c: F.lit(1) for c in EXTRA})
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, DOCS).withColumns(EXTRA)
+    return with_extra(spark.createDataFrame(rows, DOCS))
 
 
 def documents(n=400, seed=1):

@@ -19,7 +19,11 @@ from issue_signals.llm import weighted_fingerprints as cws
 from issue_signals.llm.html_pages import Maker
 from issue_signals.llm.queries import VOCABULARY, ids_digest, op7_chat_formatting, token_digests
 
-EXTRA = {c: F.lit("x") for c in ("ids", "term", "weight", "range", "role2", "words", "score", "version", "kept", "model", "at")}
+EXTRA = ("ids", "term", "weight", "range", "role2", "words", "score", "version", "kept", "model", "at")
+
+
+def with_extra(df):
+    return df.withColumns({c: F.lit("x") for c in EXTRA})
 
 
 @pytest.fixture(scope="module")
@@ -66,7 +70,7 @@ def test_small_memory_gives_the_same_ids(library, monkeypatch):
 
 def test_token_digests(spark, library):
     rows = [*enumerate(ODD), (900, None), (None, "a b"), (901, "same"), (901, "same")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(EXTRA)
+    docs = with_extra(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted(tuple(r) for r in token_digests(docs, VOCABULARY).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).collect())
     want = []
     for i, t in rows:
@@ -139,7 +143,7 @@ def test_edited_texts(spark, monkeypatch):
     r = random.Random(5)
     texts = [None, "", " ", "a", "a b c d", "a b c d e", "é𝄞 ü" * 9, " lead and trail \n", *(" ".join(r.choices("abcdefgh", k=r.randint(3, 90))) for _ in range(22))]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(9, texts[20]), (9, texts[20]), (None, "no id a b c d e f"), (None, "no id either")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(EXTRA)
+    docs = with_extra(spark.createDataFrame(rows, "doc_id long, text string"))
     got = cws.edited_fingerprints(docs, samples=8)
     assert got.count() == len(rows)
     hashes = {t: h for t, h in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
@@ -186,7 +190,7 @@ def test_ordinal_gradient_finds_the_likeliest_thresholds():
 
 def test_graded_documents_equal_the_model_row_by_row(spark):
     texts = [None, "", "good words here", "BAD!! BAD!!", "x " * 3000] + [f"text {i} {'awful' if i % 3 == 0 else 'fine'}" for i in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "awful"), (4, "awful")], "doc_id long, text string").withColumns(EXTRA)
+    docs = with_extra(spark.createDataFrame(list(enumerate(texts)) + [(None, "awful"), (4, "awful")], "doc_id long, text string"))
     labels = spark.createDataFrame([(i, 0 if i % 3 == 2 else 2) for i in range(5, 65)] + [(None, 1), (5, None), (6, 2)], "doc_id long, grade int")
     model = quality.trained(docs, labels)
     again = quality.trained(docs.repartition(5), labels.repartition(3))
@@ -259,7 +263,7 @@ def test_a_plain_page(extractor):
 
 def test_page_edges(spark, extractor):
     broken = ["", None, "<", "<p", "plain text", "</div></p>", "<![foo[x]]><p>", "<script>never closed", "<div>" * 3000, "<title>a<body>", "&#xZZ; &amp", "<ul><li>a<li>b</ul>"]
-    pages = spark.createDataFrame([(i, None, h) for i, h in enumerate(broken)] + [(0, "u", "")], "page_id long, url string, html string").withColumns(EXTRA)
+    pages = with_extra(spark.createDataFrame([(i, None, h) for i, h in enumerate(broken)] + [(0, "u", "")], "page_id long, url string, html string"))
     rows = html_extract.extracted(pages, extractor).collect()
     assert len(rows) == len(broken) + 1 and all(isinstance(r.text, str) for r in rows)
     assert {r.text for r in rows if r.page_id in (0, 1, 7)} == {""}
