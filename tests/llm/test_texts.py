@@ -163,7 +163,7 @@ def test_edited_texts(spark, monkeypatch):
     assert len(set(by_text.values())) >= len({tuple(words(t)) for t in by_text}) and by_text[""] == by_text[" "] == "0" * 64
     assert cws.edited_fingerprints(docs.limit(0)).count() == 0
     (only,) = cws.edited_fingerprints(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
-    assert only.near_next == 1.0 and only.edited_sha256 == sha("a b c a b ")
+    assert only.near_next == 1.0 and only.edited_sha256 == sha("a b c a b c")
     assert cws.fingerprints(docs, samples=8).filter("doc_id = 3").first().fingerprint == "0" * 64
 
 
