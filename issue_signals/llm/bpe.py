@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from issue_signals.llm.common import small_batches
+from issue_signals.llm.common import small_batches, together
 
 #: Words, and pieces, whose ids a worker remembers until it forgets those that it didn't meet since the
 #: last time. Characters of texts taken together.
@@ -213,12 +213,6 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    pattern = default_pattern()
-    return lambda text: np.frombuffer(encode_texts([text], path, pattern)[0], "<i4")
-
-
 def decode_ids(ids: Iterable[int], path: str) -> bytes:
     """The bytes of the tokens, one after the other. An id outside the vocabulary is an IndexError."""
     return b"".join(map(tokens(path).__getitem__, ids))
@@ -234,23 +228,11 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            texts = [t or "" for batch in held for t in batch.column("text").to_pylist()]
-            parts = encode_texts(texts, path, pattern)
-            for batch in held:
-                own, parts = parts[: len(batch)], parts[len(batch) :]
-                ends = np.cumsum([0, *(len(p) // 4 for p in own)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
-            held.clear()
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.nbytes for b in held) > GROUP_CHARS:
-                yield from flush()
-        yield from flush()
+        for batch in together(batches, GROUP_CHARS):
+            parts = encode_texts([t or "" for t in batch.column("text").to_pylist()], path, pattern)
+            ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return rows.mapInArrow(encode, "doc_id long, ids array<int>")
 

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from issue_signals.llm.bpe import decode_ids, encoder, vocabulary_size
-from issue_signals.llm.common import small_batches
+from issue_signals.llm.bpe import GROUP_CHARS, decode_ids, default_pattern, encode_texts, vocabulary_size
+from issue_signals.llm.common import small_batches, together
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE = re.compile(r"<(\\*)\|")
@@ -44,16 +44,21 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def turn_ids(role: str | None, text: str | None, path: str, loss_roles: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and loss mask of one turn."""
-    encode, start = encoder(path), vocabulary_size(path)
-    segments = ([start], encode(escape_role(role or "") + "\n"), encode(escape(text or "")), [start + 1], encode("\n"))
-    ends = np.cumsum([len(s) for s in segments])
-    ids = np.concatenate([np.asarray(s, np.int32) for s in segments])
-    mask = np.zeros(ends[-1], np.int8)
-    if (role or "") in loss_roles:
-        mask[ends[1] : ends[2]] = 1
-    return ids, mask
+def turns_ids(roles: list[str | None], texts: list[str | None], path: str, loss_roles: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and loss mask of each turn. The segments of all turns are encoded together, each by itself."""
+    start, count = vocabulary_size(path), len(roles)
+    segments = [escape_role(r or "") + "\n" for r in roles] + [escape(t or "") for t in texts] + ["\n"]
+    encoded = [np.frombuffer(ids, "<i4") for ids in encode_texts(segments, path, default_pattern())]
+    begin, end = np.array([start], np.int32), np.array([start + 1], np.int32)
+    out = []
+    for k, role in enumerate(roles):
+        parts = (begin, encoded[k], encoded[count + k], end, encoded[-1])
+        ends = np.cumsum([len(p) for p in parts])
+        mask = np.zeros(ends[-1], np.int8)
+        if (role or "") in loss_roles:
+            mask[ends[1] : ends[2]] = 1
+        out.append((np.concatenate(parts), mask))
+    return out
 
 
 def formatted(
@@ -76,8 +81,8 @@ def formatted(
     columns += [F.col(f"`{c}`").cast("string").alias(n) for c, n in ((role_col, "role"), (text_col, "text"))]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            turns = [turn_ids(r, t, path, loss_roles) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
+        for batch in together(batches, GROUP_CHARS):
+            turns = turns_ids(batch.column("role").to_pylist(), batch.column("text").to_pylist(), path, loss_roles)
             ids = pa.array([t[0] for t in turns], pa.list_(pa.int32()))
             masks = pa.array([t[1] for t in turns], pa.list_(pa.int8()))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), ids, masks], names=["conv_id", "turn", "ids", "loss_mask"])

@@ -105,7 +105,7 @@ def test_turns_come_back_and_the_mask_covers_what_the_assistant_says(spark):
         assert g.formatted_chars == plain
     assert chat.conversation_digests(chat.formatted(frame.limit(0), VOCABULARY), VOCABULARY).count() == 0
     start = bpe.vocabulary_size(VOCABULARY)
-    ids, mask = chat.turn_ids("assistant", tricky, VOCABULARY, ("assistant",))
+    ((ids, mask),) = chat.turns_ids(["assistant"], [tricky], VOCABULARY, ("assistant",))
     assert [i for i in ids.tolist() if i >= start] == [start, start + 1] and bpe.decode_ids(ids[mask == 1].tolist(), VOCABULARY).decode() == chat.escape(tricky)
 
 
