@@ -130,14 +130,6 @@ TEXT_SENTIMENT = f"""tones AS (SELECT doc_id AS issue_id, {PROJECT} AS project_i
     CASE WHEN {compound(f"lower(CASE WHEN {valid('text')} THEN text ELSE 'Invalid content' END)")} > 0 THEN '+' ELSE '-' END AS sentiment
   FROM documents)"""
 
-MENTIONS = f"""{VECTOR_WORDS}, {TEXT_SENTIMENT},
-  totals AS (SELECT issue_id, criteria, count(*) AS words, sum(sim * weight) AS score FROM pairs WHERE sim > 0.05 GROUP BY ALL),
-  mentions AS (SELECT t.project_id, s.criteria,
-      CASE WHEN CASE WHEN t.sentiment = '+' THEN s.score ELSE -s.score END > 0 THEN '+' ELSE '-' END AS semantic,
-      round(abs(s.score), 4) AS similarity_score, s.issue_id, s.words, t.text
-    FROM totals s JOIN tones t USING (issue_id) WHERE abs(s.score) > 0.05)"""
-
-
 def split_at(t: str, boundary: str) -> str:
     """Split after a character of boundary and white space."""
     return f"string_split(regexp_replace({t}, '([{boundary}])\\s+', '\\1' || chr(1), 'g'), chr(1))"
@@ -161,6 +153,10 @@ def packing(source: str, limit: int) -> str:
     FROM fold GROUP BY id, chunk_no)"""
 
 
+def stripped(t: str) -> str:
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
 def cascade(scores: str, thresholds) -> str:
     return "(" + " OR ".join(f"coalesce({scores}[{i}] >= {t}, FALSE)" for i, t in enumerate(thresholds, 1)) + ")"
 
@@ -180,23 +176,39 @@ def measures(source: str, keys: str, negative: str = "is_related = 0") -> str:
         count(*) FILTER (prediction = 0 AND {negative}) AS tn FROM {source} GROUP BY ALL))"""
 
 
-# Cleaned texts are one piece, so every chunking and limit sees the whole text.
 GRID = f"""{HYPOTHESES},
   truth AS ({TRUTH}),
-  texts AS (SELECT doc_id AS issue_id, {words_of("text")} AS ws FROM documents),
-  hyp_words AS (SELECT attribute_id, version, list_distinct(string_split({clean("hypothesis")}, ' ')) AS hs FROM hyps),
-  scores AS (SELECT issue_id, t.attribute_id, t.is_related, h.version,
-      CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_intersect(h.hs, ws))::DOUBLE / len(h.hs) END AS score
-    FROM truth t JOIN texts USING (issue_id) JOIN hyp_words h ON h.attribute_id = t.attribute_id),
-  ranked AS (SELECT issue_id, attribute_id, is_related, version, list(score ORDER BY score DESC) AS s FROM scores GROUP BY ALL),
+  sources AS (SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+  splits AS (SELECT id, 'sentence' AS chunking_strategy, {split_at("text", ".\\n")} AS ps FROM sources
+    UNION ALL SELECT id, 'paragraph', string_split(text, chr(10) || chr(10)) FROM sources
+    UNION ALL SELECT id, 'newline', string_split(text, chr(10)) FROM sources),
+  numbered AS (SELECT id, chunking_strategy, max_tokens, list_filter(ps, lambda p: regexp_matches(p, '\\S')) AS ps
+    FROM splits, (VALUES (128), (256), (512)) b(max_tokens)),
+  fold AS (
+    SELECT id, chunking_strategy, max_tokens, ps, 1 AS i, 0 AS chunk_no, len({token_list("ps[1]")}) AS used, ps[1] AS piece FROM numbered WHERE len(ps) > 0
+    UNION ALL
+    SELECT id, chunking_strategy, max_tokens, ps, i + 1, CASE WHEN used + n <= max_tokens THEN chunk_no ELSE chunk_no + 1 END,
+      CASE WHEN used + n <= max_tokens THEN used + n ELSE n END, ps[i + 1]
+    FROM (SELECT *, len({token_list("ps[i + 1]")}) AS n FROM fold WHERE i < len(ps))),
+  chunks AS (SELECT id, chunking_strategy, max_tokens, list_distinct(string_split({clean("string_agg(piece, ' ' ORDER BY i)")}, ' ')) AS cs
+    FROM fold GROUP BY id, chunking_strategy, max_tokens, chunk_no),
+  hyp_words AS (SELECT attribute_id, version, hypothesis_no, list_distinct(string_split({clean("hypothesis")}, ' ')) AS hs FROM hyps),
+  asked AS (SELECT t.issue_id, t.attribute_id, t.is_related, h.version, h.hypothesis_no, h.hs, n.chunking_strategy, n.max_tokens
+    FROM truth t JOIN hyp_words h USING (attribute_id) JOIN numbered n ON n.id = t.issue_id),
+  scores AS (SELECT issue_id, attribute_id, is_related, version, hypothesis_no, chunking_strategy, max_tokens,
+      coalesce(max(len(list_intersect(hs, cs))::DOUBLE / len(hs)), 0.0) AS top, coalesce(avg(len(list_intersect(hs, cs))::DOUBLE / len(hs)), 0.0) AS middle
+    FROM asked LEFT JOIN (SELECT * RENAME (id AS issue_id) FROM chunks) USING (issue_id, chunking_strategy, max_tokens) GROUP BY ALL),
+  both_ways AS (SELECT * EXCLUDE (top, middle), 'max' AS aggregation_logic, top AS score FROM scores
+    UNION ALL SELECT * EXCLUDE (top, middle), 'mean', middle FROM scores),
+  ranked AS (SELECT issue_id, attribute_id, is_related, version, chunking_strategy, max_tokens, aggregation_logic, list(score ORDER BY score DESC) AS s
+    FROM both_ways GROUP BY ALL),
   predicted AS ({" UNION ALL ".join(
-      f"SELECT attribute_id, is_related, version AS hypothesis_version, '{[float(x) for x in t]}' AS threshold_config, {cascade('s', t)}::INT AS prediction FROM ranked"
+      f"SELECT attribute_id, is_related, version AS hypothesis_version, chunking_strategy, max_tokens, aggregation_logic, '{[float(x) for x in t]}' AS threshold_config, {cascade('s', t)}::INT AS prediction FROM ranked"
       for t in THRESHOLD_LISTS)}),
-  measured AS ({measures("predicted", "attribute_id, hypothesis_version, threshold_config")}),
+  measured AS ({measures("predicted", "attribute_id, hypothesis_version, threshold_config, chunking_strategy, max_tokens, aggregation_logic")}),
   settings AS (SELECT * FROM (VALUES ('sentence'), ('paragraph'), ('newline')) a(chunking_strategy),
     (VALUES (128), (256), (512)) b(max_tokens), (VALUES ('max'), ('mean')) c(aggregation_logic)),
-  grid AS (SELECT m.* EXCLUDE (p, r), s.*, a.attribute, 'token-overlap' AS model
-    FROM measured m JOIN {ATTRIBUTES} a USING (attribute_id), settings s)"""
+  grid AS (SELECT m.* EXCLUDE (p, r), a.attribute, 'token-overlap' AS model FROM measured m JOIN {ATTRIBUTES} a USING (attribute_id))"""
 
 PROMPTS = f"""{HYPOTHESES},
   lists AS (SELECT attribute_id, version, {lit(VOTE_INSTRUCTION)} || string_agg(hypothesis, chr(10) || ' - ' ORDER BY hypothesis_no) AS system
@@ -259,6 +271,20 @@ def bucket_vectors(name: str, source: str, dim: int) -> str:
   {name} AS (SELECT id, b, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS v FROM {name}_n)"""
 
 
+TEXT_PAIRS = f"""{VECTOR_WORDS}, {bucket_vectors("tv", "SELECT doc_id AS id, text FROM documents", 64)},
+  places AS (SELECT word_no, unnest(range(0, 64)) AS b, unnest(vector) AS x FROM words),
+  units AS (SELECT word_no, b, x / sqrt(sum(x * x) OVER (PARTITION BY word_no)) AS x FROM places),
+  sims AS (SELECT tv.id AS issue_id, u.word_no, sum(tv.v * u.x) AS sim FROM tv JOIN units u USING (b) GROUP BY ALL),
+  text_pairs AS (SELECT s.issue_id, s.sim, w.word_no, w.criteria, w.word, w.weight FROM sims s JOIN words w USING (word_no))"""
+
+MENTIONS = f"""{TEXT_PAIRS}, {TEXT_SENTIMENT},
+  totals AS (SELECT issue_id, criteria, count(*) AS words, sum(sim * weight) AS score FROM text_pairs WHERE sim > 0.05 GROUP BY ALL),
+  mentions AS (SELECT t.project_id, s.criteria,
+      CASE WHEN CASE WHEN t.sentiment = '+' THEN s.score ELSE -s.score END > 0 THEN '+' ELSE '-' END AS semantic,
+      round(abs(s.score), 4) AS similarity_score, s.issue_id, s.words, t.text
+    FROM totals s JOIN tones t USING (issue_id) WHERE abs(s.score) > 0.05)"""
+
+
 NEIGHBOURS = f"""tokens AS (SELECT list_filter({words_of("text")}, lambda w: NOT list_contains({strings(T.STOP_WORDS)}, w)) AS ws FROM documents),
   seqs AS (SELECT ws, unnest(range(1, len(ws))) AS i FROM tokens),
   counted AS (SELECT ws[i] AS word, ws[i + 1] AS neighbour, count(*) AS n FROM seqs GROUP BY ALL),
@@ -297,19 +323,19 @@ ORACLES: dict[str, str] = {
         WHERE doc_id > coalesce(mark, 0) OR (doc_id > 0 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
     "q_alert_stream": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS criteria, count(*) AS mentions FROM events
         WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL HAVING count(*) > 60""",
-    "q_combine_a": f"""SELECT issue_id, project_id, 0::BIGINT AS page_no,
+    "q_combine_a": f"""SELECT issue_id, project_id,
         concat_ws(' ', 'title: ' || title, body_text, 'comment: ' || comment_text) AS text
         FROM ({GAPS}) i LEFT JOIN ({comment_text("chr(10)")}) c USING (issue_id) WHERE title IS NOT NULL OR body_text IS NOT NULL""",
-    "q_combine_b": f"""SELECT issue_id, project_id, 0::BIGINT AS page_no,
+    "q_combine_b": f"""SELECT issue_id, project_id,
         trim(coalesce(title, '') || ' ' || coalesce(body_text, '') || ' ' || coalesce(comment_text, '')) AS text
         FROM ({GAPS}) i LEFT JOIN ({comment_text("chr(10)")}) c USING (issue_id) WHERE title IS NOT NULL OR body_text IS NOT NULL""",
     "q_combine_c": f"""SELECT *, {clean("issue_text")} AS clean_issue_text FROM (
-        SELECT issue_id, project_id, issue_id::INT AS number, 'open' AS state, comments, 0::BIGINT AS page_no,
+        SELECT issue_id, project_id, issue_id::INT AS number, 'open' AS state, comments,
           strftime(TIMESTAMP '2024-01-01' + to_minutes(issue_id), '%Y-%m-%d %H:%M:%S') AS created_at,
           title || chr(10) || chr(10) || body_text || coalesce(chr(10) || chr(10) || comment_text, '') AS issue_text
         FROM ({GAPS}) i LEFT JOIN ({comment_text("chr(10) || chr(10)")}) c USING (issue_id)
         WHERE length(body_text) > 0 AND owner_type = 'User')""",
-    "q_new_corpus_rows": f"""SELECT issue_id, project_id, 0::BIGINT AS page_no, issue_text, {clean("issue_text")} AS clean_issue_text
+    "q_new_corpus_rows": f"""SELECT issue_id, project_id, issue_text, {clean("issue_text")} AS clean_issue_text
         FROM ({CORPUS}) WHERE issue_id > (SELECT coalesce(max(doc_id), 0) FROM labels WHERE toxic = 1 AND quality = 0)""",
     "q_text_dedupe": f"""SELECT doc_id AS issue_id, {PROJECT} AS project_id, sha256(text) AS text_key,
         count(*) OVER (PARTITION BY source, text) AS issues, length(text) AS chars FROM documents""",
@@ -346,6 +372,22 @@ ORACLES: dict[str, str] = {
         SELECT id AS doc_id, chunk_no::INT AS chunk_no, chunk FROM packed""",
     "q_chunk_fixed": f"""SELECT doc_id, n::INT AS chunk_no, array_to_string(ts[n * 48 + 1 : n * 48 + 48], ' ') AS chunk FROM (
         SELECT doc_id, ts, unnest(range(0, (len(ts) + 47) // 48)) AS n FROM (SELECT doc_id, {token_list("text")} AS ts FROM documents))""",
+    "q_chunk_lines": f"""WITH RECURSIVE sized AS (SELECT doc_id, text, len({token_list("text")}) AS n FROM documents),
+        fold AS (
+          SELECT doc_id, string_split(text, chr(10)) AS ls, 0 AS i, '' AS held, 0 AS used, []::VARCHAR[] AS out FROM sized WHERE n > 48
+          UNION ALL
+          SELECT doc_id, ls, i + 1,
+            CASE WHEN c > 48 THEN '' WHEN used + c > 48 THEN line || chr(10) ELSE held || line || chr(10) END,
+            CASE WHEN c > 48 THEN 0 WHEN used + c > 48 THEN c ELSE used + c END,
+            list_concat(CASE WHEN held <> '' AND used + c > 48 THEN list_append(out, {stripped("held")}) ELSE out END,
+              CASE WHEN c > 48 THEN flatten(list_transform(list_filter(string_split(line, '.'), lambda p: regexp_matches(p, '\\S')),
+                lambda p: CASE WHEN len({token_list("p")}) <= 48 THEN [{stripped("p")}]
+                  ELSE list_transform(range(0, len({token_list("p")}), 48), lambda k: array_to_string({token_list("p")}[k + 1 : k + 48], ' ')) END))
+                ELSE []::VARCHAR[] END)
+          FROM (SELECT *, ls[i + 1] AS line, len({token_list("ls[i + 1]")}) AS c FROM fold WHERE i < len(ls))),
+        done AS (SELECT doc_id, CASE WHEN {stripped("held")} <> '' THEN list_append(out, {stripped("held")}) ELSE out END AS chunks FROM fold WHERE i = len(ls)
+          UNION ALL SELECT doc_id, [text] FROM sized WHERE n <= 48)
+        SELECT doc_id, (unnest(range(0, len(chunks))))::INT AS chunk_no, unnest(chunks) AS chunk FROM done""",
     "q_fit_context": f"SELECT doc_id, array_to_string(ts[greatest(1, len(ts) - 127) : ], ' ') AS tail FROM (SELECT doc_id, {token_list('text')} AS ts FROM documents)",
     "q_related_words": f"""SELECT doc_id, unnest(range(0, len(ws)))::INT AS word_no, unnest(ws) AS word
         FROM (SELECT doc_id, {related("text")} AS ws FROM documents)""",
@@ -377,10 +419,10 @@ ORACLES: dict[str, str] = {
     "q_sim_join_v1": f"WITH {MENTIONS} SELECT * EXCLUDE (text) FROM mentions",
     "q_matched_words": f"""WITH {VECTOR_WORDS} SELECT issue_id, criteria, word_no, word, round(sim * weight, 4) AS score
         FROM pairs WHERE sim > 0.05""",
-    "q_sim_join_v2": f"""WITH {VECTOR_WORDS}, tones AS (SELECT doc_id AS issue_id,
+    "q_sim_join_v2": f"""WITH {TEXT_PAIRS}, tones AS (SELECT doc_id AS issue_id,
           {compound(f"lower(CASE WHEN {valid('text')} THEN text ELSE 'Invalid content' END)")} AS c FROM documents)
         SELECT issue_id, word AS attribute, round(sim, 4) AS similarity_score,
-          CASE WHEN c > 0 THEN '+' WHEN c < 0 THEN '-' ELSE '0' END AS sentiment FROM pairs JOIN tones USING (issue_id) WHERE sim >= 0.2""",
+          CASE WHEN c > 0 THEN '+' WHEN c < 0 THEN '-' ELSE '0' END AS sentiment FROM text_pairs JOIN tones USING (issue_id) WHERE sim >= 0.1""",
     "q_word_lookup": f"""WITH counted AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest({words_of("text")}) AS w FROM documents) GROUP BY ALL),
         last AS (SELECT w, max(lang) AS criteria, arg_max(n, lang) AS n FROM counted GROUP BY w)
         SELECT c.lang || ' ' || w AS word_no, l.criteria, w AS word, round(1.0 / (l.n + 1), 6)::DOUBLE AS weight FROM counted c JOIN last l USING (w)""",
@@ -438,8 +480,8 @@ ORACLES: dict[str, str] = {
         judged AS (SELECT t.*, (h.issue_id IS NOT NULL)::INT AS prediction FROM ({TRUTH}) t LEFT JOIN hits h USING (issue_id, attribute_id))
         SELECT * EXCLUDE (p, r), 'drop' AS half_label FROM ({measures("judged", "attribute_id")})
         UNION ALL BY NAME SELECT * EXCLUDE (p, r), 'negative' AS half_label FROM ({measures("judged", "attribute_id", "is_related <> 1")})""",
-    "q_grid": f"WITH {GRID} SELECT * FROM grid",
-    "q_grid_todo": f"""WITH {GRID}, wanted AS (SELECT a.attribute_id, 'token-overlap' AS model, s.*, t.threshold_config, v.hypothesis_version
+    "q_grid": f"WITH RECURSIVE {GRID} SELECT * FROM grid",
+    "q_grid_todo": f"""WITH RECURSIVE {GRID}, wanted AS (SELECT a.attribute_id, 'token-overlap' AS model, s.*, t.threshold_config, v.hypothesis_version
           FROM {ATTRIBUTES} a, settings s, {values([(str([float(x) for x in t]),) for t in THRESHOLD_LISTS], "threshold_config")} t,
             {values([(v,) for v in HYPOTHESIS_TEMPLATES], "hypothesis_version")} v)
         SELECT w.* FROM wanted w ANTI JOIN (SELECT * FROM grid WHERE f1_score > 0) g
@@ -447,10 +489,10 @@ ORACLES: dict[str, str] = {
     "q_vote_todo": """WITH done AS (SELECT user_id, dayofweek(ts) + 1 AS weekday FROM events WHERE value > 20 GROUP BY ALL
           HAVING count(DISTINCT event_type) >= 5)
         SELECT DISTINCT user_id, (dayofweek(ts) + 1)::INT AS weekday FROM events ANTI JOIN done ON done.user_id = events.user_id AND done.weekday = dayofweek(ts) + 1""",
-    "q_best_config": f"""WITH {GRID} SELECT attribute_id, chunking_strategy, threshold_config, hypothesis_version, max_tokens, aggregation_logic, f1_score
+    "q_best_config": f"""WITH RECURSIVE {GRID} SELECT attribute_id, chunking_strategy, threshold_config, hypothesis_version, max_tokens, aggregation_logic, f1_score
         FROM (SELECT *, row_number() OVER (PARTITION BY attribute_id ORDER BY f1_score DESC, chunking_strategy, threshold_config, hypothesis_version,
           max_tokens, aggregation_logic) AS k FROM grid) WHERE k = 1""",
-    "q_macro_mean": f"""WITH {GRID} SELECT hypothesis_version, threshold_config, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall,
+    "q_macro_mean": f"""WITH RECURSIVE {GRID} SELECT hypothesis_version, threshold_config, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall,
         round(avg(specificity), 9) AS specificity, round(avg(accuracy), 9) AS accuracy, round(avg(f1_score), 9) AS f1_score FROM grid GROUP BY ALL""",
     "q_sentiment": f"""SELECT doc_id, CASE WHEN c > 0 THEN '+' WHEN c < 0 THEN '-' ELSE '0' END AS sentiment, round((abs(c) + 1) / 2, 5) AS confidence
         FROM (SELECT doc_id, {compound(f"lower(CASE WHEN {valid('text')} THEN text ELSE 'Invalid content' END)")} AS c FROM documents)""",
@@ -506,3 +548,8 @@ ORACLES: dict[str, str] = {
           FROM scored) WHERE k <= 10""",
     "q_criteria_daily": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS criteria, count(*) AS mentions FROM events GROUP BY ALL HAVING count(*) > 60""",
 }
+# A run that is repeated stores what one run finds; every project has more than ten issues, and marks start at 0.
+ORACLES["q_run_mentions"] = f"SELECT * FROM ({ORACLES['q_mentions']}) WHERE issue_id > 0"
+ORACLES["q_run_labels"] = f"SELECT * EXCLUDE (score) FROM ({ORACLES['q_label_corpus']})"
+ORACLES["q_run_votes"] = f"SELECT *, 1.5::DOUBLE AS duration_seconds FROM ({ORACLES['q_vote_eval']})"
+ORACLES["q_run_grid"] = f"SELECT * EXCLUDE (tp, fp, fn, tn), 2.5::DOUBLE AS duration_seconds FROM ({ORACLES['q_grid']})"

@@ -16,7 +16,7 @@ from issue_signals.functions.hypotheses import hypotheses, labelling_hypotheses,
 from issue_signals.operators import combine, evaluate, keys, keywords, progress, similarity, summaries
 from issue_signals.operators.scoring import embed, entailment_scores, sentiment, weighted_compound
 from issue_signals.operators.skew import lookup_join
-from issue_signals.plans import entailment, matches, reports, voting
+from issue_signals.plans import entailment, matches, reports, runs, voting
 from issue_signals.plans.corpus import new_corpus_rows
 from issue_signals.plans.mentions import criteria_mentions
 from issue_signals.session import shared_dir
@@ -159,6 +159,48 @@ def q_tracked_runs(spark, sf):
     return landing.read_table(spark, f"{at}/out", schemas.MENTIONS, ["project_id", "issue_id"])
 
 
+@query
+def q_run_mentions(spark, sf):
+    """Projects with more than ten issues, in two runs; the second finds nothing new."""
+    at = _fresh_dir(spark)
+    for run in range(2):
+        runs.run_mentions(
+            T.issues(spark, sf), T.comments(spark, sf), T.words(spark), at, run, 10, threshold=0.213, positive=T.POSITIVE, negative=T.NEGATIVE
+        )
+    rows = landing.read_table(spark, f"{at}/mentions", schemas.MENTIONS, schemas.MENTIONS.names)
+    return rows.withColumn("similarity_score", F.round("similarity_score", 4))
+
+
+@query
+def q_run_labels(spark, sf):
+    """The corpus labelled twice: merged, not added."""
+    at = _fresh_dir(spark)
+    for run in range(2):
+        runs.run_labels(T.corpus(spark, sf), T.attributes(spark), at, run)
+    return landing.read_table(spark, f"{at}/labels/2", schemas.LABELLED).select("issue_id", "project_id", "attribute_id", "nli_label")
+
+
+@query
+def q_run_votes(spark, sf):
+    """The second run finds all rules done."""
+    at = _fresh_dir(spark)
+    for run in range(2):
+        runs.run_votes(T.clean_texts(spark, sf), T.truth(spark, sf), T.attributes(spark), at, run, seconds=1.5, model_limit=256)
+    return _rounded_measures(landing.read_table(spark, f"{at}/metrics/2", schemas.METRICS))
+
+
+@query
+def q_run_grid(spark, sf):
+    """Two of three chunkings in the first run, all in the second: only the third is scored again."""
+    at = _fresh_dir(spark)
+    names = [evaluate.threshold_name(t) for t in THRESHOLD_LISTS]
+    wanted = entailment.settings(T.attributes(spark), [entailment.DEFAULT_MODEL], threshold_names=names)
+    texts = docs(spark, sf).select(F.col("doc_id").alias("issue_id"), "text")
+    for run, some in enumerate((wanted.filter("chunking_strategy <> 'newline'"), wanted)):
+        runs.run_grid(texts, T.truth(spark, sf), T.attributes(spark), some, at, run, "text", seconds=2.5)
+    return _rounded_measures(landing.read_table(spark, f"{at}/metrics/2", schemas.METRICS))
+
+
 @query
 def q_alert_stream(spark, sf):
     """Days that a watermark of one day has closed, with more than 60 mentions."""
@@ -193,7 +235,7 @@ def q_combine_c(spark, sf):
 def q_new_corpus_rows(spark, sf):
     target = T.table(spark, sf, "labels").filter("toxic = 1 AND quality = 0").select(F.col("doc_id").alias("issue_id"))
     rows = new_corpus_rows(T.issues(spark, sf), T.comments(spark, sf), target)
-    return rows.select("issue_id", "project_id", "page_no", "issue_text", "clean_issue_text")
+    return rows.select("issue_id", "project_id", "issue_text", "clean_issue_text")
 
 
 @query
@@ -403,9 +445,8 @@ def q_matched_words(spark, sf):
 @query
 def q_sim_join_v2(spark, sf):
     words = T.vector_words(spark, sf).select("word_no", F.col("word").alias("attribute"), "vector")
-    found = similarity.attribute_matches(T.vectors(spark, sf), words, 0.2, keep=("issue_id",))
-    label = sentiment(docs(spark, sf), "text", positive=T.POSITIVE, negative=T.NEGATIVE, neutral=True)
-    return found.join(label.select(F.col("doc_id").alias("issue_id"), "sentiment"), "issue_id")
+    rows = sentiment(docs(spark, sf).withColumnRenamed("doc_id", "issue_id"), "text", positive=T.POSITIVE, negative=T.NEGATIVE, neutral=True)
+    return similarity.attribute_matches(embed(rows, "text"), words, 0.1, keep=("issue_id", "sentiment"))
 
 
 @query
@@ -438,7 +479,7 @@ def q_keyword_join(spark, sf):
 def q_hypotheses(spark, sf):
     catalogue = T.attributes(spark)
     rows = hypotheses(catalogue).unionByName(labelling_hypotheses(catalogue))
-    return lookup_join(T.truth(spark, sf).select("issue_id", "attribute_id"), rows, ["attribute_id"], row_id=["issue_id"])
+    return lookup_join(T.truth(spark, sf).select("issue_id", "attribute_id"), rows, ["attribute_id"])
 
 
 @query
@@ -531,7 +572,8 @@ def q_metrics(spark, sf):
 
 
 def _grid(spark, sf):
-    scores = entailment.score_grid(T.clean_texts(spark, sf), T.truth(spark, sf), T.attributes(spark))
+    texts = docs(spark, sf).select(F.col("doc_id").alias("issue_id"), "text")
+    scores = entailment.score_grid(texts, T.truth(spark, sf), T.attributes(spark), "text")
     return entailment.evaluate_grid(scores)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from issue_signals.functions.text import clean_issue_text
 from issue_signals.operators.combine import combined_issues
-from issue_signals.operators.scoring import sentiment
+from issue_signals.operators.scoring import embed, sentiment
 from issue_signals.operators.similarity import mean_vector, mention_scores, mentions_of, signed, word_lookup
 from issue_signals.session import spread
 
@@ -154,10 +154,10 @@ def text_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
-    """project_id, criteria, semantic, similarity_score, issue_id from vectors and texts of the same id."""
-    scores = mention_scores(vectors(spark, sf_dir), vector_words(spark, sf_dir))
-    joined = scores.join(text_sentiment(spark, sf_dir), "issue_id").withColumn("total", signed("score", "sentiment"))
-    found = mentions_of(joined).withColumn("similarity_score", F.round("similarity_score", 4))
+    """project_id, criteria, semantic, similarity_score, issue_id of all documents, from the vectors of their texts."""
+    keep = ("issue_id", "project_id", "sentiment", *(["text"] if text else []))
+    scores = mention_scores(embed(text_sentiment(spark, sf_dir)), vector_words(spark, sf_dir), keep=keep)
+    found = mentions_of(scores.withColumn("total", signed("score", "sentiment"))).withColumn("similarity_score", F.round("similarity_score", 4))
     columns = ["project_id", "criteria", "semantic", "similarity_score", "issue_id", "words"]
     return found.select(*columns, *(["text"] if text else []))
 

@@ -117,7 +117,7 @@ def packed_chunks(text: Column | str, max_tokens: int, strategy: str = "sentence
     return F.get(packer([max_tokens], strategy)(col(text)), F.lit(0))
 
 
-def _line_chunks(text: str, encode: Callable, decode: Callable, budget: int, oversize: str) -> list[str]:
+def _line_chunks(text: str, encode: Callable, decode: Callable, budget: int) -> list[str]:
     def fits(t: str) -> bool:
         return len(encode(t)) <= budget
 
@@ -134,20 +134,17 @@ def _line_chunks(text: str, encode: Callable, decode: Callable, budget: int, ove
             continue
         for part in filter(str.strip, line.split(".")):
             ids = encode(part)
-            stop = len(ids) if oversize == "split" else budget
-            windows = range(0, stop, budget)
+            windows = range(0, len(ids), budget)
             found.extend([part.strip()] if len(ids) <= budget else [decode(ids[i : i + budget]) for i in windows])
     if held.strip():
         found.append(held.strip())
     return found
 
 
-def line_chunker(
-    max_tokens: int = 512, tokenizer: Callable[[], Tokenizer] = _white_space, oversize: str = "split"
-) -> Callable[[Column], Column]:
+def line_chunker(max_tokens: int = 512, tokenizer: Callable[[], Tokenizer] = _white_space) -> Callable[[Column], Column]:
     """A column function: text -> chunks that prefer to end at a newline, then at a full stop.
 
-    A sentence above the budget is cut into windows; oversize="truncate" keeps only the first.
+    A sentence above the budget is cut into windows.
     tokenizer is a factory that each Python worker calls once.
     """
 
@@ -155,8 +152,6 @@ def line_chunker(
     def chunk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode, decode = tokenizer()
         for texts in batches:
-            yield texts.map(
-                lambda t: [] if t is None else _line_chunks(t, encode, decode, max_tokens, oversize)
-            )
+            yield texts.map(lambda t: [] if t is None else _line_chunks(t, encode, decode, max_tokens))
 
     return chunk

@@ -1,10 +1,7 @@
 """One text per issue from its title, body and comments.
 
-Comments are put together before the join, so issues stay one row each. An issue with more than
-PAGE_COMMENTS comments would make one task and one cell too large: its comments come as further
-rows, pages, with at most PAGE_COMMENTS comments each. A page is a range of comment ids that wide,
-so the key bounds it. Page 0 is title and body; the pages in order, put together with the
-separator, are the whole text. All other issues are page 0 alone.
+Comments are put together before the join, so issues stay one row each, whatever the number of their
+comments: a text is one cell, and everything after it sees the whole text.
 """
 
 from __future__ import annotations
@@ -13,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cap, clean_issue_text, strip
-from .skew import lookup_join, skew_join
-
-PAGE_COMMENTS = 10_000
 
 
 def has_text(issues: DataFrame) -> DataFrame:
@@ -29,90 +23,54 @@ def by_users(issues: DataFrame) -> DataFrame:
     )
 
 
-def _crowded(comments: DataFrame, page_comments: int) -> DataFrame | None:
-    """Issues with more than page_comments comments, or None. Reads the key column only."""
-    counts = comments.groupBy("issue_id").agg(F.count("*").alias("n"))
-    crowded = counts.filter(F.col("n") > page_comments).select("issue_id", F.lit(True).alias("crowded"))
-    return None if crowded.isEmpty() else crowded
-
-
-def _texts(comments: DataFrame, separator: str, crowded: DataFrame | None, page_comments: int) -> DataFrame:
+def comment_texts(comments: DataFrame, separator: str) -> DataFrame:
+    """issue_id, comment_text: comments in id order; NULL comments are left out."""
     kept = comments.filter(F.col("body_text").isNotNull()).select("issue_id", "id", "body_text")
-    if crowded is None:
-        paged = kept.withColumn("page_no", F.lit(0).cast("long"))
-    else:
-        number = F.when(F.col("crowded"), F.floor(F.col("id") / page_comments) + 1).otherwise(0)
-        paged = lookup_join(kept, crowded, ["issue_id"], "left", row_id=["id"]).withColumn(
-            "page_no", number.cast("long")
-        )
     ordered = F.array_sort(F.collect_list(F.struct("id", "body_text")))
     text = F.array_join(F.transform(ordered, lambda c: c["body_text"]), separator)
-    return paged.groupBy("issue_id", "page_no").agg(text.alias("comment_text"))
-
-
-def comment_texts(comments: DataFrame, separator: str, page_comments: int = PAGE_COMMENTS) -> DataFrame:
-    """issue_id, page_no, comment_text: comments in id order; NULL comments are left out."""
-    return _texts(comments, separator, _crowded(comments, page_comments), page_comments)
-
-
-def with_comments(
-    issues: DataFrame, comments: DataFrame, separator: str, page_comments: int = PAGE_COMMENTS
-) -> DataFrame:
-    """issues with page_no and comment_text (NULL without comments)."""
-    crowded = _crowded(comments, page_comments)
-    texts = _texts(comments, separator, crowded, page_comments)
-    if crowded is None:
-        return issues.join(texts, "issue_id", "left").withColumn("page_no", F.coalesce("page_no", F.lit(0).cast("long")))
-    base = issues.join(texts.filter("page_no = 0").drop("page_no"), "issue_id", "left")
-    further = skew_join(texts.filter("page_no > 0"), issues, ["issue_id"], "inner", row_id=["page_no"])
-    return base.withColumn("page_no", F.lit(0).cast("long")).unionByName(further)
+    return kept.groupBy("issue_id").agg(text.alias("comment_text"))
 
 
-def _first_or_more(first: Column, more: Column) -> Column:
-    return F.when(F.col("page_no") == 0, first).otherwise(more)
+def with_comments(issues: DataFrame, comments: DataFrame, separator: str) -> DataFrame:
+    """issues with comment_text (NULL without comments)."""
+    return issues.join(comment_texts(comments, separator), "issue_id", "left")
 
 
 def labelled_parts_text(max_chars: int | None = None) -> Column:
     """title: ..., body, comment: ... joined by blanks; NULL parts left out, no parts gives NULL."""
     title, body, comment = F.col("title"), F.col("body_text"), F.col("comment_text")
     text = F.concat_ws(" ", F.concat(F.lit("title: "), title), body, F.concat(F.lit("comment: "), comment))
-    whole = _first_or_more(F.when(F.coalesce(title, body, comment).isNotNull(), text), comment)
-    return cap(whole, max_chars)
+    return cap(F.when(F.coalesce(title, body, comment).isNotNull(), text), max_chars)
 
 
 def blank_joined_text() -> Column:
     """title, body and comments joined by blanks, NULL as '', trimmed."""
     parts = [F.coalesce(c, F.lit("")) for c in ("title", "body_text", "comment_text")]
-    text = strip(F.concat_ws(" ", *parts))
-    return _first_or_more(text, F.col("comment_text"))
+    return strip(F.concat_ws(" ", *parts))
 
 
 def paragraph_text() -> Column:
     """title, body and comments as paragraphs; NULL when the title is."""
     comments = F.concat(F.lit("\n\n"), F.col("comment_text"))
-    first = F.concat(F.col("title"), F.lit("\n\n"), F.col("body_text"), F.coalesce(comments, F.lit("")))
-    return _first_or_more(first, F.when(F.col("title").isNotNull(), F.col("comment_text")))
+    return F.concat(F.col("title"), F.lit("\n\n"), F.col("body_text"), F.coalesce(comments, F.lit("")))
 
 
-def combine_labelled(
-    issues: DataFrame, comments: DataFrame, max_chars: int | None = None, page_comments: int = PAGE_COMMENTS
-) -> DataFrame:
-    """issue_id, project_id, page_no, text for mention analysis. Issues without any text drop out."""
-    joined = with_comments(has_text(issues), comments, "\n", page_comments)
-    text = labelled_parts_text(max_chars).alias("text")
-    return joined.select("issue_id", "project_id", "page_no", text).filter(F.col("text").isNotNull())
+def combine_labelled(issues: DataFrame, comments: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """issue_id, project_id, text for mention analysis. Issues without any text drop out."""
+    joined = with_comments(has_text(issues), comments, "\n")
+    return joined.select("issue_id", "project_id", labelled_parts_text(max_chars).alias("text")).filter(F.col("text").isNotNull())
 
 
-def combine_blank_joined(issues: DataFrame, comments: DataFrame, page_comments: int = PAGE_COMMENTS) -> DataFrame:
-    """issue_id, project_id, page_no, text for attribute matching."""
-    joined = with_comments(has_text(issues), comments, "\n", page_comments)
-    return joined.select("issue_id", "project_id", "page_no", blank_joined_text().alias("text"))
+def combine_blank_joined(issues: DataFrame, comments: DataFrame) -> DataFrame:
+    """issue_id, project_id, text for attribute matching."""
+    joined = with_comments(has_text(issues), comments, "\n")
+    return joined.select("issue_id", "project_id", blank_joined_text().alias("text"))
 
 
-def combined_issues(issues: DataFrame, comments: DataFrame, page_comments: int = PAGE_COMMENTS) -> DataFrame:
+def combined_issues(issues: DataFrame, comments: DataFrame) -> DataFrame:
     """The corpus table, with the cleaned text beside the text."""
-    joined = with_comments(by_users(issues), comments, "\n\n", page_comments)
-    columns = ["issue_id", "project_id", "number", "state", "comments", "created_at", "page_no"]
+    joined = with_comments(by_users(issues), comments, "\n\n")
+    columns = ["issue_id", "project_id", "number", "state", "comments", "created_at"]
     return joined.select(*columns, paragraph_text().alias("issue_text")).withColumn(
         "clean_issue_text", clean_issue_text("issue_text")
     )

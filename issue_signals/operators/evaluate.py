@@ -16,12 +16,12 @@ from .skew import lookup_join
 def labelled_texts(texts: DataFrame, truth: DataFrame) -> DataFrame:
     """Texts with their hand labels, one row per label. Hand labels are few: texts stay where they are."""
     labels = truth.select("issue_id", "attribute_id", "is_related")
-    return lookup_join(texts, labels, ["issue_id"], "inner", row_id=["issue_id"])
+    return lookup_join(texts, labels, ["issue_id"], "inner")
 
 
 def of_labelled(texts: DataFrame, truth: DataFrame) -> DataFrame:
     """The texts that have a hand label, once each."""
-    return lookup_join(texts, truth.select("issue_id").distinct(), ["issue_id"], "left_semi", row_id=["issue_id"])
+    return lookup_join(texts, truth.select("issue_id").distinct(), ["issue_id"], "left_semi")
 
 
 def hypothesis_scores(scored: DataFrame, keys: Sequence[str], width: int, scores: str = "scores") -> DataFrame:
@@ -143,13 +143,13 @@ def f1(precision: Column | str, recall: Column | str) -> Column:
 
 def todo(wanted: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     """The wanted settings without a result."""
-    return lookup_join(wanted, done.select(*key).distinct(), key, "left_anti", row_id=key)
+    return lookup_join(wanted, done.select(*key).distinct(), key, "left_anti")
 
 
 def vote_todo(wanted: DataFrame, done: DataFrame, key: Sequence[str], rules: int = len(VOTE_AGGREGATIONS)) -> DataFrame:
     """The wanted groups that do not have a result for every vote rule; key excludes the rule."""
     complete = done.groupBy(*key).agg(F.count_distinct("aggregation_logic").alias("n")).filter(F.col("n") >= rules)
-    return lookup_join(wanted, complete.select(*key), key, "left_anti", row_id=key)
+    return lookup_join(wanted, complete.select(*key), key, "left_anti")
 
 
 def best_setting(metrics: DataFrame, keys: Sequence[str], setting: Sequence[str], measure: str = "f1_score") -> DataFrame:

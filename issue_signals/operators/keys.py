@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import lookup_join, skew_join
+from .skew import lookup_join
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -20,15 +20,19 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 def insert_if_absent(
     target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column]
 ) -> DataFrame:
-    """The rows to append to target: new keys only, the first arrival of each."""
-    return first_by_key(incoming, keys, order).join(target.select(*keys), list(keys), "left_anti")
+    """The rows to append to target: new keys only, the first arrival of each.
+
+    The target is first reduced to the incoming keys; while these fit a broadcast it is not shuffled."""
+    first = first_by_key(incoming, keys, order)
+    present = target.select(*keys).join(first.select(*keys), list(keys), "left_semi")
+    return first.join(present, list(keys), "left_anti")
 
 
 def keyed_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """old with the rows of new put in place of those with the same key; the first in order wins
     among several new rows of a key. old is not shuffled while the new keys fit a broadcast."""
     latest = first_by_key(new, keys, order)
-    kept = lookup_join(old, latest.select(*keys), keys, "left_anti", row_id=keys)
+    kept = lookup_join(old, latest.select(*keys), keys, "left_anti")
     return kept.unionByName(latest.select(*old.columns))
 
 
@@ -49,14 +53,16 @@ def with_text_key(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("text_key", F.sha2(F.col(text), 256))
 
 
-def distinct_texts(df: DataFrame, scope: Sequence[str] = ("project_id",), text: str = "text") -> DataFrame:
-    """scope, text_key, text, issues: each text once per scope. df has a text_key."""
-    return df.groupBy(*scope, "text_key").agg(F.any_value(text).alias(text), F.count("*").alias("issues"))
+def distinct_texts(
+    df: DataFrame, scope: Sequence[str] = ("project_id",), text: str = "text", row_id: str = "issue_id"
+) -> DataFrame:
+    """scope, text_key, text, issues: each text once per scope. df has a text_key.
+
+    The row with the smallest id stands for its text; keys and ids are aggregated, texts are not."""
+    first = df.groupBy(*scope, "text_key").agg(F.min(row_id).alias(row_id), F.count("*").alias("issues"))
+    return df.select(*scope, "text_key", row_id, text).join(first, [*scope, "text_key", row_id]).drop(row_id)
 
 
-def back_to_issues(
-    issues: DataFrame, scored: DataFrame, scope: Sequence[str] = ("project_id",), row_id: Sequence[str] = ("issue_id",)
-) -> DataFrame:
-    """Give every issue the result of its text. A text that many issues share is spread."""
-    keys = [*scope, "text_key"]
-    return skew_join(issues, scored, keys, "inner", row_id)
+def back_to_issues(issues: DataFrame, scored: DataFrame, scope: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Give every issue the result of its text."""
+    return lookup_join(issues, scored, [*scope, "text_key"])

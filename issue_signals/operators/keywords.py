@@ -1,26 +1,30 @@
 """Keyword match of texts with attribute terms.
 
 Terms are literal substrings, compared in lower case. A small catalogue becomes one condition per
-attribute over the lowered text: no join, no Python. A larger one, still within the broadcast
-bound, is searched in one pass over each text with an automaton that every task holds. Above the
-bound text blocks and term blocks are paired, each pair one bounded group.
+attribute over the lowered text: no join, no Python. A larger one is searched in one pass over each
+text with an automaton that every task holds. Beyond the broadcast bound the attributes are dealt to
+several such automatons, one pass over the texts each; texts are never shuffled. All ways give the
+same rows: one per row of texts and attribute.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import TYPE_CHECKING
 
-import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import any_substring, related_words
 from .skew import MAX_BROADCAST_ROWS, bounded_rows
 
-MAX_LITERAL_TERMS = 2_000
-BLOCK_ROWS = 4_096
+if TYPE_CHECKING:
+    import ahocorasick
+
+MAX_LITERAL_TERMS = 64
 
 
 def attribute_terms(attributes: DataFrame) -> DataFrame:
@@ -35,6 +39,8 @@ def attribute_terms(attributes: DataFrame) -> DataFrame:
 
 
 def _automaton(terms: Iterable[tuple[int, str]]) -> ahocorasick.Automaton:
+    import ahocorasick
+
     attributes_of: dict[str, set[int]] = {}
     for attribute_id, term in terms:
         attributes_of.setdefault(term, set()).add(attribute_id)
@@ -57,7 +63,6 @@ def keyword_matches(
     keep: tuple[str, ...] = ("issue_id",),
     max_literal: int = MAX_LITERAL_TERMS,
     max_broadcast: int = MAX_BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """keep..., attribute_id: one row per text and attribute with at least one term in the text."""
     keep = list(keep)
@@ -68,16 +73,11 @@ def keyword_matches(
 
     rows = bounded_rows(terms, max_broadcast)
     if rows is None:
-        return _paired_blocks(lowered, terms, keep, schema, block_rows)
+        shards = -(-terms.count() // max_broadcast)
+        dealt = [terms.filter(F.pmod(F.xxhash64("attribute_id"), F.lit(shards)) == k).collect() for k in range(shards)]
+        return reduce(DataFrame.unionByName, [_searched(lowered, rows, keep, schema) for rows in dealt])
     if len(rows) > max_literal:
-        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = _automaton(shared.value)
-            for batch in batches:
-                yield _scan(batch, automaton, keep)
-
-        return lowered.mapInPandas(search, schema)
+        return _searched(lowered, rows, keep, schema)
 
     by_attribute: dict[int, list[str]] = {}
     for row in sorted(rows):
@@ -87,26 +87,12 @@ def keyword_matches(
     return lowered.select(*keep, F.explode(found).alias("attribute_id"))
 
 
-def _paired_blocks(lowered: DataFrame, terms: DataFrame, keep: list[str], schema, block_rows: int) -> DataFrame:
-    text_blocks = max(1, -(-lowered.count() // block_rows))
-    term_blocks = max(1, -(-terms.count() // block_rows))
-
-    def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = lowered.select(
-        "*", F.pmod(F.xxhash64(*keep), F.lit(text_blocks)).alias("text_block"),
-        numbers(term_blocks).alias("term_block"),
-    )
-    right = terms.select(
-        "*", F.pmod(F.xxhash64("term"), F.lit(term_blocks)).alias("term_block"),
-        numbers(text_blocks).alias("text_block"),
-    )
+def _searched(lowered: DataFrame, terms: list[Row], keep: list[str], schema: T.StructType) -> DataFrame:
+    shared = lowered.sparkSession.sparkContext.broadcast([tuple(r) for r in terms])
 
-    def search(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if batch.empty or block.empty:
-            return pd.DataFrame(columns=[*keep, "attribute_id"])
-        return _scan(batch, _automaton(block[["attribute_id", "term"]].itertuples(index=False)), keep)
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(shared.value) if shared.value else None
+        for batch in batches if automaton else ():
+            yield _scan(batch, automaton, keep)
 
-    by = ["text_block", "term_block"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, schema).distinct()
+    return lowered.mapInPandas(search, schema)

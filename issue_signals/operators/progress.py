@@ -33,7 +33,7 @@ def not_analysed(issues: DataFrame, results: DataFrame, more_than: int = MIN_PRO
 
 def above_tracker(issues: DataFrame, tracker: DataFrame) -> DataFrame:
     """Issues above the high-water mark of their project; a project without one starts at 0."""
-    joined = lookup_join(issues, tracker, ["project_id"], "left", row_id=["issue_id"])
+    joined = lookup_join(issues, tracker, ["project_id"], "left")
     return joined.filter(F.col("issue_id") > F.coalesce("last_issue_id", F.lit(0))).drop("last_issue_id")
 
 
@@ -42,7 +42,7 @@ def unprocessed_projects(issues: DataFrame, tracker: DataFrame, more_than: int =
 
 
 def of_projects(issues: DataFrame, projects: DataFrame) -> DataFrame:
-    return lookup_join(issues, projects.select("project_id"), ["project_id"], "left_semi", row_id=["issue_id"])
+    return lookup_join(issues, projects.select("project_id"), ["project_id"], "left_semi")
 
 
 def tracker_after(tracker: DataFrame, processed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import NEGATIVE_WORDS, POSITIVE_WORDS
 from ..functions.scores import sign_of
 from ..functions.text import clean_for_sentiment, clean_issue_text, cue_counts, let, related_words
-from .skew import lookup_join, skew_join
+from .skew import lookup_join
 
 Batch = Callable[[list[str]], list]
 Factory = Callable[[], Batch]
@@ -77,7 +77,7 @@ def weighted_compound(df: DataFrame, lexicon: DataFrame, text: str, keep: Sequen
     The lexicon is normally small: words meet it where they are, and each task sends one sum per text.
     """
     words = df.select(*keep, F.explode_outer(F.split(clean_issue_text(text), " ")).alias("word"))
-    joined = lookup_join(words, lexicon.select("word", "weight"), ["word"], "left", row_id=list(keep))
+    joined = lookup_join(words, lexicon.select("word", "weight"), ["word"], "left")
     return joined.groupBy(*keep).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("compound"))
 
 
@@ -112,7 +112,7 @@ def sentiment(
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
         for texts in batches:
-            yield pd.DataFrame([_one_by_one(model, t) for t in texts], columns=["label", "score", "error"])
+            yield pd.DataFrame(_isolated(model, texts.tolist()), columns=["label", "score", "error"])
 
     scored = cleaned.withColumn("answer", classify("sentiment_text"))
     polarity = F.when(F.col("answer.label").isNotNull(), F.when(F.col("answer.label") == "POSITIVE", "+").otherwise("-"))
@@ -124,11 +124,15 @@ def sentiment(
     )
 
 
-def _one_by_one(model: Batch, text: str) -> tuple:
+def _isolated(model: Batch, texts: list[str]) -> list[tuple]:
+    """One model call for the batch; a batch that fails is halved until the failing text is alone."""
     try:
-        return (*model([text])[0], None)
+        return [(*answer, None) for answer in model(texts)] if texts else []
     except Exception as error:  # the row keeps the reason instead of a made-up label
-        return None, None, str(error)
+        if len(texts) == 1:
+            return [(None, None, str(error))]
+        half = len(texts) // 2
+        return _isolated(model, texts[:half]) + _isolated(model, texts[half:])
 
 
 def word_overlap() -> Batch:
@@ -145,20 +149,17 @@ def word_overlap() -> Batch:
 
 
 def _pair_scorer(factory: Factory, prepare: Callable[[str], object]) -> Callable[[Column, Column], Column]:
-    """A column function (chunk, hypotheses) -> one score per hypothesis."""
+    """A column function (chunk, hypotheses) -> one score per hypothesis; one model call per batch."""
 
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
 
-        def scores(text: str | None, hypotheses: list[str]) -> list[float]:
-            if text is None:
-                return [0.0] * len(hypotheses)
-            chunk = prepare(text)
-            return [float(s) for s in model([(chunk, h) for h in hypotheses])]
-
         for texts, lists in batches:
-            yield pd.Series([scores(t, h) for t, h in zip(texts, lists)])
+            prepared = [None if t is None else prepare(t) for t in texts]
+            pairs = [(chunk, h) for chunk, hypotheses in zip(prepared, lists) if chunk is not None for h in hypotheses]
+            answers = iter(model(pairs) if pairs else ())
+            yield pd.Series([[0.0 if chunk is None else float(next(answers)) for _ in h] for chunk, h in zip(prepared, lists)])
 
     return score
 
@@ -168,19 +169,20 @@ def entailment_scores(
 ) -> DataFrame:
     """Add scores, one per hypothesis of the row; a NULL chunk scores 0.0 throughout.
 
-    A factory's function takes [(chunk, hypothesis), ...] and returns probabilities. Each distinct
-    chunk and hypothesis list is scored once, as a model costs far more than the shuffle that finds
-    them. Default: word_overlap, which is cheap and scores the rows where they are.
+    A factory's function takes [(chunk, hypothesis), ...] and returns probabilities. Each distinct pair
+    is scored once, as a model costs far more than the shuffle that finds them: a chunk meets all its
+    hypotheses in one row. Default: word_overlap, which is cheap and scores the rows where they are.
     """
     if factory is None:
         cleaned = F.when(F.col(chunk).isNotNull(), clean_issue_text(chunk))
         overlap = _pair_scorer(word_overlap, lambda t: frozenset(t.split()))
         return chunks.withColumn("scores", overlap(cleaned, F.col(hypotheses)))
-    keyed = chunks.withColumn("pair_key", F.sha2(F.concat_ws("\x01", F.col(chunk), F.col(hypotheses)), 256))
-    once = keyed.groupBy("pair_key").agg(F.any_value(chunk).alias("c"), F.any_value(hypotheses).alias("h"))
-    scored = once.select("pair_key", _pair_scorer(factory, str)("c", "h").alias("scores"))
-    row_id = [c for c in chunks.columns if c not in (chunk, hypotheses)]
-    return skew_join(keyed, scored, ["pair_key"], "inner", row_id=row_id).drop("pair_key")
+    asked = F.array_distinct(F.flatten(F.collect_set(hypotheses))).alias("h")
+    once = chunks.filter(F.col(chunk).isNotNull()).groupBy(F.col(chunk).alias("c")).agg(asked)
+    scored = once.select(F.sha2("c", 256).alias("chunk_key"), F.map_from_arrays("h", _pair_scorer(factory, str)("c", "h")).alias("score_of"))
+    found = chunks.withColumn("chunk_key", F.sha2(chunk, 256)).join(scored, "chunk_key", "left")
+    scores = F.transform(hypotheses, lambda h: F.coalesce(F.get(F.map_values(F.map_filter("score_of", lambda k, _: k == h)), F.lit(0)), F.lit(0.0)))
+    return found.withColumn("scores", scores).drop("chunk_key", "score_of")
 
 
 def votes(

@@ -2,13 +2,14 @@
 
 The word side is a catalogue. While it is within the bound it becomes one numpy matrix that every
 task holds, and a batch of texts is compared with all words in one product: no shuffle, and only
-the hits (or their totals) leave the task. Above the bound both sides are cut into blocks and each
-pair of blocks is one bounded group, as in a blocked matrix product.
+the hits (or their totals) leave the task. Above the bound the words are dealt to several matrices,
+those of a criteria to one, and the texts are read once for each; they are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,6 @@ from ..fixed_values import MATCH_THRESHOLD, MENTION_THRESHOLD
 from .skew import bounded_rows, lookup_join
 
 MAX_WORDS = 50_000
-BLOCK_ROWS = 4_096
-
 WORD_FIELDS = "word_no long, criteria string, word string, weight double, vector array<double>"
 
 
@@ -107,39 +106,15 @@ def _totals(texts: DataFrame, vector: str, keep: list[str], words: pd.DataFrame,
     return texts.select(*keep, vector).filter(F.col(vector).isNotNull()).mapInArrow(score, schema)
 
 
-def _blocked_hits(
-    texts: DataFrame, vector: str, keep: list[str], words: DataFrame, threshold: float, inclusive: bool, block_rows: int
-) -> DataFrame:
-    """Hits when the words are too many for one task: every pair of a text block and a word block is
-    one group of at most about block_rows rows a side."""
-    text_blocks = max(1, -(-texts.count() // block_rows))
-    word_blocks = max(1, -(-words.count() // block_rows))
-
-    def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = texts.filter(F.col(vector).isNotNull()).select(
-        *keep, F.col(vector).alias("vector"), F.pmod(F.xxhash64(*keep), F.lit(text_blocks)).alias("text_block"),
-        numbers(word_blocks).alias("word_block"),
-    )
-    right = words.select(
-        "word_no", "vector", F.pmod(F.xxhash64("word_no"), F.lit(word_blocks)).alias("word_block"),
-        numbers(text_blocks).alias("text_block"),
-    )
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in [*keep, "word_no", "similarity"]})
-        sims = _unit_rows(np.stack(a["vector"].to_list()).astype(np.float64)) @ _unit_rows(
-            np.stack(b["vector"].to_list()).astype(np.float64)
-        ).T
-        text_at, word_at = np.nonzero(_over(sims, threshold, inclusive))
-        found = a[keep].iloc[text_at].reset_index(drop=True)
-        return found.assign(word_no=b["word_no"].to_numpy()[word_at], similarity=sims[text_at, word_at])
-
-    schema = texts.select(*keep).schema.add("word_no", "long").add("similarity", "double")
-    by = ["text_block", "word_block"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(product, schema)
+def _dealt(catalogue: DataFrame, by: str, max_words: int) -> list[pd.DataFrame]:
+    """The words as one table, or dealt by the hash of a column to tables of about max_words words."""
+    rows = bounded_rows(catalogue, max_words)
+    if rows is None:
+        shards = -(-catalogue.count() // max_words)
+        parts = [catalogue.filter(F.pmod(F.xxhash64(by), F.lit(shards)) == k).collect() for k in range(shards)]
+    else:
+        parts = [rows]
+    return [pd.DataFrame(part, columns=catalogue.columns) for part in parts if part]
 
 
 def similar_words(
@@ -150,17 +125,13 @@ def similar_words(
     vector: str = "vector",
     keep: tuple[str, ...] = ("issue_id",),
     max_words: int = MAX_WORDS,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """keep..., word_no, similarity: the pairs above the threshold. words has word_no and vector."""
     keep = list(keep)
     catalogue = words.select("word_no", F.col("vector").cast("array<double>").alias("vector"))
-    rows = bounded_rows(catalogue, max_words)
-    if rows is None:
-        return _blocked_hits(texts, vector, keep, catalogue, threshold, inclusive, block_rows)
-    if not rows:
-        return texts.select(*keep, F.lit(0).cast("long").alias("word_no"), F.lit(0.0).alias("similarity")).limit(0)
-    return _hits(texts, vector, keep, pd.DataFrame(rows, columns=catalogue.columns), threshold, inclusive)
+    parts = [_hits(texts, vector, keep, words, threshold, inclusive) for words in _dealt(catalogue, "word_no", max_words)]
+    none = texts.select(*keep, F.lit(0).cast("long").alias("word_no"), F.lit(0.0).alias("similarity")).limit(0)
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def mention_scores(
@@ -170,7 +141,6 @@ def mention_scores(
     vector: str = "vector",
     keep: tuple[str, ...] = ("issue_id",),
     max_words: int = MAX_WORDS,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """keep..., criteria, words, score: per text and criteria the number of similar words and the sum
     of similarity times weight. words has word_no, criteria, weight and vector.
@@ -180,20 +150,15 @@ def mention_scores(
     """
     keep = list(keep)
     catalogue = words.select("word_no", "criteria", "weight", F.col("vector").cast("array<double>").alias("vector"))
-    rows = bounded_rows(catalogue, max_words)
-    if rows:
-        return _totals(texts, vector, keep, pd.DataFrame(rows, columns=catalogue.columns), threshold)
-    hits = similar_words(texts, words, threshold, False, vector, tuple(keep), max_words, block_rows)
-    named = lookup_join(hits, catalogue.drop("vector"), ["word_no"], "inner", row_id=keep)
-    return named.groupBy(*keep, "criteria").agg(
-        F.count("*").alias("words"), F.sum(F.col("similarity") * F.col("weight")).alias("score")
-    )
+    parts = [_totals(texts, vector, keep, words, threshold) for words in _dealt(catalogue, "criteria", max_words)]
+    none = texts.select(*keep, F.lit("").alias("criteria"), F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def matched_words(hits: DataFrame, words: DataFrame, keep: tuple[str, ...] = ("issue_id",)) -> DataFrame:
     """keep..., criteria, matched: the similar words with their weighted scores, in catalogue order.
     A list is never longer than the criteria's part of the catalogue."""
-    named = lookup_join(hits, words.select("word_no", "criteria", "word", "weight"), ["word_no"], "inner", row_id=list(keep))
+    named = lookup_join(hits, words.select("word_no", "criteria", "word", "weight"), ["word_no"], "inner")
     entry = F.struct("word_no", "word", (F.col("similarity") * F.col("weight")).alias("score"))
     return named.groupBy(*keep, "criteria").agg(F.array_sort(F.collect_list(entry)).alias("matched"))
 
@@ -227,7 +192,7 @@ def attribute_matches(
     """keep..., attribute, similarity_score: attributes whose definition is at least threshold similar
     to the text, rounded to 4. attributes has word_no, attribute and vector."""
     hits = similar_words(texts, attributes, threshold, True, vector, keep, **bounds)
-    named = lookup_join(hits, attributes.select("word_no", "attribute"), ["word_no"], "inner", row_id=list(keep))
+    named = lookup_join(hits, attributes.select("word_no", "attribute"), ["word_no"], "inner")
     return named.select(*keep, "attribute", F.round("similarity", 4).alias("similarity_score"))
 
 

@@ -1,9 +1,9 @@
 """Joins and top-n that hold when one key has a third of all rows.
 
-A side is broadcast only after its rows and bytes were counted. Beyond the bound the join is a
-shuffle join in which the heaviest keys of the large side are spread over several tasks. Those
-keys are found with one aggregate over the key columns alone; a key with more than a thousandth
-of the rows is always among the thousand heaviest, so the list is short by construction.
+No step here runs a job. Which side is broadcast is decided on the plan's statistics and, at run time,
+on the sizes of the shuffle; a partition that one key makes large is split by adaptive execution, for
+inner, left, semi and anti joins alike, because nothing between the scan and the join pins the
+partitions. NULL keys match nothing and take the same way.
 """
 
 from __future__ import annotations
@@ -14,86 +14,29 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 64 << 20
-ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 1_000
+#: Rows per key up to which Spark itself ranks within a task before it shuffles.
+GROUP_LIMIT = 1_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    rows, used = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    return rows <= max_rows and used <= max_bytes
+def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
+    """The rows of a catalogue, or None when it has more than max_rows. One job; nothing larger is moved."""
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
 
 
-def bounded_rows(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> list[Row] | None:
-    """The rows of a small table, or None when it is above the bound."""
-    return df.collect() if fits_broadcast(df, max_rows, max_bytes) else None
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = ROWS_PER_TASK) -> list[Row]:
-    """Keys with at least min_rows rows, the heaviest first, with their row count."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("key_rows"))
-        .filter(F.col("key_rows") >= min_rows)
-        .orderBy(F.desc("key_rows"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-
-
-def skew_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    row_id: Sequence[str] = (),
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """big JOIN small with the hot keys of big spread by row_id and their small rows repeated.
-
-    how is inner, left, left_semi or left_anti. row_id tells the rows of one key apart; it makes
-    the spread the same when a task runs again.
-    """
-    on = list(on)
-    hot = hot_keys(big, on, rows_per_task)
-    if not hot:
-        return big.join(small, on, how)
-    parts = F.ceil(F.col("key_rows") / F.lit(rows_per_task)).cast("int").alias("parts")
-    schema = big.select(*on).schema.add("key_rows", "long")
-    spread = F.broadcast(big.sparkSession.createDataFrame(hot, schema).select(*on, parts))
-    left = big.join(spread, on, "left").withColumn(
-        "salt", F.coalesce(F.pmod(F.xxhash64(*row_id), F.col("parts")).cast("int"), F.lit(0))
-    )
-    right = small.join(spread, on, "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
-    )
-    joined = left.drop("parts").join(right.drop("parts"), [*on, "salt"], how)
-    return joined.drop("salt")
-
-
-def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    row_id: Sequence[str] = (),
-    max_rows: int = MAX_BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Join with a table that is normally small: broadcast if it is, spread join if it is not."""
-    if fits_broadcast(lookup, max_rows):
-        return big.join(F.broadcast(lookup), list(on), how)
-    return skew_join(big, lookup, on, how, row_id, rows_per_task)
+def lookup_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table that is normally small: broadcast if it is, a shuffle join with split
+    partitions if it is not."""
+    return big.join(lookup, list(on), how)
 
 
 def top_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, row_id: Sequence[str], parts: int = 64
 ) -> DataFrame:
-    """The first n rows of each key. Each key is cut in parts first, so that the task that ranks a
-    hot key sees at most parts * n rows of it. order must end in a unique column."""
+    """The first n rows of each key. Up to GROUP_LIMIT rows a task sends n rows of a key at most; beyond
+    that each key is ranked in parts first. order must end in a unique column."""
     salted = df.withColumn("part", F.pmod(F.xxhash64(*row_id), F.lit(parts)))
-    for group in ([*keys, "part"], list(keys)):
+    for group in ([*keys, "part"], list(keys)) if n > GROUP_LIMIT else (list(keys),):
         window = Window.partitionBy(*group).orderBy(*order)
         salted = salted.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= n).drop("place")
     return salted.drop("part")

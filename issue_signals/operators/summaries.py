@@ -35,17 +35,19 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     place = F.least(
         F.floor((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1, F.lit(bins)
     ).cast("int")
-    # The bounds are one row, read back as a scalar subquery by every task.
-    bounds = ends.select(F.struct("lo", "hi")).scalar()
-    values = df.filter(F.col(column).isNotNull()).select(column, bounds["lo"].alias("lo"), bounds["hi"].alias("hi"))
-    counted = values.select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    # The bounds are one row, read back as a scalar subquery; they come out of the count with the bins.
+    bounds = ends.select(F.struct("lo", "hi")).scalar().alias("bounds")
+    values = df.filter(F.col(column).isNotNull()).select(column, bounds).select(column, "bounds.lo", "bounds.hi")
+    counted = values.select(place.alias("bin"), "lo", "hi").groupBy("bin", "lo", "hi").agg(F.count("*").alias("n"))
+    all_bins = counted.groupBy("lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
     width = (F.col("hi") - F.col("lo")) / bins
-    edges = ends.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "lo", width.alias("width")).select(
+    rows = all_bins.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "lo", width.alias("width"), "counts")
+    return rows.select(
         "bin",
         (F.col("lo") + (F.col("bin") - 1) * F.col("width")).alias("low"),
         (F.col("lo") + F.col("bin") * F.col("width")).alias("high"),
+        F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("n"),
     )
-    return edges.join(counted, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def words_per_criteria(words: DataFrame) -> DataFrame:

@@ -60,13 +60,15 @@ def label_corpus(
 ) -> DataFrame:
     """issue_id, project_id, attribute_id, nli_label, nli_json for texts with a keyword of the attribute.
 
-    The keyword filter comes first, so only texts that pass it reach the scorer.
+    The keyword filter comes first, so only texts that pass it are chunked, each once, and scored.
     """
-    keep = ("issue_id", "project_id", "page_no", text)
+    keep = ("issue_id", "project_id")
     found = keyword_matches(corpus, attribute_terms(attributes), text, keep)
     lists = hypothesis_lists(attributes, labelling_hypotheses(attributes))
-    asked = lookup_join(found, lists, ["attribute_id"], "inner", row_id=["issue_id", "page_no"])
-    chunked = asked.withColumn("chunk", F.explode_outer(line_chunker(max_tokens)(F.col(text)))).drop(text)
+    asked = lookup_join(found, lists, ["attribute_id"], "inner")
+    wanted = corpus.select("issue_id", text).join(found.select("issue_id").distinct(), "issue_id", "left_semi")
+    chunks = wanted.select("issue_id", F.explode_outer(line_chunker(max_tokens)(F.col(text))).alias("chunk"))
+    chunked = asked.join(chunks, "issue_id")
     scored = entailment_scores(chunked, factory=factory)
     per_issue = hypothesis_scores(scored, ["issue_id", "project_id", "attribute_id"], len(LABELLING_TEMPLATES))
     labelled = per_issue.withColumn("verdict", labelling_verdict("max_scores"))
@@ -115,7 +117,7 @@ def score_grid(
     sets = once.select("issue_id", F.inline_outer(chunk_sets(text, chunkings, limits)))
     chunked = sets.select("issue_id", "chunking_strategy", "max_tokens", F.explode_outer("chunks").alias("chunk"))
     labelled = labelled_texts(chunked, truth)
-    asked = lookup_join(labelled, lists, ["attribute_id"], "inner", row_id=["issue_id"])
+    asked = lookup_join(labelled, lists, ["attribute_id"], "inner")
     width = sum(len(t) for t in HYPOTHESIS_TEMPLATES.values())
     keys = ["issue_id", "attribute_id", "attribute", "is_related", "chunking_strategy", "max_tokens"]
     return hypothesis_scores(entailment_scores(asked, factory=factory), keys, width)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..fixed_values import MENTION_THRESHOLD
 from ..functions.hypotheses import word_prompt
-from ..operators.combine import PAGE_COMMENTS, combine_labelled
+from ..operators.combine import combine_labelled
 from ..operators.keys import back_to_issues, distinct_texts, with_text_key
 from ..operators.scoring import Factory, embed, sentiment
 from ..operators.similarity import mention_scores, mentions_of, signed, word_lookup
@@ -30,23 +29,20 @@ def criteria_mentions(
     dim: int = 64,
     max_chars: int | None = None,
     shared_words: str = "last",
-    page_comments: int = PAGE_COMMENTS,
     **lexicon,
 ) -> DataFrame:
     """project_id, criteria, semantic, similarity_score, issue_id.
 
     Each distinct text of a project is embedded, compared and classified once; the assembled texts
     are written to the shared folder, because both the scoring and the way back to the issues read
-    them. Long issues that come in pages add up their pages' scores.
+    them, the latter only their keys.
     """
-    assembled = combine_labelled(issues, comments, max_chars, page_comments)
+    assembled = combine_labelled(issues, comments, max_chars)
     texts = materialize(with_text_key(assembled))
     once = sentiment(distinct_texts(texts), "text", classifier, **lexicon)
     vectors = embed(once, "text", embedder, dim).drop("text")
     keep = ("project_id", "text_key", "sentiment")
     scores = mention_scores(vectors, criteria_words(words, embedder, dim, shared_words), threshold, keep=keep)
     per_text = scores.select("project_id", "text_key", "criteria", signed("score", "sentiment").alias("total"))
-    pages = texts.select("project_id", "issue_id", "page_no", "text_key")
-    found = back_to_issues(pages, per_text, row_id=("issue_id", "page_no"))
-    totals = found.groupBy("project_id", "criteria", "issue_id").agg(F.sum("total").alias("total"))
-    return mentions_of(totals, threshold).select("project_id", "criteria", "semantic", "similarity_score", "issue_id")
+    found = back_to_issues(texts.select("project_id", "issue_id", "text_key"), per_text)
+    return mentions_of(found, threshold).select("project_id", "criteria", "semantic", "similarity_score", "issue_id")

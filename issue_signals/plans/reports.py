@@ -74,9 +74,9 @@ def synonyms(neighbours: DataFrame, criteria: DataFrame, top: int = 10) -> DataF
     """
     neighbours = materialize(neighbours)
     lengths = neighbours.groupBy("word").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    wanted = lookup_join(neighbours, criteria.select(F.col("criteria").alias("word")).distinct(), ["word"], row_id=["neighbour"])
+    wanted = lookup_join(neighbours, criteria.select(F.col("criteria").alias("word")).distinct(), ["word"])
     left = wanted.select(F.col("word").alias("criteria"), "neighbour", F.col("n").alias("m"))
-    shared = lookup_join(neighbours, left, ["neighbour"], "inner", row_id=["word"])
+    shared = lookup_join(neighbours, left, ["neighbour"], "inner")
     dots = shared.groupBy("criteria", "word").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     of_criteria = lengths.select(F.col("word").alias("criteria"), F.col("length").alias("criteria_length"))
     scored = (

@@ -44,7 +44,7 @@ def prompt_chunks(
     used = token_count(F.concat_ws(" ", empty["system"], empty["user"]))
     sized = lists.withColumn("max_tokens", token_budget(used, model_limit))
     words = of_labelled(texts.select("issue_id", text), truth).select("issue_id", tokens(text).alias("tokens"))
-    asked = lookup_join(labelled_texts(words, truth), sized, ["attribute_id"], "inner", row_id=["issue_id"])
+    asked = lookup_join(labelled_texts(words, truth), sized, ["attribute_id"], "inner")
     windows = asked.select("*", F.posexplode_outer(windows_of("tokens", F.col("max_tokens"))).alias("chunk_no", "chunk"))
     prompt = vote_prompt("hypotheses", F.coalesce("chunk", F.lit("")))
     return windows.withColumn("prompt", F.concat_ws("\n", prompt["system"], prompt["user"])).drop("tokens", "hypotheses")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local session, where driver and executors are one machine, gets a
+    Only a local session, where driver and executors are one process, gets a
     temporary folder of its own when the setting is missing.
     """
     sc = spark.sparkContext
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="issue_signals_")
     if not sc.getCheckpointDir():
@@ -51,7 +52,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder once, so that several consumers read it instead of
-    computing it again and a lost executor does not take it away."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder once, as Parquet, so that several consumers read the columns
+    they need instead of computing them again, and a lost executor does not take it away."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -44,7 +44,7 @@ RAW_COMMENTS = _schema(
 
 COMBINED_ISSUES = _schema(
     ("issue_id", L), ("project_id", L), ("number", I), ("state", S), ("comments", I),
-    ("created_at", TS), ("page_no", L), ("issue_text", S), ("clean_issue_text", S),
+    ("created_at", TS), ("issue_text", S), ("clean_issue_text", S),
 )
 
 SIMILAR_WORDS = _schema(("criteria", S), ("similar_word", S), ("max_w2v_score", D))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.keys import first_by_key
 from ..operators.progress import above_tracker, tracker_after
 from ..plans.reports import alerts, daily_mentions
+from ..session import materialize
 from ..sources.landing import read_table
 from ..sources.schemas import TRACKER
 from ..sources.sinks import append_run, replace_table
@@ -42,7 +43,8 @@ def land_stream(
         rows = to_rows(first_by_key(batch, ["id"], arrival))
         stored = read_table(batch.sparkSession, table, T.StructType([*schema.fields, T.StructField("run_id", T.StringType())]))
         before = stored.filter(F.col("run_id") != _run(batch_id)).select(key)
-        append_run(rows.join(before, key, "left_anti"), table, schema, _run(batch_id))
+        present = before.join(rows.select(key), key, "left_semi")  # the stored table meets the few new keys
+        append_run(rows.join(present, key, "left_anti"), table, schema, _run(batch_id))
 
     return _once(raw, write, checkpoint)
 
@@ -68,13 +70,14 @@ def analyse_above_tracker(
     schema: T.StructType,
     run_id: str,
 ) -> None:
-    """One tracked run: analyse the issues above the marks, write results, then the raised marks.
+    """One tracked run: analyse the issues above the marks, write results, then the raised marks. The
+    issues of the run are written once, so that both come from the same rows.
 
     The new tracker goes to its own path, after the results; a run that fails in between is repeated
     with the old marks and the same run_id.
     """
     tracker = read_table(issues.sparkSession, tracker_path, TRACKER)
-    todo = above_tracker(issues, tracker)
+    todo = materialize(above_tracker(issues, tracker))
     append_run(analyse(todo), table, schema, run_id)
     replace_table(tracker_after(tracker, todo), next_tracker_path, TRACKER)
 

@@ -58,17 +58,16 @@ def test_token_budget(one):
 
 
 @pytest.mark.parametrize(
-    "text, budget, oversize, chunks",
+    "text, budget, chunks",
     [
-        ("short text", 5, "split", ["short text"]),
-        ("a b\nc d\ne f", 4, "split", ["a b\nc d", "e f"]),
-        ("a b c. d e f g h", 3, "split", ["a b c", "d e f", "g h"]),
-        ("a b c. d e f g h", 3, "truncate", ["a b c", "d e f"]),
+        ("short text", 5, ["short text"]),
+        ("a b\nc d\ne f", 4, ["a b\nc d", "e f"]),
+        ("a b c. d e f g h", 3, ["a b c", "d e f", "g h"]),
     ],
 )
-def test_line_chunker(spark, text, budget, oversize, chunks):
+def test_line_chunker(spark, text, budget, chunks):
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(C.line_chunker(budget, oversize=oversize)(F.col("t")).alias("c")).first().c == chunks
+    assert df.select(C.line_chunker(budget)(F.col("t")).alias("c")).first().c == chunks
 
 
 def test_line_chunker_keeps_every_word(spark):

@@ -29,9 +29,9 @@ def rows_of(df, *columns):
 
 
 def test_combine_labelled(spark):
-    assert rows_of(combine.combine_labelled(issues(spark), comments(spark)), "issue_id", "page_no", "text") == [
-        (1, 0, "title: t1 b1 comment: first\nsecond"), (2, 0, "title: t2"), (3, 0, "b3 comment: c3"),
-        (5, 0, "title: t5 b5"), (6, 0, "title: t6 "),
+    assert rows_of(combine.combine_labelled(issues(spark), comments(spark)), "issue_id", "text") == [
+        (1, "title: t1 b1 comment: first\nsecond"), (2, "title: t2"), (3, "b3 comment: c3"),
+        (5, "title: t5 b5"), (6, "title: t6 "),
     ]
     capped = combine.combine_labelled(issues(spark), comments(spark), max_chars=8)
     assert rows_of(capped, "issue_id", "text")[0] == (1, "title: t")
@@ -49,28 +49,14 @@ def test_combined_issues(spark):
     ]
 
 
-@pytest.mark.parametrize("build, separator", [("labelled", "\n"), ("paragraph", "\n\n")])
-def test_pages_put_together_are_the_whole_text(spark, build, separator):
+def test_an_issue_of_many_comments_is_one_row(spark):
     random.seed(3)
-    ids = random.sample(range(1000), 300)
-    many = spark.createDataFrame([(1 if i % 3 else 2, i, f"c{i}") for i in ids], COMMENTS)
+    ids = random.sample(range(10**9), 10_001)
+    many = spark.createDataFrame([(1, i, f"c{i}") for i in ids] + [(2, 5, "c5")], COMMENTS)
     base = spark.createDataFrame([(i, 7, f"t{i}", f"b{i}", "User", i, "open", 0, None) for i in (1, 2, 3)], ISSUES)
-    fn = combine.combine_labelled if build == "labelled" else combine.combined_issues
-    text = "text" if build == "labelled" else "issue_text"
-    whole = {r[0]: r[1] for r in rows_of(fn(base, many), "issue_id", text)}
-    paged = fn(base, many, page_comments=20)
-    pages = defaultdict(dict)
-    for r in paged.collect():
-        pages[r.issue_id][r.page_no] = r[text]
-    assert len(pages[1]) > 5 and len(pages[3]) == 1
-    joint = {i: [pages[i][k] for k in sorted(pages[i])] for i in pages}
-    for i, parts in joint.items():
-        if build == "labelled" and len(parts) > 1:
-            assert parts[0] + " comment: " + separator.join(parts[1:]) == whole[i]
-        else:
-            assert separator.join(parts) == whole[i]
-    largest = max(len(p.split("c")) - 1 for i in (1, 2) for p in joint[i][1:])
-    assert largest <= 20
+    found = dict(rows_of(combine.combine_labelled(base, many.repartition(5)), "issue_id", "text"))
+    assert found[1] == "title: t1 b1 comment: " + "\n".join(f"c{i}" for i in sorted(ids))
+    assert found[2] == "title: t2 b2 comment: c5" and found[3] == "title: t3 b3"
 
 
 def test_insert_if_absent_is_idempotent(spark):
@@ -140,21 +126,34 @@ def test_watermark_progress_and_paging(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join_equals_plain_join(spark, how):
-    big = spark.range(2000).select(F.col("id"), F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 7).alias("k"))
-    small = spark.createDataFrame([(0, "a"), (1, "b"), (1, "bb"), (9, "z")], "k long, v string")
-    assert len(skew.hot_keys(big, ["k"], 100)) == 1
-    spread = skew.skew_join(big, small, ["k"], how, row_id=["id"], rows_per_task=100)
-    plain = big.join(small, "k", how)
-    assert spread.columns == plain.columns
-    assert Counter(map(tuple, spread.collect())) == Counter(map(tuple, plain.collect()))
+def test_a_hot_key_is_split_by_adaptive_execution(spark, how):
+    big = spark.range(20_000).select(F.when(F.col("id") < 15_000, 0).otherwise(F.col("id") % 700).alias("k"), F.col("id"))
+    small = spark.range(0, 1400, 2).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = skew.lookup_join(big.repartition(8), small, ["k"], how)
+        rows = Counter(map(tuple, joined.collect()))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    keys_of_small = set(range(0, 1400, 2))
+    assert sum(rows.values()) == sum(
+        (0 if i < 15_000 else i % 700) in keys_of_small if how in ("inner", "left_semi") else (0 if i < 15_000 else i % 700) not in keys_of_small if how == "left_anti" else 1
+        for i in range(20_000)
+    )
+    assert "skew=true" in plan
 
 
-def test_lookup_join_beyond_the_bound(spark):
-    big, lookup = spark.range(50).withColumn("k", F.col("id") % 5), spark.range(3).withColumnRenamed("id", "k")
-    assert not skew.fits_broadcast(lookup, 2) and skew.fits_broadcast(lookup, 3) and not skew.fits_broadcast(lookup, 3, 5)
-    joined = skew.lookup_join(big, lookup, ["k"], "left_anti", row_id=["id"], max_rows=2, rows_per_task=5)
-    assert joined.count() == 20
+def test_bounded_rows(spark):
+    assert skew.bounded_rows(spark.range(3), 2) is None and len(skew.bounded_rows(spark.range(3), 3)) == 3
 
 
 def test_top_n_per_key(spark):
@@ -180,13 +179,13 @@ def test_similarity_join_both_ways(spark, max_words):
     texts, tdf = vectors(spark, 40, 6, "issue_id", 1)
     words, wdf = vectors(spark, 9, 6, "word_no", 2)
     sims = cosines(texts, words)
-    hits = similarity.similar_words(tdf, wdf, 0.3, max_words=max_words, block_rows=16)
+    hits = similarity.similar_words(tdf, wdf, 0.3, max_words=max_words)
     got = {(r.issue_id, r.word_no): r.similarity for r in hits.collect()}
     want = {(i, j): sims[i, j] for i in range(40) for j in range(9) if sims[i, j] > 0.3}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
     catalogue = wdf.withColumn("criteria", F.concat(F.lit("c"), F.col("word_no") % 2)).withColumn("weight", F.col("word_no") / 10)
-    totals = similarity.mention_scores(tdf, catalogue, 0.3, max_words=max_words, block_rows=16)
+    totals = similarity.mention_scores(tdf, catalogue, 0.3, max_words=max_words)
     got = {(r.issue_id, r.criteria): (r.words, r.score) for r in totals.collect()}
     by_criteria = defaultdict(list)
     for (i, j), s in want.items():
@@ -237,7 +236,7 @@ def test_mean_vector(spark):
     assert rows_of(similarity.mean_vector(df, ["k"]), "k", "vector") == [(1, [2.0, 4.0]), (2, [5.0, 5.0])]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"max_literal": 1}, {"max_broadcast": 1, "block_rows": 2}])
+@pytest.mark.parametrize("bounds", [{}, {"max_literal": 1}, {"max_broadcast": 1}])
 def test_keyword_matches_three_ways(spark, bounds):
     attributes = spark.createDataFrame(
         [(1, "Cost", None, "price, 100%"), (2, "speed", None, "['fast', 'co_t']"), (3, "none", None, "")],

@@ -92,8 +92,9 @@ class NamedFolder:
 def test_shared_dir_is_the_one_the_session_names():
     named = NamedFolder("spark://cluster", "/shared/run")
     assert session.shared_dir(named) == "/shared/run" == named.dir
-    with pytest.raises(ValueError):
-        session.shared_dir(NamedFolder("spark://cluster"))
+    for master in ("spark://cluster", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            session.shared_dir(NamedFolder(master))
     alone = NamedFolder("local[2]")
     assert session.shared_dir(alone) == alone.dir
 
