@@ -20,7 +20,7 @@ HEADLINES = [
     "q_land_issues", "q_insert_if_absent", "q_keyed_merge", "q_combine_a", "q_combine_c", "q_text_dedupe", "q_valid_text",
     "q_content_type", "q_context", "q_reason", "q_clean_issue", "q_chunk_pack", "q_chunk_fixed", "q_chunk_lines",
     "q_unprocessed", "q_mean_vector", "q_embed", "q_sim_join_v1", "q_sim_join_v2", "q_word_lookup", "q_keyword_join",
-    "q_hypotheses", "q_nli_scores", "q_label_corpus", "q_votes", "q_vote_eval", "q_metrics", "q_grid", "q_sentiment",
+    "q_hypotheses", "q_nli_scores", "q_label_corpus", "q_votes", "q_vote_eval", "q_metrics", "q_grid", "q_grid_todo", "q_sentiment",
     "q_weighted_sentiment", "q_mentions", "q_matches", "q_cap_matches", "q_criteria_report", "q_neighbours", "q_synonyms",
     "q_criteria_daily",
 ]
