@@ -550,6 +550,12 @@ ORACLES: dict[str, str] = {
 }
 # A run that is repeated stores what one run finds; every project has more than ten issues, and marks start at 0.
 ORACLES["q_run_mentions"] = f"SELECT * FROM ({ORACLES['q_mentions']}) WHERE issue_id > 0"
+ORACLES["q_null_text"] = "SELECT doc_id, " + ", ".join(
+    f"CASE WHEN lang <> 'es' THEN round(len(list_intersect({strings(h.split())}, {words_of('text')}))::DOUBLE / {len(h.split())}, 6) ELSE 0.0 END AS {name}"
+    for name, h in (("first", "the license of it"), ("second", "with that server on"))
+) + " FROM documents"
+ORACLES["q_model_sentiment"] = f"""SELECT doc_id, CASE WHEN contains(CASE WHEN {valid('text')} THEN text ELSE 'Invalid content' END, ' the ') THEN '+' ELSE '-' END
+    AS sentiment, 0.75::DOUBLE AS confidence, NULL::VARCHAR AS sentiment_error FROM documents"""
 ORACLES["q_run_labels"] = f"SELECT * EXCLUDE (score) FROM ({ORACLES['q_label_corpus']})"
 ORACLES["q_run_votes"] = f"SELECT *, 1.5::DOUBLE AS duration_seconds FROM ({ORACLES['q_vote_eval']})"
 ORACLES["q_run_grid"] = f"SELECT * EXCLUDE (tp, fp, fn, tn), 2.5::DOUBLE AS duration_seconds FROM ({ORACLES['q_grid']})"

@@ -508,6 +508,30 @@ def q_nli_scores(spark, sf):
     )
 
 
+@query
+def q_null_text(spark, sf):
+    """A text that is missing scores 0 for every hypothesis."""
+    asked = F.array(F.lit("the license of it"), F.lit("with that server on"))
+    rows = docs(spark, sf).select("doc_id", F.when(F.col("lang") != "es", F.col("text")).alias("chunk"), asked.alias("hypotheses"))
+    scored = entailment_scores(rows)
+    return scored.select("doc_id", F.round(F.get("scores", F.lit(0)), 6).alias("first"), F.round(F.get("scores", F.lit(1)), 6).alias("second"))
+
+
+def wordy_model():
+    """A model in the caller's hands: its labels become signs."""
+
+    def classify(texts):
+        return [("POSITIVE" if " the " in t else "NEGATIVE", 0.75) for t in texts]
+
+    return classify
+
+
+@query
+def q_model_sentiment(spark, sf):
+    rows = sentiment(docs(spark, sf).select("doc_id", "text"), "text", wordy_model)
+    return rows.select("doc_id", "sentiment", "confidence", "sentiment_error")
+
+
 @query
 def q_entailment(spark, sf):
     logits = F.transform("embedding", lambda v: v.cast("double") * 10)

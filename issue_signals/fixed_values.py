@@ -39,9 +39,6 @@ INVALID_SENTIMENT_TEXT = "Invalid content"
 MENTION_THRESHOLD = 0.05
 MATCH_THRESHOLD = 0.3
 MIN_PROJECT_ISSUES = 100
-ISSUE_TEXT_CHARS = 5000
-SENTIMENT_CHARS = 512
-EMBEDDING_CHARS = 1024
 TITLE_CHARS = 150
 WORD_PROMPT = "Software quality attribute: "
 
@@ -99,7 +96,6 @@ VOTE_INSTRUCTION = (
 VOTE_QUESTION = "\nIs this text relevant?"
 
 # --- fixed values: evaluation settings -----------------------------------------------
-ENTAILMENT_MODELS = ["cross-encoder/nli-roberta-base", "FacebookAI/roberta-large-mnli"]
 CHUNKINGS = ["sentence", "paragraph", "newline"]
 THRESHOLD_LISTS = [[0.60, 0.55, 0.50, 0.45, 0.40], [0.70, 0.65, 0.60, 0.55], [0.80, 0.70, 0.60]]
 TOKEN_LIMITS = [128, 256, 512]

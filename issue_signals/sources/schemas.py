@@ -47,10 +47,6 @@ COMBINED_ISSUES = _schema(
     ("created_at", TS), ("issue_text", S), ("clean_issue_text", S),
 )
 
-SIMILAR_WORDS = _schema(("criteria", S), ("similar_word", S), ("max_w2v_score", D))
-
-QUALITY_ATTRIBUTES = _schema(("attribute_id", I), ("attribute", S), ("definition", S), ("related_words", S))
-
 QUALITY_ATTRIBUTES_V2 = _schema(("attribute", S), ("definition", S))
 
 GROUND_TRUTH = _schema(
@@ -87,7 +83,3 @@ VOTE_METRICS_KEY = [
     "aggregation_logic",
 ]
 
-METRICS_EXPORT = _schema(
-    ("id", L), ("project_id", S), ("attribute_id", I), ("attribute", S), ("model", S),
-    ("precision", D), ("recall", D), ("specificity", D), ("accuracy", D), ("f1_score", D),
-)
