@@ -68,7 +68,7 @@ def features(text: str | None) -> np.ndarray:
     stems = {f"\0{n}\0{w[:n]}" for n in STEMS for w in seen if len(w) > n}
     found = [_hash(w) for w in (*seen, *stems)]
     found += [_hash(f) for f in _facts(text, words, len(seen))]
-    return np.unique(np.array(found, np.int64))
+    return np.unique(np.array(found, np.int32))
 
 
 @dataclass(frozen=True)
@@ -80,10 +80,15 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def score(self, found: np.ndarray) -> float:
-        if not len(self.hashes):
-            return 0.0
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        return float(self.weights[at][self.hashes[at] == found].sum())
+        return float(self.weights[_places(self.hashes, found)].sum())
+
+
+def _places(known: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where those of found that are known stand among the sorted known."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    return at[known[at] == found]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -96,14 +101,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, min_text
     top = int(grades.max(initial=0))
     if not len(rows) or grades.min() == top:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.zeros(top))
-    flat = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    hashes, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    hashes, seen = np.unique(np.concatenate(rows), return_counts=True)
+    hashes, seen = hashes[seen >= min_texts], seen[seen >= min_texts]
     spread = grades - grades.mean()
-    lean = np.bincount(column, spread[row]) / np.sqrt(np.maximum(seen * (1 - seen / len(rows)), 1e-9) * spread.var())
-    often = (seen >= min_texts) & (np.abs(lean) >= lean_from)
-    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
-    hashes = hashes[often]
+    lean = np.zeros(len(hashes))
+    for found, apart in zip(rows, spread):  # row by row, so that only the hashes themselves are held at once
+        lean[_places(hashes, found)] += apart
+    hashes = hashes[np.abs(lean) >= lean_from * np.sqrt(np.maximum(seen * (1 - seen / len(rows)), 1e-9) * spread.var())]
+    columns = [_places(hashes, found) for found in rows]
+    row, column = np.repeat(np.arange(len(rows)), [len(c) for c in columns]), np.concatenate(columns)
     n, levels = len(rows), np.arange(1, top + 1)
     # thresholds: the first, and the logarithms of the steps between them
     share = np.clip([(grades >= k).mean() for k in levels], 1e-3, 1 - 1e-3)
@@ -152,7 +158,7 @@ def trained(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            found = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), found], names=["doc_id", "grade", "hashes"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +166,10 @@ def trained(
         found.sort(key=lambda x: (x[0], len(x[2]), x[2].tolist()[:8]))
         model = fit([h for _, _, h in found], np.array([g for _, g, _ in found], np.int64))
         kept = np.abs(model.weights) > 1e-3
-        at = np.concatenate([model.hashes[kept], -np.arange(1, len(model.thresholds) + 1)])
+        at = np.concatenate([model.hashes[kept].astype(np.int64), -np.arange(1, len(model.thresholds) + 1)])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([model.weights[kept], model.thresholds]))], names=["hash", "weight"])
 
-    texts = rows.mapInArrow(extract, "doc_id long, grade int, hashes array<long>").repartition(1)
+    texts = rows.mapInArrow(extract, "doc_id long, grade int, hashes array<int>").repartition(1)
     got = texts.mapInArrow(learn, "hash long, weight double").orderBy("hash").toArrow()
     hashes, weights = got.column("hash").to_numpy(), got.column("weight").to_numpy()
     edge = hashes < 0
