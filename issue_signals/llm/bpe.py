@@ -158,6 +158,12 @@ def _learn(groups: Iterable[Iterable[str]], path: str, pattern: str) -> None:
     pieces.update(zip(new, replay([p.encode() for p in new], path)))
 
 
+def forget(path: str, pattern: str) -> None:
+    """Give back what a task has remembered: the next one in this worker starts over."""
+    for known in _known(path, pattern)[1:]:
+        known.clear()
+
+
 def _by_pieces(text: str, path: str, pattern: str) -> bytes:
     """The ids of a text of any form; a very long one is taken part by part."""
     compiled, pieces, *_ = _known(path, pattern)
@@ -233,6 +239,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        forget(path, pattern)
 
     return rows.mapInArrow(encode, "doc_id long, ids array<int>")
 
