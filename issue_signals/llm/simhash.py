@@ -32,8 +32,8 @@ _PART = 1 << 22
 _SPACE = re.compile(rb"[\x09-\x0d\x20]")
 
 
-def _parts(text: bytes) -> Iterator[list[bytes]]:
-    """The lower-case words of the text, some megabytes at a time; parts overlap by SHINGLE - 1 words."""
+def _parts(text: bytes, shingle: int) -> Iterator[list[bytes]]:
+    """The lower-case words of the text, some megabytes at a time; parts overlap by shingle - 1 words."""
     if len(text) <= _PART:
         yield text.lower().split()
         return
@@ -43,32 +43,39 @@ def _parts(text: bytes) -> Iterator[list[bytes]]:
         end = _SPACE.search(text, min(at + _PART, len(text)))
         end = end.start() if end else len(text)
         words = carry + text[at:end].lower().split()
-        if len(words) >= SHINGLE or end == len(text):
+        if len(words) >= shingle or end == len(text):
             yield words
-            carry = words[1 - SHINGLE :]
+            carry = words[1 - shingle :]
         else:
             carry = words
         at = end
 
 
-def fingerprint(text: bytes) -> int:
-    """Bit i is set if it is set in over half of the hashes of the 3-word shingles, repeats included.
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> Iterator[list[int]]:
+    """The hashes of the shingles, part by part; of fewer words the one of all words; of none nothing.
 
     bytes.lower and bytes.split are those of ASCII: A-Z, and white space [\\x20\\x09-\\x0D]."""
-    counts, total = np.zeros(64, np.int64), 0
-    digest = xxhash.xxh64_intdigest
-    for words in _parts(text):
+    digest, any_ = xxhash.xxh64_intdigest, False
+    for words in _parts(text, shingle):
         if not words:
             continue
-        if len(words) < SHINGLE:
-            if total:
+        if len(words) < shingle:
+            if any_:
                 continue
             hashes = [digest(b" ".join(words), SEED)]
         else:
             joined = b" ".join(words)
             starts = np.zeros(len(words) + 1, np.int64)
             np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
-            hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:-SHINGLE].tolist(), (starts[SHINGLE:] - 1).tolist())]
+            hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:-shingle].tolist(), (starts[shingle:] - 1).tolist())]
+        any_ = True
+        yield hashes
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Bit i is set if it is set in over half of the hashes of the shingles, repeats included."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
         total += len(hashes)
         packed = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
         for a in range(0, len(packed), 16_384):
@@ -201,16 +208,20 @@ def close_links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> Da
     return dealt.mapInArrow(verify, "u long, v long")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, bits: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of docs, and the row that stands for each fingerprint's component: simhash, stays
-    (no_id, doc_id, text_hash)."""
-    prints = shared_table(fingerprints(docs, id_col, text_col), "simhash")
-    linked = components(close_links(prints, bits, blocks))
+def standing(prints: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """From prints (doc_id, text_hash, key) and the components (node, component) of the values of key, the row
+    that stands for the component of each value: key, stays (no_id, doc_id, text_hash)."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    least = prints.groupBy("simhash").agg(F.min(row).alias("least"))
-    named = least.join(linked, least["simhash"] == linked["node"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
+    least = prints.groupBy(key).agg(F.min(row).alias("least"))
+    named = least.join(linked, least[key] == linked["node"], "left").select(key, "least", F.coalesce("component", key).alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("stays"))
-    return prints, named.join(smallest, "component").select("simhash", "stays")
+    return named.join(smallest, "component").select(key, "stays")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, bits: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs, and the row that stands for each fingerprint's component."""
+    prints = shared_table(fingerprints(docs, id_col, text_col), "simhash")
+    return prints, standing(prints, components(close_links(prints, bits, blocks)), "simhash")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -228,6 +239,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of docs of each component, with all its columns: the one with the smallest id (a null id
     comes last), and of rows that share it the one with the smallest hash of its text."""
     _, classes = _classes(docs, id_col, text_col, bits, blocks)
+    return only_standing(docs, classes, id_col, text_col)
+
+
+def only_standing(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each different `stays` of classes."""
     on = ["__id", "__no_id", "__text"]
     stays = classes.select("stays").distinct().select(F.coalesce("stays.doc_id", F.lit(0)).alias("__id"), F.col("stays.no_id").alias("__no_id"), F.col("stays.text_hash").alias("__text"))
     key = F.col(f"`{id_col}`").cast("long")
