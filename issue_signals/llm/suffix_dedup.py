@@ -14,6 +14,8 @@ A byte goes if a string of MATCH bytes that covers it also starts anywhere else,
    otherwise compares from there on; known prefixes are never compared again. The lengths come out
    with the sorted suffixes: strings that start l bytes before their anchors are equal if MATCH - l
    bytes agree after it (a run of the sorted order) and l bytes before it.
+   The suffixes of a hash that occurs more than HOT times don't meet in a task: their strings of MATCH
+   bytes are counted by digest, combined before the shuffle.
 4. The covered range of a suffix goes back to all texts that hold it, by a join on its digest.
 """
 
@@ -34,6 +36,8 @@ from issue_signals.llm.common import shared_table, small_batches, text_or_empty
 MATCH, GRAM = 400, 64
 #: Bytes of text hashed together, of suffixes sorted together, and of suffixes merged in one task.
 SEGMENT, RUN_BYTES, TARGET_BYTES = 1 << 20, 24 << 20, 16 << 20
+#: Suffixes of one anchor hash up to which they are merged in one task.
+HOT = TARGET_BYTES // (2 * MATCH - GRAM)
 _SPAN = "array<struct<start:int,stop:int>>"
 
 
@@ -244,8 +248,9 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _runs(rows: DataFrame, targets: int) -> DataFrame:
-    """From rows (sha, text, anchors): sorted front-coded runs (target, run) and the texts that hold each
-    suffix (suffix, sha, first)."""
+    """From rows (sha, text, anchors): sorted front-coded runs (target, run), the suffixes of hot anchors
+    (target -1, run: digest, after, before, smallest l, copies of each) and the texts that hold each suffix
+    (suffix, sha, first)."""
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[bytes, bytes], list] = {}
         size = 0
@@ -253,11 +258,17 @@ def _runs(rows: DataFrame, targets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             dealt: dict[int, list[tuple[bytes, tuple]]] = {}
+            hot: list[tuple[bytes, bytes, bytes, int, int]] = []
             for (after, before), entry in held.items():
+                if entry[5]:
+                    hot.append((entry[4], after, before, entry[1], entry[3]))
+                    continue
                 dealt.setdefault(entry[0] % targets, []).append((after, (before, entry[1], entry[2], entry[3], entry[4])))
             for target, suffixes in dealt.items():
                 suffixes.sort(key=lambda s: s[0])
                 yield _row(target=[target], run=[pickle.dumps(front_coded(suffixes))])
+            for k in range(0, len(hot), 1_000):
+                yield _row(target=[-1], run=[pickle.dumps(hot[k : k + 1_000])])
             held.clear()
             size = 0
 
@@ -271,8 +282,8 @@ def _runs(rows: DataFrame, targets: int) -> DataFrame:
                     if entry is None:
                         digest = blake2b(after, digest_size=16, key=len(before).to_bytes(4, "big"))
                         digest.update(before)
-                        # hash, smallest and largest l, copies, digest
-                        entry = held[after, before] = [mark["hash"], place - last, place - first, 0, digest.digest()]
+                        # hash, smallest and largest l, copies, digest, whether the hash is hot
+                        entry = held[after, before] = [mark["hash"], place - last, place - first, 0, digest.digest(), mark["hot"]]
                         size += len(after) + len(before) + 300
                     entry[3] += 1
                     owners.append((entry[4], sha, first))
@@ -332,22 +343,44 @@ def _repeated(runs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merge, "suffix binary, start int, stop int")
 
 
+def _repeated_by_digest(runs: DataFrame) -> DataFrame:
+    """What _repeated gives, for the suffixes of hot anchors: (run)."""
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("suffix", pa.binary()), ("most", pa.int32()), ("l", pa.int32()), ("string", pa.binary()), ("copies", pa.int64())])
+        for batch in batches:
+            for blob in batch.column("run").to_pylist():
+                suffixes = pickle.loads(blob)
+                for k in range(0, len(suffixes), 50):
+                    rows = []
+                    for suffix, after, before, least, copies in suffixes[k : k + 50]:
+                        whole, most = before + after, len(before)
+                        rows += [(suffix, most, l, blake2b(whole[most - l : most - l + MATCH], digest_size=16).digest(), copies) for l in range(least, most + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    made = runs.mapInArrow(strings, "suffix binary, most int, l int, string binary, copies long")
+    twice = made.groupBy("string").agg(F.sum("copies").alias("n")).filter("n > 1").select("string")
+    hit = made.select("suffix", "most", "l", "string").join(twice, "string").groupBy("suffix").agg(F.first("most").alias("most"), F.min("l").alias("low"), F.max("l").alias("high"))
+    return hit.select("suffix", (F.col("most") - F.col("high")).alias("start"), (F.col("most") - F.col("low") + MATCH).alias("stop"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """sha (of the text's bytes) and spans, the sorted maximal runs of bytes to remove, for every distinct
     text that has any."""
     small_batches(docs.sparkSession)
     known = _anchored(docs, id_col, text_col)
     marks = known.select("sha", "doc_id", F.inline("anchors"))
-    twice = known.select(F.explode("anchors.hash").alias("hash")).groupBy("hash").count().filter("count > 1").select("hash")
+    twice = known.select(F.explode("anchors.hash").alias("hash")).groupBy("hash").count().filter("count > 1").select("hash", (F.col("count") > HOT).alias("hot"))
     twice = shared_table(twice, "suffix-hashes")  # a table, so that both sides of the join are shuffled for it and a hot hash is split
-    kept = marks.join(twice, "hash", "left_semi")
-    per_text = kept.groupBy("sha", "doc_id").agg(F.collect_list(F.struct("hash", "place", "first", "last")).alias("anchors"))  # a text's own
+    kept = marks.join(twice, "hash")
+    per_text = kept.groupBy("sha", "doc_id").agg(F.collect_list(F.struct("hash", "place", "first", "last", "hot")).alias("anchors"))  # a text's own
     per_text = shared_table(per_text, "suffix-candidates")
-    size = per_text.select(F.explode("anchors").alias("a")).agg(F.sum(F.col("a.last") - F.col("a.first") + MATCH)).first()[0] or 0
+    size = per_text.select(F.explode("anchors").alias("a")).filter("not a.hot").agg(F.sum(F.col("a.last") - F.col("a.first") + MATCH)).first()[0] or 0
     texts = _texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     rows = texts.join(per_text, ["sha", "doc_id"]).select("sha", "text", "anchors")
     made = shared_table(_runs(rows, 1 + size // TARGET_BYTES), "suffix-runs")
-    found = _repeated(made.filter("run is not null").select("target", "run"))
+    found = _repeated(made.filter("run is not null and target >= 0").select("target", "run"))
+    if not twice.filter("hot").isEmpty():
+        found = found.unionByName(_repeated_by_digest(made.filter("target = -1").select("run")))
     holders = made.filter("suffix is not null").select("suffix", "sha", "first")
     hit = holders.join(found, "suffix").groupBy("sha").agg(F.collect_list(F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))).alias("spans"))
     copied = known.filter((F.col("copies") > 1) & (F.col("n_bytes") >= MATCH)).select("sha", F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))

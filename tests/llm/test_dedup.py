@@ -1,5 +1,6 @@
 """Exact, near and suffix dedup against plain versions."""
 
+import pickle
 import random
 
 import numpy as np
@@ -165,6 +166,27 @@ def test_removed_bytes_equal_brute_force(spark):
         assert sum(s.stop - s.start for s in got[i].spans) == sum(c)
 
 
+def test_suffixes_of_a_hot_anchor_do_not_meet_in_one_task(spark, monkeypatch):
+    met = []
+
+    def spy(runs, solve=suffix_dedup._repeated):
+        met.extend(len(shared) for r in runs.collect() for shared in [pickle.loads(r.run)[0]])
+        return solve(runs)
+
+    monkeypatch.setattr(suffix_dedup, "_repeated", spy)
+    monkeypatch.setattr(suffix_dedup, "HOT", 10, raising=False)
+    r = random.Random(14)
+    fresh = lambda n: "".join(r.choices("abcdefgh é", k=n))
+    passage = fresh(700)
+    texts = passages() + [fresh(r.randint(200, 400)) + passage[r.randint(0, 9) :] + fresh(r.randint(200, 400)) for _ in range(60)]
+    data, covered = repeats(texts)
+    got = {r.doc_id: r for r in suffix_dedup.without_repeats(frame(spark, list(enumerate(texts)))).collect()}
+    for i, (d, c) in enumerate(zip(data, covered)):
+        assert bytes(got[i].kept) == bytes(b for b, x in zip(d, c) if not x), i
+        assert sum(s.stop - s.start for s in got[i].spans or ()) == sum(c)
+    assert sum(met) < 100  # of some 300 suffixes of the passage alone; those left have at most 10 to a hash
+
+
 def test_repeated_rows_without_ids_go(spark):
     text = "".join(random.Random(8).choices("abcdefgh", k=500))
     rows = [(None, text), (None, text), (3, text + "tail"), (4, None), (4, None)]
