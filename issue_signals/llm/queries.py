@@ -18,6 +18,7 @@ from issue_signals.llm.quality import graded, grades_of
 from issue_signals.llm.quality import trained as trained_classifier
 from issue_signals.llm.sharding import sharded
 from issue_signals.llm.simhash import near_duplicates
+from issue_signals.llm.spelling import spelling_variants
 from issue_signals.llm.suffix_dedup import without_repeats
 from issue_signals.llm.weighted_fingerprints import edited_fingerprints
 
@@ -88,6 +89,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(pages, trained_extractor(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES = {
