@@ -9,7 +9,7 @@ from issue_signals.llm.exact_dedup import without_copies
 from issue_signals.llm.mixing import mixed_documents
 from issue_signals.llm.quality import accepted, grades_of, trained
 from issue_signals.llm.queries import VOCABULARY, token_digests
-from issue_signals.llm.shingle_sets import one_of_similar
+from issue_signals.llm.simhash import BITS, one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles and a similarity of 0.8; op1's three words and three bits are op1's alone."""
-    return one_of_similar(docs)
+    """One document of each group that op1 links: shingles of three words, at most three differing bits."""
+    return one_of_each(docs, bits=BITS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
