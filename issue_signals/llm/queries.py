@@ -13,6 +13,8 @@ from issue_signals.llm.common import table
 from issue_signals.llm.exact_dedup import exact_duplicates
 from issue_signals.llm.html_extract import extracted
 from issue_signals.llm.html_extract import trained as trained_extractor
+from issue_signals.llm.language import held_out, identified
+from issue_signals.llm.language import trained as trained_languages
 from issue_signals.llm.mixing import mixture
 from issue_signals.llm.quality import graded, grades_of
 from issue_signals.llm.quality import trained as trained_classifier
@@ -93,6 +95,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = identified(docs, trained_languages(docs))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("best").alias("lang_pred"), F.round("score", 6).alias("score"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -105,6 +113,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = {
