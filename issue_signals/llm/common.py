@@ -53,5 +53,10 @@ def together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct `row`, beside which an operator's own columns can have any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -17,7 +17,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from issue_signals.llm.common import shared_table, text_or_empty
+from issue_signals.llm.common import shared_table, text_or_empty, whole_row
 
 #: Distinct hashes that one bucket holds before it splits, and the bits at which splitting ends.
 BUCKET_ROWS = 250_000
@@ -113,12 +113,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text one stays."""
+    """The rows of docs that stay, with all their columns, whatever their names. Of rows that repeat both id and text
+    one stays. Null, empty and long texts, null ids and an empty table are met as in `exact_duplicates`."""
     key = F.col(f"`{id_col}`").cast("long")
-    on = ["__id", "__no_id", "__sha"]
+    on = ["id", "no_id", "sha"]
     keep = exact_duplicates(docs, id_col, text_col).filter("kept")
-    keep = keep.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumns({"__id": F.coalesce(key, F.lit(0)), "__no_id": key.isNull(), "__sha": F.sha2(normalised(text_or_empty(text_col)), 256)})
-    first = Window.partitionBy(*on).orderBy(F.length(text_or_empty(text_col)).desc())
-    rows = rows.join(keep, on, "left_semi").withColumn("__place", F.row_number().over(first))
-    return rows.filter("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = keep.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_sha256").alias("sha"))
+    sha, size = F.sha2(normalised(text_or_empty(text_col)), 256), F.length(text_or_empty(text_col))
+    rows = docs.select(whole_row(docs), F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("no_id"), sha.alias("sha"), size.alias("size"))
+    first = Window.partitionBy(*on).orderBy(F.desc("size"))
+    rows = rows.join(keep, on, "left_semi").withColumn("place", F.row_number().over(first))
+    return rows.filter("place = 1").select("row.*")

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from issue_signals.llm.common import WORD, shared_table
+from issue_signals.llm.common import WORD, shared_table, whole_row
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -132,12 +132,12 @@ def mixture(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it, with all its columns.
+    """The mix itself: each row of docs as often as the mix takes it, with all its columns, whatever their names.
 
-    The texts meet the plan, one row per source, and are not shuffled."""
+    The texts meet the plan, one row per source, and are not shuffled. Nulls, empty and long texts, repeated rows and an
+    empty table are met as in `mixture`: a source without words has no place in the mix."""
     _, plan = mix_plan(docs, id_col, text_col, source_col)
-    plan = plan.select(F.struct("source", "whole", "threshold").alias("__plan"))
-    joined = docs.join(plan, docs[source_col].cast("string").eqNullSafe(plan["__plan.source"]))
-    again = F.when(place(docs[id_col]) < F.col("__plan.threshold"), 1).otherwise(0)
-    copies = F.filter(F.sequence(F.lit(0).cast("long"), F.col("__plan.whole") + again), lambda k: k > 0)
-    return joined.withColumn("__copy", F.explode(copies)).select(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(whole_row(docs), F.col(f"`{source_col}`").cast("string").alias("of"), place(F.col(f"`{id_col}`")).alias("place"))
+    joined = rows.join(plan, F.col("of").eqNullSafe(F.col("source")))
+    copies = F.filter(F.sequence(F.lit(0).cast("long"), _repeats()), lambda k: k > 0)
+    return joined.withColumn("copy", F.explode(copies)).select("row.*")

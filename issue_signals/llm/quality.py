@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from issue_signals.llm.common import small_batches
+from issue_signals.llm.common import small_batches, whole_row
 
 #: Labelled rows that the fit uses at most, texts a feature must occur in, and steps of the fit.
 SAMPLE, MIN_TEXTS, STEPS = 20_000, 5, 300
@@ -202,11 +202,11 @@ def _outcome(score: Column, model: OrdinalModel, keep_from: float) -> list[Colum
 
 
 def accepted(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of docs that the model keeps, with all their columns."""
+    """The rows of docs that the model keeps, with all their columns, whatever their names. Null, empty and long texts are
+    graded as in `graded`; repeated rows go or stay alike, and an empty table gives no rows."""
     small_batches(docs.sparkSession)
-    scored = docs.withColumn("__score", text_score(F.col(f"`{text_col}`").cast("string"), model))
-    kept = scored.withColumn("__kept", _outcome(F.col("__score"), model, keep_from)[2]).filter("__kept")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = docs.select(whole_row(docs), text_score(F.col(f"`{text_col}`").cast("string"), model).alias("score"))
+    return scored.filter(_outcome(F.col("score"), model, keep_from)[2]).select("row.*")
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issue_signals.llm.common import shared_table, small_batches, text_or_empty
+from issue_signals.llm.common import shared_table, small_batches, text_or_empty, whole_row
 from issue_signals.llm.components import components
 
 SHINGLE, SEED = 3, 42
@@ -236,18 +236,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
-    """One row of docs of each component, with all its columns: the one with the smallest id (a null id
-    comes last), and of rows that share it the one with the smallest hash of its text."""
+    """One row of docs of each component, with all its columns, whatever their names: the one with the smallest id (a
+    null id comes last), and of rows that share it the one with the smallest hash of its text; of rows that are alike in
+    both one. Null, empty and very long texts and an empty table are met as in `near_duplicates`."""
     _, classes = _classes(docs, id_col, text_col, bits, blocks)
     return only_standing(docs, classes, id_col, text_col)
 
 
 def only_standing(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of docs for each different `stays` of classes."""
-    on = ["__id", "__no_id", "__text"]
-    stays = classes.select("stays").distinct().select(F.coalesce("stays.doc_id", F.lit(0)).alias("__id"), F.col("stays.no_id").alias("__no_id"), F.col("stays.text_hash").alias("__text"))
+    on = ["id", "no_id", "hash"]
+    stays = classes.select("stays").distinct().select(F.coalesce("stays.doc_id", F.lit(0)).alias("id"), F.col("stays.no_id").alias("no_id"), F.col("stays.text_hash").alias("hash"))
     key = F.col(f"`{id_col}`").cast("long")
-    rows = docs.withColumns({"__id": F.coalesce(key, F.lit(0)), "__no_id": key.isNull(), "__text": F.xxhash64(F.encode(text_or_empty(text_col), "UTF-8"))})
+    text_hash = F.xxhash64(F.encode(text_or_empty(text_col), "UTF-8"))
+    rows = docs.select(whole_row(docs), F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("no_id"), text_hash.alias("hash"))
     first = Window.partitionBy(*on).orderBy(F.lit(0))
-    rows = rows.join(stays, on, "left_semi").withColumn("__place", F.row_number().over(first)).filter("__place = 1")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(stays, on, "left_semi").withColumn("place", F.row_number().over(first)).filter("place = 1").select("row.*")

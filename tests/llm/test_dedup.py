@@ -13,7 +13,7 @@ from issue_signals.llm.components import components
 
 DOCS = "doc_id long, text string"
 #: Columns that a table may have beside ours, with the names that the operators use inside.
-EXTRA = ("hash", "norm", "size", "bucket", "slot", "simhash", "sha", "spans", "place", "source_size", "key", "count")
+EXTRA = ("hash", "norm", "size", "bucket", "slot", "simhash", "sha", "spans", "place", "source_size", "key", "count", "row", "id", "no_id", "__id", "__text", "__copy")
 
 
 def with_extra(df):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from issue_signals.llm import mixing, sharding
 
 DOCS = "doc_id long, source string, text string"
-EXTRA = ("size", "place", "whole", "threshold", "weight", "cell", "at", "slot", "shard", "rank", "pieces", "taken", "target")
+EXTRA = ("size", "place", "whole", "threshold", "weight", "cell", "at", "slot", "shard", "rank", "pieces", "taken", "target", "row", "of", "copy", "__copy", "__plan")
 
 
 def with_extra(df):

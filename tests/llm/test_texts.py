@@ -19,7 +19,7 @@ from issue_signals.llm import weighted_fingerprints as cws
 from issue_signals.llm.html_pages import Maker
 from issue_signals.llm.queries import VOCABULARY, ids_digest, op7_chat_formatting, token_digests
 
-EXTRA = ("ids", "term", "weight", "range", "role2", "words", "score", "version", "kept", "model", "at")
+EXTRA = ("ids", "term", "weight", "range", "role2", "words", "score", "version", "kept", "model", "at", "row", "__score", "__kept")
 
 
 def with_extra(df):
