@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters over whole tables, and the
+"""The registered queries of the operators, with production parameters over whole tables, and the
 SQL of those that SQL can express."""
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from issue_signals.llm.bpe import decoded, encoded
 from issue_signals.llm.chat import conversation_digests, formatted
 from issue_signals.llm.common import table
+from issue_signals.llm.conversation_repair import repaired_conversations
 from issue_signals.llm.exact_dedup import exact_duplicates
 from issue_signals.llm.html_extract import extracted
 from issue_signals.llm.html_extract import trained as trained_extractor
@@ -91,6 +92,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(pages, trained_extractor(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_language_id": op13_language_id,
 }
