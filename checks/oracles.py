@@ -423,6 +423,11 @@ ORACLES: dict[str, str] = {
           {compound(f"lower(CASE WHEN {valid('text')} THEN text ELSE 'Invalid content' END)")} AS c FROM documents)
         SELECT issue_id, word AS attribute, round(sim, 4) AS similarity_score,
           CASE WHEN c > 0 THEN '+' WHEN c < 0 THEN '-' ELSE '0' END AS sentiment FROM text_pairs JOIN tones USING (issue_id) WHERE sim >= 0.1""",
+    "q_large_catalogue": f"""WITH cat AS (SELECT DISTINCT lang || ' ' || w AS text FROM (SELECT lang, unnest({words_of("text")}) AS w FROM documents) WHERE w <> ''),
+        numbered AS (SELECT row_number() OVER (ORDER BY text) AS id, text FROM cat),
+        {bucket_vectors("cv", "SELECT id, text FROM numbered", 64)}, {bucket_vectors("tv", "SELECT doc_id AS id, text FROM documents", 64)},
+        sims AS (SELECT tv.id AS doc_id, cv.id AS word_no, sum(tv.v * cv.v) AS sim FROM tv JOIN cv USING (b) GROUP BY ALL)
+        SELECT doc_id, count(*) AS words, round(max(sim), 6) AS best, round(sum(sim), 4) AS total FROM sims WHERE sim > 0.507 GROUP BY doc_id""",
     "q_word_lookup": f"""WITH counted AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest({words_of("text")}) AS w FROM documents) GROUP BY ALL),
         last AS (SELECT w, max(lang) AS criteria, arg_max(n, lang) AS n FROM counted GROUP BY w)
         SELECT c.lang || ' ' || w AS word_no, l.criteria, w AS word, round(1.0 / (l.n + 1), 6)::DOUBLE AS weight FROM counted c JOIN last l USING (w)""",

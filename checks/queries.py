@@ -449,6 +449,16 @@ def q_sim_join_v2(spark, sf):
     return similarity.attribute_matches(embed(rows, "text"), words, 0.1, keep=("issue_id", "sentiment"))
 
 
+@query
+def q_large_catalogue(spark, sf):
+    """Every word of every language is a catalogue word: far more than a task holds. Texts with the words most like them."""
+    words = docs(spark, sf).select("lang", F.explode(F.split(X.clean_issue_text("text"), " ")).alias("word")).filter("word <> ''")
+    catalogue = embed(words.distinct().select(F.concat_ws(" ", "lang", "word").alias("word_no")), "word_no")
+    texts = embed(docs(spark, sf).select("doc_id", "text"), "text")
+    hits = similarity.similar_words(texts, catalogue, 0.507, keep=("doc_id",), max_words=10_000)
+    return hits.groupBy("doc_id").agg(F.count("*").alias("words"), F.round(F.max("similarity"), 6).alias("best"), F.round(F.sum("similarity"), 4).alias("total"))
+
+
 @query
 def q_word_lookup(spark, sf):
     words = docs(spark, sf).select("lang", F.explode(F.split(X.clean_issue_text("text"), " ")).alias("word"))

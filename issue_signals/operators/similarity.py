@@ -2,14 +2,13 @@
 
 The word side is a catalogue. While it is within the bound it becomes one numpy matrix that every
 task holds, and a batch of texts is compared with all words in one product: no shuffle, and only
-the hits (or their totals) leave the task. Above the bound the words are dealt to several matrices,
-those of a criteria to one, and the texts are read once for each; they are never shuffled.
+the hits (or their totals) leave the task. Beyond the bounds in words and bytes `large_catalogue` takes over, where neither
+the driver nor a task holds the words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import MATCH_THRESHOLD, MENTION_THRESHOLD
+from .large_catalogue import PRODUCT, large_mention_scores, large_similar_words, over, unit_rows, vector_matrix
 from .skew import bounded_rows, lookup_join
 
-MAX_WORDS = 50_000
+#: Words, and bytes of their vectors, up to which every task holds the catalogue.
+MAX_WORDS, MAX_BYTES = 50_000, 64 << 20
 WORD_FIELDS = "word_no long, criteria string, word string, weight double, vector array<double>"
 
 
@@ -44,30 +45,16 @@ def score_column(df: DataFrame) -> str | None:
     return next((c for c in df.columns if "w2v" in c.lower() and "score" in c.lower()), None)
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-
-
-def _over(sims: np.ndarray, threshold: float, inclusive: bool) -> np.ndarray:
-    return sims >= threshold if inclusive else sims > threshold
-
-
-def _batch_matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return _unit_rows(flat.reshape(len(column), dim))
-
-
 def _hits(texts: DataFrame, vector: str, keep: list[str], words: pd.DataFrame, threshold: float, inclusive: bool) -> DataFrame:
-    matrix = _unit_rows(np.stack(words["vector"].to_list()).astype(np.float64))
+    matrix = unit_rows(np.stack(words["vector"].to_list()).astype(np.float64))
     numbers = words["word_no"].to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast((matrix, numbers))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit_words, word_no = shared.value
-        for batch in batches:
-            sims = _batch_matrix(batch.column(vector), unit_words.shape[1]) @ unit_words.T
-            text_at, word_at = np.nonzero(_over(sims, threshold, inclusive))
+        for batch in _slices(batches, len(unit_words)):
+            sims = vector_matrix(batch.column(vector)) @ unit_words.T
+            text_at, word_at = np.nonzero(over(sims, threshold, inclusive))
             kept = [batch.column(c).take(pa.array(text_at)) for c in keep]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(word_no[word_at]), pa.array(sims[text_at, word_at])], [*keep, "word_no", "similarity"]
@@ -78,18 +65,18 @@ def _hits(texts: DataFrame, vector: str, keep: list[str], words: pd.DataFrame, t
 
 
 def _totals(texts: DataFrame, vector: str, keep: list[str], words: pd.DataFrame, threshold: float) -> DataFrame:
-    matrix = _unit_rows(np.stack(words["vector"].to_list()).astype(np.float64))
+    matrix = unit_rows(np.stack(words["vector"].to_list()).astype(np.float64))
     groups, group_of = np.unique(words["criteria"].to_numpy(dtype=str), return_inverse=True)
     member = (group_of[:, None] == np.arange(len(groups))[None, :]).astype(np.float64)
     shared = texts.sparkSession.sparkContext.broadcast((matrix, member, words["weight"].to_numpy(), groups))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit_words, of_group, weight, names = shared.value
-        for batch in batches:
-            sims = _batch_matrix(batch.column(vector), unit_words.shape[1]) @ unit_words.T
-            over = _over(sims, threshold, False)
-            counts = over.astype(np.float64) @ of_group
-            sums = np.where(over, sims * weight, 0.0) @ of_group
+        for batch in _slices(batches, len(unit_words)):
+            sims = vector_matrix(batch.column(vector)) @ unit_words.T
+            hit = over(sims, threshold, False)
+            counts = hit.astype(np.float64) @ of_group
+            sums = np.where(hit, sims * weight, 0.0) @ of_group
             text_at, group_at = np.nonzero(counts)
             kept = [batch.column(c).take(pa.array(text_at)) for c in keep]
             yield pa.RecordBatch.from_arrays(
@@ -106,15 +93,22 @@ def _totals(texts: DataFrame, vector: str, keep: list[str], words: pd.DataFrame,
     return texts.select(*keep, vector).filter(F.col(vector).isNotNull()).mapInArrow(score, schema)
 
 
-def _dealt(catalogue: DataFrame, by: str, max_words: int) -> list[pd.DataFrame]:
-    """The words as one table, or dealt by the hash of a column to tables of about max_words words."""
-    rows = bounded_rows(catalogue, max_words)
-    if rows is None:
-        shards = -(-catalogue.count() // max_words)
-        parts = [catalogue.filter(F.pmod(F.xxhash64(by), F.lit(shards)) == k).collect() for k in range(shards)]
-    else:
-        parts = [rows]
-    return [pd.DataFrame(part, columns=catalogue.columns) for part in parts if part]
+def _slices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a product has PRODUCT numbers at most."""
+    step = max(1, PRODUCT // max(1, words))
+    for batch in batches:
+        for low in range(0, len(batch), step):
+            yield batch.slice(low, step)
+
+
+def _held(catalogue: DataFrame, max_words: int, max_bytes: int) -> pd.DataFrame | None:
+    """The words as one table, or None beyond a bound. A vector's length is that of the first one; one read tells both."""
+    size = F.size("vector").cast("long")
+    within = catalogue.filter("vector IS NOT NULL").limit(max_words + 1).withColumn("bytes", F.sum(8 * size).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = bounded_rows(within.filter(F.col("bytes") <= max_bytes + 8 * size), max_words)
+    if rows is None or sum(8 * len(r["vector"]) for r in rows) > max_bytes:
+        return None
+    return pd.DataFrame(rows, columns=[*catalogue.columns, "bytes"])
 
 
 def similar_words(
@@ -125,13 +119,17 @@ def similar_words(
     vector: str = "vector",
     keep: tuple[str, ...] = ("issue_id",),
     max_words: int = MAX_WORDS,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """keep..., word_no, similarity: the pairs above the threshold. words has word_no and vector."""
     keep = list(keep)
     catalogue = words.select("word_no", F.col("vector").cast("array<double>").alias("vector"))
-    parts = [_hits(texts, vector, keep, words, threshold, inclusive) for words in _dealt(catalogue, "word_no", max_words)]
-    none = texts.select(*keep, F.lit(0).cast("long").alias("word_no"), F.lit(0.0).alias("similarity")).limit(0)
-    return reduce(DataFrame.unionByName, parts) if parts else none
+    held = _held(catalogue, max_words, max_bytes)
+    if held is None:
+        return large_similar_words(texts, catalogue, threshold, inclusive, vector, tuple(keep))
+    if held.empty:
+        return texts.select(*keep, F.lit(0).cast("long").alias("word_no"), F.lit(0.0).alias("similarity")).limit(0)
+    return _hits(texts, vector, keep, held, threshold, inclusive)
 
 
 def mention_scores(
@@ -141,6 +139,7 @@ def mention_scores(
     vector: str = "vector",
     keep: tuple[str, ...] = ("issue_id",),
     max_words: int = MAX_WORDS,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """keep..., criteria, words, score: per text and criteria the number of similar words and the sum
     of similarity times weight. words has word_no, criteria, weight and vector.
@@ -150,9 +149,12 @@ def mention_scores(
     """
     keep = list(keep)
     catalogue = words.select("word_no", "criteria", "weight", F.col("vector").cast("array<double>").alias("vector"))
-    parts = [_totals(texts, vector, keep, words, threshold) for words in _dealt(catalogue, "criteria", max_words)]
-    none = texts.select(*keep, F.lit("").alias("criteria"), F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("score")).limit(0)
-    return reduce(DataFrame.unionByName, parts) if parts else none
+    held = _held(catalogue, max_words, max_bytes)
+    if held is None:
+        return large_mention_scores(texts, catalogue, threshold, vector, tuple(keep))
+    if held.empty:
+        return texts.select(*keep, F.lit("").alias("criteria"), F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("score")).limit(0)
+    return _totals(texts, vector, keep, held, threshold)
 
 
 def matched_words(hits: DataFrame, words: DataFrame, keep: tuple[str, ...] = ("issue_id",)) -> DataFrame:
