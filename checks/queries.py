@@ -13,7 +13,7 @@ from issue_signals.functions import chunks as C
 from issue_signals.functions import scores as S
 from issue_signals.functions import text as X
 from issue_signals.functions.hypotheses import hypotheses, labelling_hypotheses, vote_prompt
-from issue_signals.operators import combine, evaluate, keys, keywords, progress, similarity, summaries
+from issue_signals.operators import combine, evaluate, keys, keywords, progress, similarity, summaries, word_vectors
 from issue_signals.operators.scoring import embed, entailment_scores, sentiment, weighted_compound
 from issue_signals.operators.skew import lookup_join
 from issue_signals.plans import entailment, matches, reports, runs, voting
@@ -743,6 +743,14 @@ def q_synonyms(spark, sf):
     return reports.synonyms(_neighbours(spark, sf), criteria, 10)
 
 
+@query
+def q_trained_synonyms(spark, sf):
+    """Synonyms by vectors that are trained on the whole corpus."""
+    criteria = T.inline_table(spark, [(w,) for w in ("license", "test", "that", "with", "on")], "criteria string")
+    rows = word_vectors.trained_synonyms(word_vectors.word_vectors(_neighbours(spark, sf)), criteria, 10)
+    return rows.withColumn("max_w2v_score", F.round("max_w2v_score", 4))
+
+
 @query
 def q_criteria_daily(spark, sf):
     events = T.table(spark, sf, "events").select(F.col("event_type").alias("criteria"), F.col("ts").alias("created_at"))

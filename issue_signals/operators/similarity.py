@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..fixed_values import MATCH_THRESHOLD, MENTION_THRESHOLD
 from .large_catalogue import PRODUCT, large_mention_scores, large_similar_words, over, unit_rows, vector_matrix
@@ -45,11 +47,13 @@ def score_column(df: DataFrame) -> str | None:
     return next((c for c in df.columns if "w2v" in c.lower() and "score" in c.lower()), None)
 
 
-def _hits(texts: DataFrame, vector: str, keep: list[str], words: pd.DataFrame, threshold: float, inclusive: bool) -> DataFrame:
+def _hits(texts: DataFrame, vector: str, keep: list[str], words: pd.DataFrame, number: DataType, threshold: float, inclusive: bool) -> DataFrame:
     matrix = unit_rows(np.stack(words["vector"].to_list()).astype(np.float64))
     numbers = words["word_no"].to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast((matrix, numbers))
 
+    kind = to_arrow_type(number)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit_words, word_no = shared.value
         for batch in _slices(batches, len(unit_words)):
@@ -57,10 +61,10 @@ def _hits(texts: DataFrame, vector: str, keep: list[str], words: pd.DataFrame, t
             text_at, word_at = np.nonzero(over(sims, threshold, inclusive))
             kept = [batch.column(c).take(pa.array(text_at)) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(word_no[word_at]), pa.array(sims[text_at, word_at])], [*keep, "word_no", "similarity"]
+                [*kept, pa.array(word_no[word_at], kind), pa.array(sims[text_at, word_at])], [*keep, "word_no", "similarity"]
             )
 
-    schema = texts.select(*keep).schema.add("word_no", "long").add("similarity", "double")
+    schema = texts.select(*keep).schema.add("word_no", number).add("similarity", "double")
     return texts.select(*keep, vector).filter(F.col(vector).isNotNull()).mapInArrow(score, schema)
 
 
@@ -127,9 +131,10 @@ def similar_words(
     held = _held(catalogue, max_words, max_bytes)
     if held is None:
         return large_similar_words(texts, catalogue, threshold, inclusive, vector, tuple(keep))
+    number = catalogue.schema["word_no"].dataType
     if held.empty:
-        return texts.select(*keep, F.lit(0).cast("long").alias("word_no"), F.lit(0.0).alias("similarity")).limit(0)
-    return _hits(texts, vector, keep, held, threshold, inclusive)
+        return texts.select(*keep, F.lit(None).cast(number).alias("word_no"), F.lit(0.0).alias("similarity")).limit(0)
+    return _hits(texts, vector, keep, held, number, threshold, inclusive)
 
 
 def mention_scores(
