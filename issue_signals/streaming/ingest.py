@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.keys import first_by_key
 from ..operators.progress import above_tracker, tracker_after
 from ..plans.reports import alerts, daily_mentions
 from ..session import materialize
@@ -17,6 +18,10 @@ from ..sources.landing import read_table
 from ..sources.schemas import TRACKER
 from ..sources.sinks import append_run, replace_table
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_MICROS, _MICROS_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def raw_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
     """Newly landed JSON files, each row with the time its file landed."""
@@ -34,19 +39,69 @@ def land_stream(
 ) -> StreamingQuery:
     """Append landed rows to a table, each key once however often and in however many batches it lands.
 
-    raw has id and landed_at; the first arrival of an id wins. key is its name in the table. A batch is written under its own number: a
-    batch that is run again after a failure replaces its own rows and does not see them as present.
+    raw has id and landed_at; the first arrival of an id wins. key is its name in the table. Which ids have landed is
+    kept in the stream's checkpoint, so the stored table is never read. A batch is written under its own number: one that is run again
+    after a failure starts from the ids before it and replaces its own rows. Ids of a table that was not written by this
+    checkpoint are taken from it when the stream starts for the first time.
     """
+    spark = raw.sparkSession
+    spark.conf.set(_STATE_STORE, spark.conf.get(_STATE_STORE, None) or _ROCKS)
+    stored = T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        arrival = [F.col("landed_at"), F.xxhash64(*[c for c in batch.columns if c != "landed_at"])]
-        rows = to_rows(first_by_key(batch, ["id"], arrival))
-        stored = read_table(batch.sparkSession, table, T.StructType([*schema.fields, T.StructField("run_id", T.StringType())]))
-        before = stored.filter(F.col("run_id") != _run(batch_id)).select(key)
-        present = before.join(rows.select(key), key, "left_semi")  # the stored table meets the few new keys
-        append_run(rows.join(present, key, "left_anti"), table, schema, _run(batch_id))
-
-    return _once(raw, write, checkpoint)
+        rows = to_rows(batch)
+        old = read_table(batch.sparkSession, adopted, T.StructType([T.StructField(key, schema[key].dataType)])) if adopts else None
+        append_run(rows if old is None else rows.join(old, key, "left_anti"), table, schema, _run(batch_id))
+
+    adopted = f"{checkpoint}-adopted"
+    adopts = _adopt(spark, table, stored, key, checkpoint, adopted)
+    return _once(first_arrivals(raw), write, checkpoint)
+
+
+def first_arrivals(raw: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of a stream whose key has not been met before, the first arrival of each, with landed_at.
+
+    The state is one mark per key; a batch touches the marks of its own keys and no others. Of rows that landed at one
+    time the one with the smallest hash is first. NULL is a key. A key that many rows share is brought down to one row per
+    Arrow batch before the shuffle."""
+    fields = T.StructType([f for f in raw.schema.fields if f.name != "landed_at"])
+    kind = raw.schema[key].dataType
+    payload = F.to_json(F.struct(*fields.names), {"ignoreNullFields": "false", "timestampFormat": _MICROS, "timestampNTZFormat": _MICROS_NTZ})
+    narrow = raw.select(F.col(key).alias("key"), "landed_at", F.xxhash64(*fields.names).alias("arrival"), payload.alias("payload"))
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.sort_values(["landed_at", "arrival"]).drop_duplicates("key")
+
+    def pick(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in parts:
+            if len(part) and not state.exists:
+                own = part.sort_values(["landed_at", "arrival"]).iloc[:1]
+                if first is None or tuple(own[["landed_at", "arrival"]].iloc[0]) < tuple(first[["landed_at", "arrival"]].iloc[0]):
+                    first = own
+        if first is not None:
+            state.update((True,))
+            yield first[["landed_at", "payload"]]
+
+    thinned = narrow.mapInPandas(thin, T.StructType([T.StructField("key", kind), *narrow.schema.fields[1:]]))
+    new = thinned.groupBy("key").applyInPandasWithState(pick, "landed_at timestamp, payload string", "met boolean", "append", GroupStateTimeout.NoTimeout)
+    row = F.from_json("payload", fields, {"timestampFormat": _MICROS, "timestampNTZFormat": _MICROS_NTZ})
+    return new.select(row.alias("row"), "landed_at").select("row.*", "landed_at")
+
+
+def _adopt(spark: SparkSession, table: str, stored: T.StructType, key: str, checkpoint: str, adopted: str) -> bool:
+    """Whether the table has keys from before this checkpoint; at the stream's first start they are written beside it."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    started = system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets"))
+    if not started:
+        before = read_table(spark, table, stored).select(key).distinct()
+        if before.isEmpty():
+            return False
+        before.write.mode("overwrite").parquet(adopted)
+        return True
+    return system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(adopted))
 
 
 def analyse_stream(
