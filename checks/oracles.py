@@ -308,6 +308,11 @@ ORACLES: dict[str, str] = {
     "q_insert_if_absent": """SELECT doc_id, source, text_key FROM (
         SELECT doc_id, source, md5(text) AS text_key, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents)
         WHERE k = 1 AND text_key NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))""",
+    "q_bucketed_merge": """WITH steps AS (
+          SELECT c_custkey AS key, c_acctbal AS value, -1 AS arrival, 0 AS step FROM customer
+          UNION ALL SELECT o_custkey, o_totalprice, o_orderkey, o_orderkey % 4 + 1 FROM orders)
+        SELECT key, value::DOUBLE AS value, arrival::BIGINT AS arrival FROM steps
+        QUALIFY row_number() OVER (PARTITION BY key ORDER BY step DESC, arrival DESC) = 1""",
     "q_keyed_merge": """WITH latest AS (SELECT o_custkey AS key, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1)
         SELECT coalesce(l.key, c.c_custkey) AS key, CASE WHEN l.key IS NOT NULL THEN l.value ELSE c.c_acctbal END AS value
         FROM customer c FULL JOIN latest l ON l.key = c.c_custkey""",

@@ -20,7 +20,7 @@ from issue_signals.plans import entailment, matches, reports, runs, voting
 from issue_signals.plans.corpus import new_corpus_rows
 from issue_signals.plans.mentions import criteria_mentions
 from issue_signals.session import shared_dir
-from issue_signals.sources import landing, schemas, sinks
+from issue_signals.sources import buckets, landing, schemas, sinks
 from issue_signals.streaming import ingest
 
 from . import standins as T
@@ -99,6 +99,19 @@ def q_keyed_merge(spark, sf):
     return keys.keyed_merge(old, new, ["key"], [F.desc("arrival")])
 
 
+@query
+def q_bucketed_merge(spark, sf):
+    """Orders merged into bucketed customers by quarter, then the first quarter again, which changes nothing that came later."""
+    at, schema = f"{_fresh_dir(spark)}/balances", T.struct("key long, value double, arrival long")
+    old = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"), F.lit(-1).alias("arrival"))
+    buckets.insert_into(old, at, 0, ["key"], [F.col("value")], schema)
+    new = T.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("arrival"))
+    for run in range(1, 5):
+        buckets.merge_into(new.filter(F.col("arrival") % 4 == run - 1), at, run, ["key"], [F.desc("arrival")], schema)
+    buckets.insert_into(new, at, 5, ["key"], [F.desc("arrival")], schema)
+    return buckets.read_buckets(spark, at, 6, schema)
+
+
 @query
 def q_orphans(spark, sf):
     return keys.orphans(T.table(spark, sf, "labels"), T.table(spark, sf, "embeddings"), "doc_id", "vec_id")
@@ -177,7 +190,7 @@ def q_run_labels(spark, sf):
     at = _fresh_dir(spark)
     for run in range(2):
         runs.run_labels(T.corpus(spark, sf), T.attributes(spark), at, run)
-    return landing.read_table(spark, f"{at}/labels/2", schemas.LABELLED).select("issue_id", "project_id", "attribute_id", "nli_label")
+    return buckets.read_buckets(spark, f"{at}/labels", 2, schemas.LABELLED).select("issue_id", "project_id", "attribute_id", "nli_label")
 
 
 @query
@@ -186,7 +199,7 @@ def q_run_votes(spark, sf):
     at = _fresh_dir(spark)
     for run in range(2):
         runs.run_votes(T.clean_texts(spark, sf), T.truth(spark, sf), T.attributes(spark), at, run, seconds=1.5, model_limit=256)
-    return _rounded_measures(landing.read_table(spark, f"{at}/metrics/2", schemas.METRICS))
+    return _rounded_measures(buckets.read_buckets(spark, f"{at}/metrics", 2, schemas.METRICS))
 
 
 @query
@@ -198,7 +211,7 @@ def q_run_grid(spark, sf):
     texts = docs(spark, sf).select(F.col("doc_id").alias("issue_id"), "text")
     for run, some in enumerate((wanted.filter("chunking_strategy <> 'newline'"), wanted)):
         runs.run_grid(texts, T.truth(spark, sf), T.attributes(spark), some, at, run, "text", seconds=2.5)
-    return _rounded_measures(landing.read_table(spark, f"{at}/metrics/2", schemas.METRICS))
+    return _rounded_measures(buckets.read_buckets(spark, f"{at}/metrics", 2, schemas.METRICS))
 
 
 @query

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from issue_signals.functions.text import clean_issue_text
 from issue_signals.operators.combine import combined_issues
@@ -162,5 +163,9 @@ def mentions(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     return found.select(*columns, *(["text"] if text else []))
 
 
+def struct(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

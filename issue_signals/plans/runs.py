@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import MIN_PROJECT_ISSUES, VOTE_AGGREGATIONS
 from ..operators.evaluate import todo, vote_todo
-from ..operators.keys import keyed_merge
 from ..operators.progress import above_tracker, of_projects, tracker_after, unprocessed_projects
 from ..operators.scoring import Factory
 from ..session import materialize
+from ..sources.buckets import merge_into, read_buckets
 from ..sources.landing import read_table
 from ..sources.schemas import LABELLED, MATCHES, MENTIONS, METRICS, SCORE_METRICS_KEY, TRACKER, VOTE_METRICS_KEY
-from ..sources.sinks import append_run, conform, replace_table
+from ..sources.sinks import append_run, replace_table
 from .entailment import SETTING, evaluate_grid, label_corpus, score_grid
 from .entailment import DEFAULT_MODEL as SCORE_MODEL
 from .matches import matched_attributes
@@ -54,15 +54,15 @@ def run_matches(
 
 
 def run_labels(corpus: DataFrame, attributes: DataFrame, at: str, run: int, factory: Factory | None = None, **options) -> None:
-    """Labels of the corpus merged into at/labels by issue and attribute; the new label wins."""
-    stored = read_table(corpus.sparkSession, f"{at}/labels/{run}", LABELLED)
-    found = conform(label_corpus(corpus, attributes, factory, **options), LABELLED)
-    replace_table(keyed_merge(stored, found, ["issue_id", "attribute_id"], [F.col("nli_json")]), f"{at}/labels/{run + 1}", LABELLED)
+    """Labels of the corpus merged into at/labels by issue and attribute; the new label wins. The buckets
+    of issues whose labels are as before are not written."""
+    found = label_corpus(corpus, attributes, factory, **options)
+    merge_into(found, f"{at}/labels", run, ["issue_id", "attribute_id"], [F.col("nli_json")], LABELLED, ["issue_id"])
 
 
-def _merged_metrics(measured: DataFrame, stored: DataFrame, key: Sequence[str], seconds: float | None, path: str) -> None:
-    rows = conform(measured.withColumn("duration_seconds", F.lit(seconds).cast("double")), METRICS)
-    replace_table(keyed_merge(stored, rows, key, [F.col("f1_score")]), path, METRICS)
+def _merged_metrics(measured: DataFrame, key: Sequence[str], seconds: float | None, at: str, run: int) -> None:
+    rows = measured.withColumn("duration_seconds", F.lit(seconds).cast("double"))
+    merge_into(rows, f"{at}/metrics", run, key, [F.col("f1_score")], METRICS, ["attribute_id"])
 
 
 def run_grid(
@@ -71,7 +71,7 @@ def run_grid(
 ) -> None:
     """Measures of the wanted settings that at/metrics lacks. Attributes, chunkings and limits without a
     missing setting are not scored. seconds is the caller's time of the job, kept with the rows."""
-    stored = read_table(texts.sparkSession, f"{at}/metrics/{run}", METRICS)
+    stored = read_buckets(texts.sparkSession, f"{at}/metrics", run, METRICS)
     missing = materialize(todo(wanted, stored, SCORE_METRICS_KEY))
     open_attributes = attributes.join(missing.select("attribute_id").distinct(), "attribute_id", "left_semi")
     sides = missing.agg(F.collect_set("chunking_strategy"), F.collect_set("max_tokens")).first()  # a few names and numbers
@@ -79,7 +79,7 @@ def run_grid(
     if sides[0]:
         scores = score_grid(texts, truth, open_attributes, text, factory, sorted(sides[0]), sorted(sides[1]))
         rows = evaluate_grid(scores, model).join(missing.select("attribute_id", *SETTING), ["attribute_id", *SETTING], "left_semi")
-    _merged_metrics(rows, stored, SCORE_METRICS_KEY, seconds, f"{at}/metrics/{run + 1}")
+    _merged_metrics(rows, SCORE_METRICS_KEY, seconds, at, run)
 
 
 def run_votes(
@@ -87,11 +87,11 @@ def run_votes(
     text: str = "clean_issue_text", model: str = VOTE_MODEL, factory: Factory | None = None, seconds: float | None = None, **options,
 ) -> None:
     """Measures of the vote rules for the attributes and versions that lack one in at/metrics."""
-    stored = read_table(texts.sparkSession, f"{at}/metrics/{run}", METRICS)
+    stored = read_buckets(texts.sparkSession, f"{at}/metrics", run, METRICS)
     prompts = prompt_chunks(texts, truth, attributes, text, **options)
     key = ["attribute_id", "hypothesis_version"]
     own = stored.filter(F.col("model") == model)
     groups = attributes.select("attribute_id").join(prompts.select("attribute_id", F.col("version").alias("hypothesis_version")).distinct(), "attribute_id")
     missing = vote_todo(groups, own, key, len(VOTE_AGGREGATIONS))
     asked = prompts.join(missing.withColumnRenamed("hypothesis_version", "version"), ["attribute_id", "version"], "left_semi")
-    _merged_metrics(evaluate_votes(vote_predictions(asked, factory), model), stored, VOTE_METRICS_KEY, seconds, f"{at}/metrics/{run + 1}")
+    _merged_metrics(evaluate_votes(vote_predictions(asked, factory), model), VOTE_METRICS_KEY, seconds, at, run)
