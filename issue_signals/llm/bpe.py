@@ -90,40 +90,51 @@ def replay(pieces: list[bytes], path: str) -> list[bytes]:
     places: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
+    def distinct(places: np.ndarray) -> np.ndarray:
+        ordered = np.sort(places)
+        return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
+
     def enter(left: np.ndarray) -> None:
         """Set the ranks of the pairs that start at left, and index those that make a token."""
-        first, second = ids[left], ids[np.minimum(after[left], size - 1)]
-        pair = first << 20 | second
+        pair = ids[left] << 20 | ids[np.minimum(after[left], size - 1)]  # negative at a gap, as no code is
         at = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
-        found = np.where((first >= 0) & (second >= 0) & (codes[at] == pair), made[at], -1) if len(codes) else np.full(len(left), -1)
+        hit = codes[at] == pair
+        rank_at[left] = -1
+        left, found = left[hit], made[at[hit]]
+        if not len(left):
+            return
         rank_at[left] = found
         order = np.argsort(found, kind="stable")
         found, left = found[order], left[order]
-        cuts = np.flatnonzero(np.diff(found, prepend=-1))
-        for group, rank in zip(np.split(left, cuts)[1:], found[cuts].tolist()):
+        cuts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(found)]
+        for a, b, rank in zip(cuts, cuts[1:], found[cuts[:-1]].tolist()):
             if rank in places:
-                places[rank].append(group)
+                places[rank].append(left[a:b])
             else:
-                places[rank] = [group]
+                places[rank] = [left[a:b]]
                 heapq.heappush(heap, rank)
 
-    enter(np.flatnonzero(inside))
+    if len(codes):
+        enter(np.flatnonzero(inside))
     while heap:
         rank = heapq.heappop(heap)
         groups = places.pop(rank)
-        left = groups[0] if len(groups) == 1 else np.unique(np.concatenate(groups))
+        left = groups[0] if len(groups) == 1 else distinct(np.concatenate(groups))
         left = left[rank_at[left] == rank]
         if len(left) > 1:
             if rank in early:
-                keep = np.diff(piece[left], prepend=-1) != 0
-                if not keep.all():
-                    places[rank] = [left[~keep]]
+                of = piece[left]
+                again = of[1:] == of[:-1]
+                if again.any():
+                    places[rank] = [left[1:][again]]
                     heapq.heappush(heap, rank)
+                    left = np.concatenate([left[:1], left[1:][~again]])
             else:  # of places that overlap every second one
-                number = np.arange(len(left))
-                fresh = np.concatenate([[True], after[left[:-1]] != left[1:]])
-                keep = (number - np.maximum.accumulate(np.where(fresh, number, 0))) % 2 == 0
-            left = left[keep]
+                overlaps = after[left[:-1]] == left[1:]
+                if overlaps.any():
+                    number = np.arange(len(left))
+                    fresh = np.concatenate([[True], ~overlaps])
+                    left = left[(number - np.maximum.accumulate(np.where(fresh, number, 0))) % 2 == 0]
         if not len(left):
             continue
         right = after[left]
@@ -136,7 +147,7 @@ def replay(pieces: list[bytes], path: str) -> list[bytes]:
         lower = before[left]
         lower = lower[lower >= 0]
         changed = np.concatenate([left, lower[ids[lower] >= 0]])
-        enter(changed if len(changed) == 1 else np.unique(changed))
+        enter(changed if len(changed) == 1 else distinct(changed))
     kept = ids[inside].astype("<i4").tobytes()
     bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(inside, ends - lengths - 1) if size else [])]).astype(int) * 4
     return [kept[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
