@@ -37,7 +37,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
     rows = without_repeats(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # what stays as a text, so that the result can be read; a code point that a removed byte belonged to is replaced
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("kept_text"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
