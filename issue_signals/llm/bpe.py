@@ -27,7 +27,7 @@ from issue_signals.llm.common import small_batches, together
 
 #: Words, and pieces, whose ids a worker remembers until it forgets those that it didn't meet since the
 #: last time. Characters of texts taken together.
-MAX_KNOWN, GROUP_CHARS = 250_000, 4 << 20
+MAX_KNOWN, GROUP_CHARS = 150_000, 2 << 20
 
 
 @lru_cache(maxsize=2)
