@@ -22,7 +22,10 @@ from issue_signals.llm.common import SPACE, shared_table, text_or_empty
 SHINGLE, SAMPLES = 5, 32
 #: Rows that the neighbour search sorts together.
 ROWS_PER_RANGE = 4_096
+#: Ranges at most; of a larger table a range holds more rows. Their ends pass the driver.
+MOST_RANGES = 65_536
 _LOW = 0xFFFFFFFF
+_ENTRIES = "array<struct<term: bigint, log_weight: double, version: int>>"
 
 
 def shingle_hashes(words: Column) -> Column:
@@ -33,24 +36,47 @@ def shingle_hashes(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, F.sort_array(several)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _weighted(hashes: Column) -> Column:
-    """(term, weight) of a sorted array of hashes; the runs are looked for only where hashes repeat."""
+def _words(text: str) -> Column:
+    """Hashes of the words of a text, none if there is no word."""
+    hashed = F.transform(F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), SPACE + "+"), lambda w: F.when(w != "", F.xxhash64(w)))
+    return F.filter(hashed, lambda h: h.isNotNull())
+
+
+def _once(hashes: Column) -> Column:
+    return F.size(F.array_distinct(hashes)) == F.size(hashes)
+
+
+def _entry(term: Column, log_weight: Column, version: int) -> Column:
+    return F.struct(term.alias("term"), log_weight.alias("log_weight"), F.lit(version).alias("version"))
+
+
+def _ones(hashes: Column, version: int) -> Column:
+    return F.transform(hashes, lambda h: _entry(h, F.lit(0.0), version))
+
+
+def _weighted(hashes: Column, version: int) -> Column:
+    """Entries of a sorted array of hashes; its runs are looked for only where hashes repeat."""
     starts = F.filter(F.sequence(F.lit(1), F.size(hashes)), lambda i: (i == 1) | (F.element_at(hashes, i) != F.element_at(hashes, F.greatest(i - 1, F.lit(1)))))
     ends = F.concat(F.slice(starts, 2, F.size(hashes)), F.array(F.size(hashes) + 1))
-    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(hashes, a).alias("term"), (b - a).alias("weight")))
-    ones = F.transform(hashes, lambda h: F.struct(h.alias("term"), F.lit(1).alias("weight")))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), ones).otherwise(runs)
+    runs = F.zip_with(starts, ends, lambda a, b: _entry(F.element_at(hashes, a), F.log((b - a).cast("double")), version))
+    return F.when(F.size(hashes) == 0, F.array().cast(_ENTRIES)).when(_once(hashes), _ones(hashes, version)).otherwise(runs)
+
 
+def with_terms(rows: DataFrame, text: str, other: str | None = None) -> DataFrame:
+    """rows without the texts, and with (term, log_weight, version): a row per term, or one with nulls if there is none.
 
-def with_terms(rows: DataFrame, text: str) -> DataFrame:
-    """rows without the column text, and with (term, weight): a row per term, or one with nulls if there is none."""
-    keep = [c for c in rows.columns if c != text]
-    words = F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), SPACE + "+")
-    rows = rows.select(*keep, F.transform(words, lambda w: F.when(w != "", F.xxhash64(w))).alias("__words"))
-    rows = rows.select(*keep, F.when(F.element_at("__words", 1).isNull(), F.array().cast("array<bigint>")).otherwise(F.col("__words")).alias("__words"))
-    rows = rows.select(*keep, shingle_hashes(F.col("__words")).alias("__hashes"))
-    rows = rows.select(*keep, F.when(F.size("__hashes") > 0, _weighted(F.col("__hashes"))).alias("__terms"))
-    return rows.select(*keep, F.inline_outer("__terms"))
+    Version 0 is a term of text, 1 one of other, and 2 one of both, where it occurs once in each."""
+    texts = [text, *([other] if other else [])]
+    keep = [c for c in rows.columns if c not in texts]
+    for step in (_words, shingle_hashes):
+        rows = rows.select(*keep, *[(step(t) if step is _words else step(F.col(t))).alias(t) for t in texts])
+    if other is None:
+        entries = _weighted(F.col(text), 0)
+    else:
+        a, b = F.col(text), F.col(other)
+        shared = F.concat(_ones(F.array_intersect(a, b), 2), _ones(F.array_except(a, b), 0), _ones(F.array_except(b, a), 1))
+        entries = F.when(_once(a) & _once(b), shared).otherwise(F.concat(_weighted(a, 0), _weighted(b, 1)))
+    return rows.select(*keep, entries.alias("__terms")).select(*keep, F.inline_outer("__terms"))
 
 
 def _unit(bits: Column, width: int) -> Column:
@@ -58,25 +84,53 @@ def _unit(bits: Column, width: int) -> Column:
     return (bits + F.lit(0.5)) * F.lit(2.0**-width)
 
 
-def sample_key(term: Column, weight: Column, number: int) -> Column:
-    """ln a in fixed point above 32 bits that name the term and its t: the minimum is the sample."""
+def _packed(log_a: Column, name: Column) -> Column:
+    """log_a lies between -75 and 4 for weights up to e**10, far within the fixed point."""
+    return F.shiftleft(F.floor((log_a + 128) * F.lit(float(1 << 22))), 32).bitwiseOR(name.bitwiseAND(F.lit(_LOW)))
+
+
+def sample_key(term: Column, log_weight: Column, number: int) -> Column:
+    """ln a in fixed point above 32 bits that name the term and its t: the minimum is the sample.
+
+    Of weight 1, t is 0, so that two logarithms are all that it costs; term is a hash and names itself."""
     one, two = F.xxhash64(term, F.lit(2 * number)), F.xxhash64(term, F.lit(2 * number + 1))
     r = -F.log(_unit(F.shiftrightunsigned(one, 32), 32) * _unit(one.bitwiseAND(F.lit(_LOW)), 32))
     c = -F.log(_unit(F.shiftrightunsigned(two, 42), 22) * _unit(F.shiftrightunsigned(two, 21).bitwiseAND(F.lit(0x1FFFFF)), 21))
     b = _unit(two.bitwiseAND(F.lit(0x1FFFFF)), 21)
-    t = F.floor(F.log(weight.cast("double")) / r + b)
-    log_a = F.log(c) - r * (t - b + 1)  # between -75 and 4 for weights up to e**10, far within the fixed point
-    return F.shiftleft(F.floor((log_a + 128) * F.lit(float(1 << 22))), 32).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(_LOW)))
+    t = F.floor(log_weight / r + b)
+    heavy = _packed(F.log(c) - r * (F.lit(1.0) - b + t), F.when(t == 0, term).otherwise(F.xxhash64(term, t)))
+    return F.when(log_weight == 0, _packed(F.log(c) - r * (F.lit(1.0) - b), term)).otherwise(heavy)
+
+
+def _names(samples: int) -> list[str]:
+    return [f"__{k}" for k in range(samples)]
+
+
+def _signature(least: list[Column]) -> Column:
+    return F.array(*[F.coalesce(v.bitwiseAND(F.lit(_LOW)), F.lit(0).cast("long")) for v in least])
+
+
+def _least_keys(terms: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    least = [F.min(sample_key(F.col("term"), F.col("log_weight"), k)).alias(n) for k, n in enumerate(_names(samples))]
+    return terms.groupBy(*keys).agg(*least)
 
 
 def signatures(rows: DataFrame, text: str, samples: int = SAMPLES) -> DataFrame:
     """rows without text but with signature (array of 32-bit values as long); equal rows become one.
     A text without words has zeros."""
     keys = [c for c in rows.columns if c != text]
-    names = [f"__{k}" for k in range(samples)]
-    least = [F.min(sample_key(F.col("term"), F.col("weight"), k)).alias(n) for k, n in enumerate(names)]
-    parts = [F.coalesce(F.col(n).bitwiseAND(F.lit(_LOW)), F.lit(0).cast("long")) for n in names]
-    return with_terms(rows, text).groupBy(*keys).agg(*least).select(*keys, F.array(*parts).alias("signature"))
+    made = _least_keys(with_terms(rows, text), keys, samples)
+    return made.select(*keys, _signature([F.col(n) for n in _names(samples)]).alias("signature"))
+
+
+def paired_signatures(rows: DataFrame, text: str, other: str, samples: int = SAMPLES) -> DataFrame:
+    """As `signatures`, with signature of text and other_signature of other: what the two texts share is drawn once."""
+    keys = [c for c in rows.columns if c not in (text, other)]
+    made = _least_keys(with_terms(rows, text, other), [*keys, "version"], samples)
+    own = [F.min(F.when(F.col("version") != 1, F.col(n))).alias(n) for n in _names(samples)]
+    others = [F.min(F.when(F.col("version") != 0, F.col(n))).alias("other" + n) for n in _names(samples)]
+    made = made.groupBy(*keys).agg(*own, *others)
+    return made.select(*keys, _signature([F.col(n) for n in _names(samples)]).alias("signature"), _signature([F.col("other" + n) for n in _names(samples)]).alias("other_signature"))
 
 
 def as_text(signature: Column, samples: int = SAMPLES) -> Column:
@@ -91,13 +145,16 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return sum(equal[1:], equal[0]) / F.lit(float(samples))
 
 
+def _long_array(numbers: list[int]) -> Column:
+    """One literal after constant folding, however many numbers there are."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
 def _range_of(key: Column, cuts: list[int]) -> Column:
     """How many of the sorted cuts are below key, searched in two steps; 0 for null."""
     step = max(1, math.isqrt(len(cuts)))
-    every = F.array(*[F.lit(c).cast("long") for c in cuts])
-    coarse = F.array(*[F.lit(c).cast("long") for c in cuts[step - 1 :: step]])
-    full = F.size(F.filter(coarse, lambda c: c < key)) * step
-    return F.when(key.isNull(), 0).otherwise(full + F.size(F.filter(F.slice(every, full + 1, step), lambda c: c < key)))
+    full = F.size(F.filter(_long_array(cuts[step - 1 :: step]), lambda c: c < key)) * step
+    return F.when(key.isNull(), 0).otherwise(full + F.size(F.filter(F.slice(_long_array(cuts), full + 1, step), lambda c: c < key)))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -109,7 +166,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     their texts' hashes."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
-    count = max(1, math.ceil(ids.count() / rows_per_range))
+    count = min(MOST_RANGES, max(1, math.ceil(ids.count() / rows_per_range)))
     found = ids.agg(F.percentile_approx("doc_id", [k / count for k in range(1, count + 1)], 10 * count), F.max("doc_id")).first()
     cuts = sorted({*(found[0] or []), *([found[1]] if found[1] is not None else [])})
     if not cuts:
@@ -117,7 +174,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     else:
         own = F.struct(_range_of(F.col("doc_id"), cuts).alias("range"), F.lit(0).alias("role"))
         rows = rows.withColumn("own", own)
-        head = F.col("doc_id") == F.get(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("own.range"))
+        head = F.col("doc_id") == F.get(_long_array(cuts), F.col("own.range"))
         last = F.col("own.range") == len(cuts) - 1
         copy = F.struct(F.when(last, 0).otherwise(F.col("own.range") + 1).alias("range"), F.when(last, 2).otherwise(1).alias("role"))
         rows = rows.select("doc_id", "text", F.inline(F.when(head, F.array("own", copy)).otherwise(F.array("own"))))
@@ -156,18 +213,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 2))"), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", "range", "place", "next_range", "next_place", F.length("text").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
-    keys = [c for c in rows.columns if c not in ("text", "edited")]
-    versions = F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("words")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("words")))
-    made = shared_table(signatures(rows.select(*keys, F.inline(versions)), "words", samples), "weighted-signatures")
-    own, after = made.filter("version = 0"), made.filter("version = 1").select("range", "place", F.col("signature").alias("edited_signature"))
-    following = made.filter("version = 0").select(F.col("range").alias("next_range"), F.col("place").alias("next_place"), F.col("signature").alias("next_signature"))
-    joined = own.join(after, ["range", "place"]).join(following, ["next_range", "next_place"])
+    made = shared_table(paired_signatures(rows, "text", "edited", samples), "weighted-signatures")
+    following = made.select(F.col("range").alias("next_range"), F.col("place").alias("next_place"), F.col("signature").alias("next_signature"))
+    joined = made.join(following, ["next_range", "next_place"])
     return joined.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
         as_text(F.col("signature"), samples).alias("fingerprint"),
-        as_text(F.col("edited_signature"), samples).alias("edited_fingerprint"),
-        likeness(F.col("signature"), F.col("edited_signature"), samples).alias("near_edited"),
+        as_text(F.col("other_signature"), samples).alias("edited_fingerprint"),
+        likeness(F.col("signature"), F.col("other_signature"), samples).alias("near_edited"),
         likeness(F.col("signature"), F.col("next_signature"), samples).alias("near_next"),
     )
