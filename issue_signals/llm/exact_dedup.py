@@ -3,11 +3,11 @@
 A text is normalised by deleting ASCII white space and gets a 64-bit hash. The directory maps the
 first bits of a hash to a bucket. It starts with one bucket; while a bucket holds more than
 `bucket_rows` distinct hashes it is split by one more bit, and the directory doubles when the bucket
-was as deep as the directory, up to `max_depth` bits. The buckets, which are ranges of hashes, are the
-files of the index. An entry is reached by bucket and hash; texts that share a hash are told apart
-byte by byte, as the hash's chain, because the aggregate that builds the entries has the text itself
-among its keys. Copies meet in that aggregate's map side first, so the copies of a hot text cross the
-network once per task, not once per row.
+was as deep as the directory, up to `max_depth` bits. Every row finds its bucket in the directory.
+Copies are combined by salt first, so that those of a hot text cross the network a few times, not once
+per row; then the entries go to the task that owns their bucket, a range of hashes. There entries of
+one hash are its chain, told apart byte by byte, and each chain link is one group. The index is
+written by bucket; a row looks its group up by bucket, hash and digest.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from issue_signals.llm.common import shared_table, text_or_empty, whole_row
 
 #: Distinct hashes that one bucket holds before it splits, and the bits at which splitting ends.
-BUCKET_ROWS = 250_000
+BUCKET_ROWS = 8_000
 MAX_DEPTH = 16
+#: Entries that copies of one text send to the owner of its bucket, at most.
+SALTS = 8
 
 #: Steps of the rank that orders copies: longer text first, then smaller id (a null id last).
 _STEP = 2**65
@@ -73,8 +75,8 @@ def _id_of(rank: Column) -> Column:
 def index_and_entries(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, max_depth: int = MAX_DEPTH
 ) -> tuple[DataFrame, DataFrame]:
-    """The index (bucket, local_depth, hash, text_sha256, group_size, keep_id) and the entries
-    (doc_id, hash, text_sha256), one per row of docs; both lie in the shared folder."""
+    """The index (bucket, local_depth, hash, link, text_sha256, group_size, keep_id), where link counts the texts of one
+    hash, and the entries (doc_id, bucket, hash, text_sha256), one per row of docs; the index lies in the shared folder."""
     key = F.col(f"`{id_col}`").cast("long")
     norm = normalised(text_or_empty(text_col))
     rows = docs.select(key.alias("doc_id"), F.length(text_or_empty(text_col)).alias("size"), norm.alias("norm"))
@@ -89,15 +91,20 @@ def index_and_entries(
         "slot int, bucket int, local_depth int",
     )
     slot = F.shiftrightunsigned("hash", 64 - depth).cast("int") if depth else F.lit(0)
-    chained = rows.groupBy("hash", "norm").agg(F.count("*").alias("group_size"), F.max(_rank(F.col("size"), F.col("doc_id"))).alias("best"))
+
+    def placed(found: DataFrame) -> DataFrame:
+        return found.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot")  # at most 2 ** max_depth slots
+
+    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS))
+    place = ["bucket", "local_depth", "hash", "norm"]
+    sent = placed(rows).groupBy(*place, salt.alias("salt")).agg(F.count("*").alias("n"), F.max(_rank(F.col("size"), F.col("doc_id"))).alias("best"))
+    owned = sent.repartition("bucket").groupBy(*place).agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
+    chain = Window.partitionBy("bucket", "hash").orderBy("text_sha256")
     index = (
-        chained.withColumn("slot", slot)
-        .join(F.broadcast(slots), "slot")
-        .select("bucket", "local_depth", "hash", F.sha2("norm", 256).alias("text_sha256"), "group_size", _id_of(F.col("best")).alias("keep_id"))
-        .repartitionByRange("bucket", "hash")
-        .sortWithinPartitions("bucket", "hash")
+        owned.select("bucket", "local_depth", "hash", F.sha2("norm", 256).alias("text_sha256"), "group_size", _id_of(F.col("best")).alias("keep_id"))
+        .withColumn("link", F.row_number().over(chain))
     )
-    return shared_table(index, "dedup-index"), entries
+    return shared_table(index, "dedup-index"), placed(entries).drop("local_depth")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -108,7 +115,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     to every other of its length and can stay only in a group without ids. Rows that repeat the
     staying row's id are all marked kept: nothing tells them apart. An empty table gives no rows."""
     index, entries = index_and_entries(docs, id_col, text_col, bucket_rows)
-    found = entries.join(index.select("hash", "text_sha256", "group_size", "keep_id"), ["hash", "text_sha256"])
+    found = entries.join(index.select("bucket", "hash", "text_sha256", "group_size", "keep_id"), ["bucket", "hash", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -2,6 +2,7 @@
 
 import pickle
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,6 +68,34 @@ def test_directory_splits_overfull_buckets():
     assert exact_dedup.directory({}, 4, 3) == (0, [(0, 0, 0)])
 
 
+def test_a_row_is_looked_up_in_the_bucket_that_the_directory_names(spark):
+    """Small buckets: the directory doubles, each bucket is one range of hashes, and lookups meet every row once."""
+    rows = [(i, f"text {i // 2}") for i in range(600)] + [(1000 + i, "hot") for i in range(500)]
+    index, entries = exact_dedup.index_and_entries(frame(spark, rows), bucket_rows=5, max_depth=10)
+    index, entries = index.collect(), entries.collect()
+    assert len(index) == 301 and len({r.bucket for r in index}) > 60 and len({r.local_depth for r in index}) > 1
+    spans = {}
+    for r in index:
+        at = r.hash % 2**64
+        low, high = spans.get(r.bucket, (at, at))
+        spans[r.bucket] = min(low, at), max(high, at)
+        assert at >> (64 - r.local_depth) == spans[r.bucket][0] >> (64 - r.local_depth) and r.link == 1
+    ordered = [spans[b] for b in sorted(spans)]
+    assert all(a[1] < b[0] for a, b in zip(ordered, ordered[1:]))
+    assert max(Counter(r.bucket for r in index).values()) <= 5
+    where = {r.text_sha256: r.bucket for r in index}
+    assert len(entries) == len(rows) and all(r.bucket == where[r.text_sha256] for r in entries)
+
+
+def test_texts_of_one_hash_are_links_of_its_chain(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    rows = [(1, "a"), (2, "a "), (3, "b"), (4, "c"), (5, "b")]
+    index, _ = exact_dedup.index_and_entries(frame(spark, rows), bucket_rows=1)
+    assert sorted((r.link, r.group_size) for r in index.collect()) in ([(1, g), (2, h), (3, k)] for g, h, k in ((1, 2, 2), (2, 1, 2), (2, 2, 1)))
+    got = {r.doc_id: r.keep_id for r in exact_dedup.exact_duplicates(frame(spark, rows), bucket_rows=1).collect()}
+    assert got == {1: 2, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert exact_dedup.exact_duplicates(empty).count() == 0 and near.near_duplicates(empty).count() == 0
