@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms. No sort of the documents, ever.
 
-Every document has a place in [0, 2**60): the first 60 bits of the MD5 of its id. A source that is
+Every document has a place in [0, 2**60): the first 60 bits of an MD5 of its id and its text's MD5. A source that is
 to give `target` words out of `size` words repeats all its documents floor(target / size) times; the
 rest of the target is a budget, met by the documents whose place is below a threshold. The threshold
 is found from histograms: words per source and cell of the first `BITS` bits of the place; the cell
@@ -31,9 +31,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place(key: Column) -> Column:
-    """60 bits that depend on the id alone; a null id has the place of the empty string."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def place(key: Column, text: Column) -> Column:
+    """60 bits that depend on id and text alone, so that rows without id are spread by their texts."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -94,9 +95,12 @@ def mix_plan(
     """The narrow rows (doc_id, source, size, place) of docs, and per source what the mix takes:
     source, source_size, target, whole, threshold."""
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words(F.col(f"`{text_col}`")).alias("size")
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        words(F.col(f"`{text_col}`")).alias("size"),
+        place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("place"),
     )
-    rows = shared_table(rows.withColumn("place", place(F.col("doc_id"))), "mix-sizes")
+    rows = shared_table(rows, "mix-sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     aims = aims.withColumn("whole", whole.cast("long"))
@@ -121,8 +125,8 @@ def mixture(
     """One row per row of docs: doc_id, source, size, source_size, target, repeats, taken.
 
     repeats is how often the mix takes the document and taken = size * repeats. A null text has size
-    0, a null source is a source of its own and the last in order, a null id has the place of an empty
-    id. Rows with equal ids of one source are taken alike. A source without words has target 0 and
+    0, a null source is a source of its own and the last in order, a null id is taken for an empty
+    one. Rows of one source that repeat both id and text are taken alike. A source without words has target 0 and
     repeats 0. Nothing depends on the order or the partitions of docs, so reruns agree. An empty table
     gives no rows."""
     rows, plan = mix_plan(docs, id_col, text_col, source_col, weights, max_repeats)
@@ -137,7 +141,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The texts meet the plan, one row per source, and are not shuffled. Nulls, empty and long texts, repeated rows and an
     empty table are met as in `mixture`: a source without words has no place in the mix."""
     _, plan = mix_plan(docs, id_col, text_col, source_col)
-    rows = docs.select(whole_row(docs), F.col(f"`{source_col}`").cast("string").alias("of"), place(F.col(f"`{id_col}`")).alias("place"))
+    rows = docs.select(whole_row(docs), F.col(f"`{source_col}`").cast("string").alias("of"), place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("place"))
     joined = rows.join(plan, F.col("of").eqNullSafe(F.col("source")))
     copies = F.filter(F.sequence(F.lit(0).cast("long"), _repeats()), lambda k: k > 0)
     return joined.withColumn("copy", F.explode(copies)).select("row.*")

@@ -102,10 +102,10 @@ def mix(rows, weights=(5, 2, 1), most=3):
             left -= target[s]
         free -= capped
     taken = []
-    for (doc_id, s, _), n in zip(rows, size):
+    for (doc_id, s, text), n in zip(rows, size):
         whole = int(target[s] // total[s]) if total[s] else 0
-        place = lambda i: int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:15], 16)
+        place = lambda i, t: int(hashlib.md5(f"{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
         budget = target[s] - whole * total[s]
-        up_to = sum(m for (i, s2, _), m in zip(rows, size) if s2 == s and place(i) <= place(doc_id))
+        up_to = sum(m for (i, s2, t), m in zip(rows, size) if s2 == s and place(i, t) <= place(doc_id, text))
         taken.append(n * (whole + (up_to <= budget)))
     return size, total, target, taken

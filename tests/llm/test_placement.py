@@ -57,6 +57,14 @@ def test_reruns_and_partitions_agree(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_rows_without_id_come_near_the_target(spark):
+    """A third of a source has no id: its words still come within 1 % of the target."""
+    r = random.Random(8)
+    rows = [(None if i % 3 == 0 else i, "ab"[i % 2], " ".join(r.choices("vwxyz", k=r.randint(5, 60)))) for i in range(3000)]
+    got = mixing.mixture(frame(spark, rows)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(g.taken - g.target) < 0.01 * g.target for g in got)
+
+
 def test_mixing_edges(spark):
     assert mixing.mixture(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [])).count() == 0
     blank = mixing.mixture(frame(spark, [(1, "a", ""), (2, None, None)])).collect()
