@@ -138,6 +138,18 @@ def test_collision_rate_is_the_generalised_jaccard_similarity(spark):
             assert (got[i] == got[j]).mean() == pytest.approx(true, abs=4 * max(0.02, (true * (1 - true) / 100) ** 0.5))
 
 
+def test_a_pair_of_texts_has_the_signatures_of_each(spark):
+    """What two texts share is drawn once, and a term has other weights in the two."""
+    r = random.Random(6)
+    texts = ["", "a b", "a b c d e", *(" ".join(r.choices(letters, k=n)) for letters in ("ab", "abcdefghijkl") for n in (9, 40, 200))]
+    rows = [(i * len(texts) + j, a, b) for i, a in enumerate(texts) for j, b in enumerate([*texts[:4], a, a[: len(a) // 2] + texts[-1][:30]])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, edited string").dropDuplicates(["doc_id"])
+    pairs = {x.doc_id: (x.signature, x.other_signature) for x in cws.paired_signatures(frame, "text", "edited", 8).collect()}
+    for k, name in enumerate(("text", "edited")):
+        alone = {x.doc_id: x.signature for x in cws.signatures(frame.select("doc_id", name), name, 8).collect()}
+        assert {i: p[k] for i, p in pairs.items()} == alone and len(alone) == len(rows)
+
+
 def test_edited_texts(spark, monkeypatch):
     monkeypatch.setattr(cws, "ROWS_PER_RANGE", 4)
     r = random.Random(5)
