@@ -20,12 +20,14 @@ NOISE = {
     "advert": "ad ads advert advertisement sponsored promo banner sponsor ad-slot adsbygoogle promotion commercial".split(),
     "form": "form search login subscribe newsletter signup search-form contact-form register".split(),
     "comments": "comments comment comment-list replies reply discussion disqus respond thread reader-comments responses".split(),
+    "embedded": "embed player video chart map lazy fallback no-js nojs captcha widget".split(),
     "share": "share social sharing share-buttons social-links follow byline-tools toolbar print-tools".split(),
 }
 _TAGS = {
     "menu": ["nav", "nav", "ul", "div"], "header": ["header", "header", "div"], "footer": ["footer", "footer", "div"],
     "sidebar": ["aside", "aside", "div", "section"], "notice": ["div", "div", "section", "aside"], "advert": ["div", "div", "aside", "section"],
     "form": ["form", "form", "div"], "comments": ["section", "div", "ol", "ul", "aside"], "share": ["div", "ul", "p"],
+    "embedded": ["noscript", "noscript", "iframe", "object", "canvas", "select", "textarea"],
 }
 
 
@@ -87,7 +89,9 @@ class Maker:
         elif kind == "advert":
             inner = r.choice(["{}", "{}", "<p>{}</p>", "<a href='/x'>{}</a>", "<div>{}</div>", "<h4>Ad</h4><p>{}</p>"]).format(self.some(2, 50))
         elif kind == "form":
-            inner = f"<label>{self.some(1, 4)}</label><input name=q>" + r.choice(["", f"<p>{self.some(4, 25)}</p>"]) + f"<button>{self.some(1, 2)}</button>"
+            inner = f"<label>{self.some(1, 4)}</label><input name=q>" + r.choice(["", f"<p>{self.some(4, 25)}</p>", f"<select><option>{self.some(1, 3)}</option></select>", f"<textarea>{self.some(1, 9)}</textarea>"]) + f"<button>{self.some(1, 2)}</button>"
+        elif kind == "embedded":
+            inner = r.choice(["{}", "{}", "<span>{}</span>", "<p>{}</p>" if tag in ("noscript", "object") else "{}"]).format(self.some(1, 30))
         elif kind == "share":
             inner = " ".join(self.link(self.some(1, 2)) for _ in range(r.randint(2, 5)))
             inner = "".join(f"<li>{x}</li>" for x in inner.split("> ")) if tag == "ul" else inner
@@ -131,7 +135,9 @@ class Maker:
             elif kind < 0.97:
                 made.append(mark("pre", self.some(3, 30)))
             elif not plain:
-                made.append(self.noise(r.choice(["advert", "advert", "share", "sidebar", "form", "notice"]), False))
+                made.append(self.noise(r.choice(["advert", "advert", "share", "sidebar", "form", "notice", "embedded"]), False))
+            elif kind < 0.98:
+                made.append(self.noise("embedded", True))
             else:
                 made.append(mark("div", self.inline(self.some(3, long))))
         return "".join(made)
@@ -152,8 +158,8 @@ class Maker:
             middle = r.choice([middle + side, side + middle])
         for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
             middle = f"<div{self.attrs('wrap', plain)}>{middle}</div>"
-        top = [self.noise(k, plain) for k, share in (("notice", 0.2), ("header", 0.45), ("menu", 0.7), ("form", 0.15), ("advert", 0.4)) if r.random() < share]
-        end = [self.noise(k, plain) for k, share in (("sidebar", 0.15), ("comments", 0.12), ("advert", 0.25), ("form", 0.15), ("footer", 0.8), ("notice", 0.15)) if r.random() < share]
+        top = [self.noise(k, plain) for k, share in (("notice", 0.2), ("header", 0.45), ("menu", 0.7), ("form", 0.15), ("advert", 0.4), ("embedded", 0.15)) if r.random() < share]
+        end = [self.noise(k, plain) for k, share in (("sidebar", 0.15), ("comments", 0.12), ("advert", 0.25), ("form", 0.15), ("footer", 0.8), ("notice", 0.15), ("embedded", 0.1)) if r.random() < share]
         if r.random() < 0.5:
             r.shuffle(top)
         return f"<html><head><title>{self.some(2, 9)}</title></head><body>{''.join(top)}{middle}{''.join(end)}</body></html>"

@@ -16,7 +16,11 @@ BLOCKS = frozenset(
     " h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 FRAME = frozenset(["html", "head", "body"])
-UNSEEN = frozenset("script style template noscript title svg iframe object select textarea math canvas".split())
+UNSEEN = frozenset("script style template title".split())
+#: Elements inside a paragraph that hold what is shown in place of something else; the trees judge them.
+EMBEDDED = frozenset("noscript iframe object canvas select textarea".split())
+_WITHOUT_BLOCKS = EMBEDDED - {"noscript", "object"}
+_NODES = BLOCKS | EMBEDDED
 #: What a start tag closes, and the element at which the search for it ends.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset("ul ol menu".split())),
@@ -31,17 +35,25 @@ _KEEP_P = frozenset(["button", "td", "th", "table"])
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 _GAP = re.compile(r"\s+")
+_ENDS = re.compile(f"</({'|'.join(sorted(EMBEDDED))})", re.I)
 
 
 class _Builder(HTMLParser):
     """tags, parents, tokens and texts of the nodes in page order; node 0 is the page. A node whose tag is
-    "#text" is a run of text between two block boundaries; links holds its characters inside links."""
+    "#text" is a run of text between two block boundaries; links holds its characters inside links.
 
-    def __init__(self) -> None:
+    Embedded elements are nodes too. One without an end tag marks nothing, so what follows it stays where it is."""
+
+    CDATA_CONTENT_ELEMENTS, RCDATA_CONTENT_ELEMENTS = ("script", "style"), ()  # the same in all versions of the parser
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.tokens, self.texts, self.links = ["#page"], [-1], [frozenset()], [None], [0]
         self.open: list[tuple[str, int]] = [("#page", 0)]  # inline elements have their block's node
         self.run, self.in_link, self.unseen = -1, 0, ""
+        self.ends = Counter(tag.lower() for tag in _ENDS.findall(html))  # end tags that are still to come
+        self.feed(html)
+        self.close()
 
     def _node(self, tag: str, tokens: frozenset[str], text: list[str] | None) -> int:
         self.tags.append(tag)
@@ -75,8 +87,14 @@ class _Builder(HTMLParser):
         words |= {name for name, value in attrs if name in ("hidden", "contenteditable") or (name, value) == ("aria-hidden", "true")}
         if any(name == "style" and value and re.search(r"display:\s*none", value) for name, value in attrs):
             words.add("hidden")
+        if tag in EMBEDDED:
+            if self.ends[tag] > 0:
+                self.run = -1
+                self.open.append((tag, self._node(tag, frozenset(words), None)))
+            return
         if tag in BLOCKS:
             self.run = -1
+            self._close(_WITHOUT_BLOCKS, _NODES)
             if tag in CLOSES:
                 self._close(*CLOSES[tag])
             else:
@@ -94,22 +112,25 @@ class _Builder(HTMLParser):
             self.tokens[self.run] |= words
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in EMBEDDED:
+            return
         self.handle_starttag(tag, attrs)
         if tag in UNSEEN:
             self.unseen = ""
 
     def handle_endtag(self, tag: str) -> None:
+        self.ends[tag] -= tag in EMBEDDED
         if self.unseen:
             self.unseen = "" if tag == self.unseen else self.unseen
             return
-        if tag in BLOCKS or tag in FRAME:
+        if tag in _NODES or tag in FRAME:
             self.run = -1
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 self.in_link -= sum(t == "a" for t, _ in self.open[k:])
                 del self.open[k:]
                 return
-            if tag not in BLOCKS and self.open[k][0] in BLOCKS:
+            if tag not in _NODES and self.open[k][0] in _NODES:
                 return  # the end of an inline element doesn't close a block
 
     def handle_data(self, data: str) -> None:
@@ -131,14 +152,10 @@ class Page:
     """The nodes of a page; text of a text block with white space as one space, trimmed."""
 
     def __init__(self, html: str | None) -> None:
-        built = _Builder()
         try:
-            built.feed(html or "")
-            built.close()
+            built = _Builder(html or "")
         except AssertionError:  # a declaration that the parser doesn't know
-            built = _Builder()
-            built.feed((html or "").replace("<![", "&lt;!["))
-            built.close()
+            built = _Builder((html or "").replace("<![", "&lt;!["))
         self.tags, self.parents, self.tokens, self.links = built.tags, built.parents, built.tokens, built.links
         self.texts = [None if t is None else _GAP.sub(" ", "".join(t)).strip() for t in built.texts]
 

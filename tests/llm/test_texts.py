@@ -273,6 +273,30 @@ def test_a_plain_page(extractor):
     assert extractor.texts([html])[0] == "A <title> " + (said * 3).strip() + " Second one with bold. Line"
 
 
+def test_elements_inside_an_article(extractor):
+    """Only scripts, styles, templates and titles are unseen; an element that never ends swallows nothing."""
+    said = "The first paragraph of the article says quite a lot of things about the matter at hand, and it goes on. "
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>Heading of it</h1><p>{}</p><p>{}</p></article><footer>&copy; 2024 Example</footer></body></html>"
+    start = "Heading of it "
+    for inner, shown in [
+        ("Let <math><mi>x</mi><mo>=</mo><mn>5</mn></math> hold.", "Let x=5 hold."),
+        ("See <svg width=9><title>icon</title><text>label</text></svg> here.", "See label here."),
+        ("See <svg><path d='M0'/> here.", "See here."),
+        ("See <svg/> here.", "See here."),
+        ("A <iframe src=x> line.", "A line."),
+        ("An <object data=x> line.", "An line."),
+        ("A <noscript> line.", "A line."),
+        ("A <select><option> line.", "A line."),
+        ("A <textarea/> line.", "A line."),
+        ("A <style>p { x: y }</style> line <script>var x = 1;</script>of <template><p>no</p></template>it.", "A line of it."),
+    ]:
+        got = extractor.texts([page.format(inner + " " + said * 2, said * 2)])[0]
+        assert got == start + shown + " " + (said * 2).strip() + " " + (said * 2).strip(), inner
+    choice = "<form><label>Pick</label><select><option>One</option><option>Two</option></select><textarea>Say it</textarea><button>Go</button></form>"
+    got = extractor.texts([page.format(said * 2, said * 2 + "</p>" + choice + "<noscript>Please turn on scripts</noscript><p>" + said)])[0]
+    assert got == start + " ".join([(said * 2).strip(), (said * 2).strip(), said.strip()])
+
+
 def test_page_edges(spark, extractor):
     broken = ["", None, "<", "<p", "plain text", "</div></p>", "<![foo[x]]><p>", "<script>never closed", "<div>" * 3000, "<title>a<body>", "&#xZZ; &amp", "<ul><li>a<li>b</ul>"]
     pages = with_extra(spark.createDataFrame([(i, None, h) for i, h in enumerate(broken)] + [(0, "u", "")], "page_id long, url string, html string"))
