@@ -328,6 +328,21 @@ ORACLES: dict[str, str] = {
         WHERE doc_id > coalesce(mark, 0) OR (doc_id > 0 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
     "q_alert_stream": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS criteria, count(*) AS mentions FROM events
         WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL HAVING count(*) > 60""",
+    "q_criteria_health": """WITH partials AS (
+          SELECT ts::DATE AS day, event_type AS criteria, count(*) AS mentions, count(*) FILTER (value >= 10) AS positive, avg(value) AS mean_score
+          FROM events GROUP BY ALL),
+        filled AS (
+          SELECT c.criteria, d.day, coalesce(p.mentions, 0) AS mentions, coalesce(p.positive, 0) AS positive, p.mean_score
+          FROM (SELECT DISTINCT criteria FROM partials) c
+          CROSS JOIN (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM partials) d
+          LEFT JOIN partials p ON p.criteria = c.criteria AND p.day = d.day),
+        periods AS (
+          SELECT *, sum(mentions) OVER r AS recent, sum(positive) OVER r AS recent_positive, coalesce(sum(mentions) OVER b, 0) AS preceding FROM filled
+          WINDOW r AS (PARTITION BY criteria ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+            b AS (PARTITION BY criteria ORDER BY day ROWS BETWEEN 13 PRECEDING AND 7 PRECEDING))
+        SELECT strftime(day, '%Y-%m-%d') AS day, criteria, mentions, recent::BIGINT AS recent, preceding::BIGINT AS preceding,
+          round(mean_score, 6) AS mean_score, round(recent_positive / nullif(recent, 0), 6) AS recent_positive_share,
+          round(recent / nullif(preceding, 0) - 1, 6) AS change FROM periods""",
     "q_combine_a": f"""SELECT issue_id, project_id,
         concat_ws(' ', 'title: ' || title, body_text, 'comment: ' || comment_text) AS text
         FROM ({GAPS}) i LEFT JOIN ({comment_text("chr(10)")}) c USING (issue_id) WHERE title IS NOT NULL OR body_text IS NOT NULL""",

@@ -16,7 +16,7 @@ from issue_signals.functions.hypotheses import hypotheses, labelling_hypotheses,
 from issue_signals.operators import combine, evaluate, keys, keywords, progress, similarity, summaries, word_vectors
 from issue_signals.operators.scoring import embed, entailment_scores, sentiment, weighted_compound
 from issue_signals.operators.skew import lookup_join
-from issue_signals.plans import entailment, matches, reports, runs, voting
+from issue_signals.plans import entailment, health, matches, reports, runs, voting
 from issue_signals.plans.corpus import new_corpus_rows
 from issue_signals.plans.mentions import criteria_mentions
 from issue_signals.session import shared_dir
@@ -769,3 +769,18 @@ def q_criteria_daily(spark, sf):
     events = T.table(spark, sf, "events").select(F.col("event_type").alias("criteria"), F.col("ts").alias("created_at"))
     rows = reports.alerts(reports.daily_mentions(events), 60)
     return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query
+def q_criteria_health(spark, sf):
+    """Criteria health by day from partials that three runs of arrivals added to, each with late rows of all days."""
+    at = f"{_fresh_dir(spark)}/health"
+    events = T.table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("criteria"), F.col("ts").alias("created_at"), F.col("value").alias("similarity_score"),
+        F.when(F.col("value") >= 10, "+").otherwise("-").alias("semantic"),
+    )
+    for run in range(3):
+        health.add_mentions(events.filter(F.col("event_id") % 3 == run), at, run, 8)
+    rows = health.criteria_health(buckets.read_buckets(spark, at, 3, health.HEALTH), 7)
+    rounded = [F.round(c, 6).alias(c) for c in ("mean_score", "recent_positive_share", "change")]
+    return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "criteria", "mentions", "recent", "preceding", *rounded)

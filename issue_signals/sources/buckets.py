@@ -50,6 +50,13 @@ def read_buckets(spark: SparkSession, path: str, run: int, schema: T.StructType)
     return _read(spark, path, manifest(spark, path, run), schema).drop("bucket")
 
 
+def read_met(rows: DataFrame, path: str, run: int, schema: T.StructType, by: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """The buckets that the keys of some rows fall in, after `run` runs."""
+    met = {r[0] for r in rows.select(bucket_of(by, buckets).alias("bucket")).distinct().collect()}
+    parts = [p for p in manifest(rows.sparkSession, path, run) if p[0] in met]
+    return _read(rows.sparkSession, path, parts, schema).drop("bucket")
+
+
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.progress import above_tracker, tracker_after
+from ..plans.health import add_mentions
 from ..plans.reports import alerts, daily_mentions
 from ..session import materialize
 from ..sources.landing import read_table
@@ -152,6 +153,12 @@ def alert_stream(
     )
 
 
+def health_stream(mentions: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep the daily partials of criteria up to date with a stream of mentions, late ones included; after the batch with
+    number b the table has b + 1 runs. A batch that is run again after a failure adds its mentions once."""
+    return _once(mentions, lambda batch, batch_id: add_mentions(batch, table, batch_id) and None, checkpoint)
+
+
 def _run(batch_id: int) -> str:
     return f"batch-{batch_id}"
 
