@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .text import NOT_SPACE, col, let
 
 SPLITTERS = {
@@ -97,6 +98,7 @@ def packer(
     As a fold expression it took thirty times as long as this Arrow function, which splits and counts
     a text once for all limits.
     """
+    small_batches()
 
     @F.pandas_udf("array<array<string>>")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -147,6 +149,7 @@ def line_chunker(max_tokens: int = 512, tokenizer: Callable[[], Tokenizer] = _wh
     A sentence above the budget is cut into windows.
     tokenizer is a factory that each Python worker calls once.
     """
+    small_batches()
 
     @F.pandas_udf("array<string>")
     def chunk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

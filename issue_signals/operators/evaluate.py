@@ -19,6 +19,13 @@ def labelled_texts(texts: DataFrame, truth: DataFrame) -> DataFrame:
     return lookup_join(texts, labels, ["issue_id"], "inner")
 
 
+def with_labels(texts: DataFrame, truth: DataFrame) -> DataFrame:
+    """The texts that have a hand label, each once, with labels: a list of (attribute_id, is_related). What is made of a
+    text afterwards need not be joined with its labels again."""
+    lists = truth.groupBy("issue_id").agg(F.collect_list(F.struct("attribute_id", "is_related")).alias("labels"))
+    return lookup_join(texts, lists, ["issue_id"], "inner")
+
+
 def of_labelled(texts: DataFrame, truth: DataFrame) -> DataFrame:
     """The texts that have a hand label, once each."""
     return lookup_join(texts, truth.select("issue_id").distinct(), ["issue_id"], "left_semi")

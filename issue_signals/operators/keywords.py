@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import any_substring, related_words
+from ..session import small_batches
 from .skew import MAX_BROADCAST_ROWS, bounded_rows
 
 if TYPE_CHECKING:
@@ -52,8 +53,9 @@ def _automaton(terms: Iterable[tuple[int, str]]) -> ahocorasick.Automaton:
 
 
 def _scan(batch: pd.DataFrame, automaton: ahocorasick.Automaton, keep: list[str]) -> pd.DataFrame:
-    found = batch["lowered"].map(lambda t: sorted(set().union(*(ids for _, ids in automaton.iter(t)))))
-    return batch[keep].assign(attribute_id=found).explode("attribute_id").dropna(subset="attribute_id")
+    found = batch["lowered"].map(lambda t: sorted(set().union(*(ids for _, ids in automaton.iter(t)))) if t is not None else [])
+    rows = batch[keep].assign(attribute_ids=found)
+    return rows[found.map(len) > 0]
 
 
 def keyword_matches(
@@ -65,10 +67,24 @@ def keyword_matches(
     max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """keep..., attribute_id: one row per text and attribute with at least one term in the text."""
+    sets = keyword_sets(texts, terms, text, keep, max_literal, max_broadcast)
+    return sets.select(*keep, F.explode("attribute_ids").alias("attribute_id"))
+
+
+def keyword_sets(
+    texts: DataFrame,
+    terms: DataFrame,
+    text: str = "text",
+    keep: tuple[str, ...] = ("issue_id",),
+    max_literal: int = MAX_LITERAL_TERMS,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """keep..., attribute_ids: the texts with at least one term, with the attributes of their terms. Beyond the broadcast
+    bound a text is one row per automaton that finds a term in it."""
     keep = list(keep)
-    kind = terms.schema["attribute_id"].dataType
-    lowered = texts.select(*keep, F.lower(text).alias("lowered")).filter(F.col("lowered").isNotNull())
-    schema = lowered.select(*keep).schema.add("attribute_id", kind)
+    kind = T.ArrayType(terms.schema["attribute_id"].dataType)
+    lowered = texts.select(*keep, F.lower(text).alias("lowered"))
+    schema = lowered.select(*keep).schema.add("attribute_ids", kind)
     terms = terms.select("attribute_id", "term")
 
     rows = bounded_rows(terms, max_broadcast)
@@ -82,9 +98,10 @@ def keyword_matches(
     by_attribute: dict[int, list[str]] = {}
     for row in sorted(rows):
         by_attribute.setdefault(row["attribute_id"], []).append(row["term"])
-    hits = [F.when(any_substring(F.col("lowered"), words), F.lit(k).cast(kind)) for k, words in by_attribute.items()]
-    found = F.array_compact(F.array(*hits)) if hits else F.array().cast(T.ArrayType(kind))
-    return lowered.select(*keep, F.explode(found).alias("attribute_id"))
+    hits = [F.when(any_substring(F.col("lowered"), words), F.lit(k).cast(kind.elementType)) for k, words in by_attribute.items()]
+    found = F.array_compact(F.array(*hits)) if hits else F.array().cast(kind)
+    # unfolded from a list of one, so that no later filter is pushed below this step and lowers the texts again
+    return lowered.select(*keep, F.explode(F.filter(F.array(found), lambda s: F.size(s) > 0)).alias("attribute_ids"))
 
 
 def _searched(lowered: DataFrame, terms: list[Row], keep: list[str], schema: T.StructType) -> DataFrame:
@@ -95,4 +112,5 @@ def _searched(lowered: DataFrame, terms: list[Row], keep: list[str], schema: T.S
         for batch in batches if automaton else ():
             yield _scan(batch, automaton, keep)
 
+    small_batches(lowered.sparkSession)
     return lowered.mapInPandas(search, schema)

@@ -21,13 +21,12 @@ from ..functions.scores import labelling_verdict
 from ..functions.text import verdict_json
 from ..operators.evaluate import (
     hypothesis_scores,
-    labelled_texts,
-    of_labelled,
     predictions_by_setting,
     quality,
     todo,
+    with_labels,
 )
-from ..operators.keywords import attribute_terms, keyword_matches
+from ..operators.keywords import attribute_terms, keyword_sets
 from ..operators.scoring import Factory, entailment_scores
 from ..operators.skew import lookup_join
 
@@ -60,16 +59,15 @@ def label_corpus(
 ) -> DataFrame:
     """issue_id, project_id, attribute_id, nli_label, nli_json for texts with a keyword of the attribute.
 
-    The keyword filter comes first, so only texts that pass it are chunked, each once, and scored.
+    The keyword filter comes first, so only texts that pass it are chunked, each once, and scored. The attributes of a text
+    are a list in its row, so that the corpus is read once and neither texts nor chunks are joined with them.
     """
-    keep = ("issue_id", "project_id")
-    found = keyword_matches(corpus, attribute_terms(attributes), text, keep)
+    found = keyword_sets(corpus.filter("issue_id IS NOT NULL"), attribute_terms(attributes), text, ("issue_id", "project_id", text))
     lists = hypothesis_lists(attributes, labelling_hypotheses(attributes))
-    asked = lookup_join(found, lists, ["attribute_id"], "inner")
-    wanted = corpus.select("issue_id", text).join(found.select("issue_id").distinct(), "issue_id", "left_semi")
-    chunks = wanted.select("issue_id", F.explode_outer(line_chunker(max_tokens)(F.col(text))).alias("chunk"))
-    chunked = asked.join(chunks, "issue_id")
-    scored = entailment_scores(chunked, factory=factory)
+    chunked = found.select("issue_id", "project_id", "attribute_ids", F.explode_outer(line_chunker(max_tokens)(F.col(text))).alias("chunk"))
+    each = chunked.select("issue_id", "project_id", "chunk", F.explode("attribute_ids").alias("attribute_id"))
+    asked = lookup_join(each, lists, ["attribute_id"], "inner")
+    scored = entailment_scores(asked, factory=factory)
     per_issue = hypothesis_scores(scored, ["issue_id", "project_id", "attribute_id"], len(LABELLING_TEMPLATES))
     labelled = per_issue.withColumn("verdict", labelling_verdict("max_scores"))
     return labelled.select(
@@ -113,10 +111,10 @@ def score_grid(
     is chunked once, whatever the number of its labels.
     """
     lists = hypothesis_lists(attributes, hypotheses(attributes))
-    once = of_labelled(texts.select("issue_id", text), truth)
-    sets = once.select("issue_id", F.inline_outer(chunk_sets(text, chunkings, limits)))
-    chunked = sets.select("issue_id", "chunking_strategy", "max_tokens", F.explode_outer("chunks").alias("chunk"))
-    labelled = labelled_texts(chunked, truth)
+    once = with_labels(texts.select("issue_id", text), truth)
+    sets = once.select("issue_id", "labels", F.inline_outer(chunk_sets(text, chunkings, limits)))
+    chunked = sets.select("issue_id", "labels", "chunking_strategy", "max_tokens", F.explode_outer("chunks").alias("chunk"))
+    labelled = chunked.select("issue_id", "chunking_strategy", "max_tokens", "chunk", F.inline("labels"))
     asked = lookup_join(labelled, lists, ["attribute_id"], "inner")
     width = sum(len(t) for t in HYPOTHESIS_TEMPLATES.values())
     keys = ["issue_id", "attribute_id", "attribute", "is_related", "chunking_strategy", "max_tokens"]
