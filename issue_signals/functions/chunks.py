@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,8 +100,8 @@ def packer(
     """
     small_batches()
 
-    @F.pandas_udf("array<array<string>>")
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<array<string>>")
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode, _ = tokenizer()
         boundary = re.compile(SPLITTERS[strategy])
 
@@ -110,7 +110,7 @@ def packer(
             return [_packed(counted, limit) for limit in limits]
 
         for texts in batches:
-            yield texts.map(chunks, na_action=None)
+            yield pa.array([chunks(t) for t in texts.to_pylist()], pa.list_(pa.list_(pa.string())))
 
     return pack
 
@@ -151,10 +151,10 @@ def line_chunker(max_tokens: int = 512, tokenizer: Callable[[], Tokenizer] = _wh
     """
     small_batches()
 
-    @F.pandas_udf("array<string>")
-    def chunk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def chunk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode, decode = tokenizer()
         for texts in batches:
-            yield texts.map(lambda t: [] if t is None else _line_chunks(t, encode, decode, max_tokens))
+            yield pa.array([[] if t is None else _line_chunks(t, encode, decode, max_tokens) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return chunk

@@ -13,6 +13,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +62,14 @@ def embed(df: DataFrame, text: str = "text", factory: Factory | None = None, dim
     load = factory or word_hashes(dim)
     small_batches(df.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for texts in batches:
-            vectors = pd.Series([np.asarray(v, dtype=np.float64) for v in model(texts.fillna("").tolist())])
-            yield vectors.where(texts.notna().to_numpy(), None)
+            vectors = [np.asarray(v, dtype=np.float64) for v in model(["" if t is None else t for t in texts.to_pylist()])]
+            ends = np.cumsum([0, *map(len, vectors)], dtype=np.int32)
+            numbers = np.concatenate(vectors) if vectors else np.zeros(0)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers), mask=texts.is_null())
 
     return df.withColumn(name, encode(F.col(text)))
 
@@ -170,11 +173,12 @@ def word_overlap() -> Callable[[str, tuple[str, ...]], list[float]]:
 def _overlaps() -> Callable[[Column, Column], Column]:
     """A column function (chunk, hypotheses) -> the word overlap with each hypothesis."""
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         overlap = word_overlap()
         for texts, lists in batches:
-            yield pd.Series([[0.0] * len(h) if t is None else overlap(t, tuple(h)) for t, h in zip(texts, lists)])
+            rows = zip(texts.to_pylist(), lists.to_pylist())
+            yield pa.array([[0.0] * len(h) if t is None else overlap(t, tuple(h)) for t, h in rows], pa.list_(pa.float64()))
 
     return score
 
