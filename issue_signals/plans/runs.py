@@ -26,7 +26,7 @@ from .entailment import DEFAULT_MODEL as SCORE_MODEL
 from .matches import matched_attributes
 from .mentions import criteria_mentions
 from .voting import DEFAULT_MODEL as VOTE_MODEL
-from .voting import evaluate_votes, prompt_chunks, vote_predictions
+from .voting import evaluate_votes, prompt_chunks, version_lists, vote_predictions
 
 
 def _tracked(issues: DataFrame, at: str, run: int, table: str, schema, analyse, more_than: int) -> None:
@@ -86,12 +86,15 @@ def run_votes(
     texts: DataFrame, truth: DataFrame, attributes: DataFrame, at: str, run: int,
     text: str = "clean_issue_text", model: str = VOTE_MODEL, factory: Factory | None = None, seconds: float | None = None, **options,
 ) -> None:
-    """Measures of the vote rules for the attributes and versions that lack one in at/metrics."""
+    """Measures of the vote rules for the attributes and versions that lack one in at/metrics. What is missing is known from
+    the attributes and the stored measures, before any text is read."""
     stored = read_buckets(texts.sparkSession, f"{at}/metrics", run, METRICS)
-    prompts = prompt_chunks(texts, truth, attributes, text, **options)
     key = ["attribute_id", "hypothesis_version"]
     own = stored.filter(F.col("model") == model)
-    groups = attributes.select("attribute_id").join(prompts.select("attribute_id", F.col("version").alias("hypothesis_version")).distinct(), "attribute_id")
-    missing = vote_todo(groups, own, key, len(VOTE_AGGREGATIONS))
-    asked = prompts.join(missing.withColumnRenamed("hypothesis_version", "version"), ["attribute_id", "version"], "left_semi")
-    _merged_metrics(evaluate_votes(vote_predictions(asked, factory), model), VOTE_METRICS_KEY, seconds, at, run)
+    groups = version_lists(attributes).select("attribute_id", F.col("version").alias("hypothesis_version"))
+    missing = materialize(vote_todo(groups, own, key, len(VOTE_AGGREGATIONS)).withColumnRenamed("hypothesis_version", "version"))
+    rows = stored.limit(0)
+    if not missing.isEmpty():
+        asked = prompt_chunks(texts, truth, attributes, text, only=missing, **options)
+        rows = evaluate_votes(vote_predictions(asked, factory), model)
+    _merged_metrics(rows, VOTE_METRICS_KEY, seconds, at, run)
