@@ -468,8 +468,8 @@ def q_large_catalogue(spark, sf):
     words = docs(spark, sf).select("lang", F.explode(F.split(X.clean_issue_text("text"), " ")).alias("word")).filter("word <> ''")
     catalogue = embed(words.distinct().select(F.concat_ws(" ", "lang", "word").alias("word_no")), "word_no")
     texts = embed(docs(spark, sf).select("doc_id", "text"), "text")
-    hits = similarity.similar_words(texts, catalogue, 0.507, keep=("doc_id",), max_words=10_000)
-    return hits.groupBy("doc_id").agg(F.count("*").alias("words"), F.round(F.max("similarity"), 6).alias("best"), F.round(F.sum("similarity"), 4).alias("total"))
+    totals = similarity.similar_totals(texts, catalogue, 0.507, keep=("doc_id",), max_words=10_000)
+    return totals.select("doc_id", "words", F.round("best", 6).alias("best"), F.round("total", 4).alias("total"))
 
 
 @query

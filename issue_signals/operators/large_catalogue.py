@@ -14,6 +14,7 @@ than a shard is cut by hash. A threshold of 0 or less prunes nothing: every text
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -214,6 +215,54 @@ def large_similar_words(
     return hits.join(numbered.select("text_row", "kept"), "text_row").select("kept.*", "word_no", "similarity")
 
 
+def _classes(words: DataFrame) -> DataFrame:
+    """word_no, vector, copies: each vector of words once, with a number of its own and how many words have it.
+
+    Vectors are grouped as bytes, which are hashed; arrays would be sorted."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                counts = Counter(row.tobytes() for row in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()))], names=["key", "n"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            ends = np.cumsum([0, *(len(k) // 8 for k in keys)], dtype=np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(keys))))
+            yield pa.RecordBatch.from_arrays([batch.column("word_no"), vectors, batch.column("copies")], names=["word_no", "vector", "copies"])
+
+    found = words.filter("vector IS NOT NULL").select(F.col("vector").cast("array<double>").alias("vector")).mapInArrow(packed, "key binary, n long")
+    counted = found.groupBy("key").agg(F.sum("n").alias("copies")).select(F.xxhash64("key").alias("word_no"), "key", "copies")
+    return counted.mapInArrow(unpacked, "word_no long, vector array<double>, copies long")
+
+
+def large_similar_totals(texts: DataFrame, words: DataFrame, threshold: float, inclusive: bool = False, vector: str = "vector", keep: tuple[str, ...] = ("issue_id",), **sizes: int) -> DataFrame:
+    """keep..., words, best, total: per text with hits their number, the highest and the sum of their similarities.
+
+    Words with the same vector are one entry of the catalogue, with their number, and no pair leaves a task: the work
+    grows with the different vectors, not with the words. words has word_no and vector."""
+    catalogue = prepared(_classes(words), **sizes)
+    numbered = _numbered(texts, vector, list(keep))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given, matrix, rows, vectors in _groups(batches):
+            copies = given.column("copies").to_numpy()
+            sims = vectors @ matrix.T
+            hit = over(sims, threshold, inclusive)
+            some = np.flatnonzero(hit.any(axis=1))
+            hit, sims = hit[some], sims[some]
+            best = np.where(hit, sims, -np.inf).max(axis=1, initial=-np.inf)
+            found = [pa.array(rows[some]), pa.array(hit @ copies), pa.array(best), pa.array(np.where(hit, sims, 0.0) @ copies.astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(found, names=["text_row", "words", "best", "total"])
+
+    parts = _met(numbered, catalogue, threshold, ["copies"]).mapInArrow(score, "text_row long, words long, best double, total double")
+    totals = parts.groupBy("text_row").agg(F.sum("words").alias("words"), F.max("best").alias("best"), F.sum("total").alias("total"))
+    return totals.join(numbered.select("text_row", "kept"), "text_row").select("kept.*", "words", "best", "total")
+
+
 def large_mention_scores(texts: DataFrame, words: DataFrame, threshold: float, vector: str = "vector", keep: tuple[str, ...] = ("issue_id",), **sizes: int) -> DataFrame:
     """keep..., criteria, words, score: per text and criteria the similar words and the sum of similarity times weight.
 

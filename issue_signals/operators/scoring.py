@@ -71,7 +71,8 @@ def embed(df: DataFrame, text: str = "text", factory: Factory | None = None, dim
             numbers = np.concatenate(vectors) if vectors else np.zeros(0)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers), mask=texts.is_null())
 
-    return df.withColumn(name, encode(F.col(text)))
+    # "not deterministic" keeps Spark from moving a filter on the vector, and the model with it, below a distinct or a join
+    return df.withColumn(name, encode.asNondeterministic()(F.col(text)))
 
 
 def lexicon_compound(

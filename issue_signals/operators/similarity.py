@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from ..fixed_values import MATCH_THRESHOLD, MENTION_THRESHOLD
-from .large_catalogue import PRODUCT, large_mention_scores, large_similar_words, over, unit_rows, vector_matrix
+from .large_catalogue import PRODUCT, large_mention_scores, large_similar_totals, large_similar_words, over, unit_rows, vector_matrix
 from .skew import bounded_rows, lookup_join
 
 #: Words, and bytes of their vectors, up to which every task holds the catalogue.
@@ -137,6 +137,29 @@ def similar_words(
     return _hits(texts, vector, keep, held, number, threshold, inclusive)
 
 
+def similar_totals(
+    texts: DataFrame,
+    words: DataFrame,
+    threshold: float = MENTION_THRESHOLD,
+    inclusive: bool = False,
+    vector: str = "vector",
+    keep: tuple[str, ...] = ("issue_id",),
+    max_words: int = MAX_WORDS,
+    max_bytes: int = MAX_BYTES,
+) -> DataFrame:
+    """keep..., words, best, total: per value of keep the number of the pairs of similar_words, the highest and the sum of their similarities."""
+    keep = list(keep)
+    catalogue = words.select("word_no", F.col("vector").cast("array<double>").alias("vector"))
+    held = _held(catalogue, max_words, max_bytes)
+    if held is None:
+        found = large_similar_totals(texts, catalogue, threshold, inclusive, vector, tuple(keep))
+    else:
+        found = similar_words(texts, words, threshold, inclusive, vector, tuple(keep), max_words, max_bytes).select(
+            *keep, F.lit(1).cast("long").alias("words"), F.col("similarity").alias("best"), F.col("similarity").alias("total")
+        )
+    return found.groupBy(*keep).agg(F.sum("words").alias("words"), F.max("best").alias("best"), F.sum("total").alias("total"))
+
+
 def mention_scores(
     texts: DataFrame,
     words: DataFrame,
