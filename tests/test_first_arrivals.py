@@ -86,3 +86,13 @@ def test_rows_come_back_as_they_were(spark, tmp_path):
     stream.writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "mark")).start().awaitTermination()
     one, two = (sorted(map(str, df.select(*rows.columns).collect())) for df in (spark.read.schema(kinds).parquet(str(tmp_path / "in")), spark.table("arrived")))
     assert one == two and len(one) == 6
+
+
+def test_large_ids_beside_a_missing_one_stay_apart(spark, tmp_path):
+    """Before, ids were doubles beside a NULL, and a call of Python was made for each key of a batch."""
+    source, table = tmp_path / "in", tmp_path / "issues"
+    ids = [2**60 + k for k in range(40)]
+    landed(source, 1, [{"title": "none"}, *({"id": k, "title": "first"} for k in ids)])
+    query = start(spark, source, table, tmp_path / "mark")
+    assert titles(spark, table) == [(-1, "none"), *((k, "first") for k in ids)]
+    assert query.lastProgress["stateOperators"][0]["operatorName"] == "dedupe"  # Spark's own, no state in Python
