@@ -24,6 +24,8 @@ from .skew import bounded_rows, lookup_join
 
 #: Words, and bytes of their vectors, up to which every task holds the catalogue.
 MAX_WORDS, MAX_BYTES = 50_000, 64 << 20
+#: Digits of a similarity that do not depend on the order in which its products are summed.
+DIGITS = 12
 WORD_FIELDS = "word_no long, criteria string, word string, weight double, vector array<double>"
 
 
@@ -220,9 +222,13 @@ def attribute_matches(
     **bounds: int,
 ) -> DataFrame:
     """keep..., attribute, similarity_score: attributes whose definition is at least threshold similar
-    to the text, rounded to 4. attributes has word_no, attribute and vector."""
-    hits = similar_words(texts, attributes, threshold, True, vector, keep, **bounds)
-    named = lookup_join(hits, attributes.select("word_no", "attribute"), ["word_no"], "inner")
+    to the text, rounded to 4. attributes has word_no, attribute and vector.
+
+    A similarity is the sum of products of rounded numbers, so that 0.3 may come as 0.29999999999999993, by the order of
+    the sum. It is taken to DIGITS digits first: what lies on the threshold or halfway between two scores does not depend on that."""
+    hits = similar_words(texts, attributes, threshold - 10.0**-DIGITS, True, vector, keep, **bounds)
+    near = hits.withColumn("similarity", F.round("similarity", DIGITS)).filter(F.col("similarity") >= threshold)
+    named = lookup_join(near, attributes.select("word_no", "attribute"), ["word_no"], "inner")
     return named.select(*keep, "attribute", F.round("similarity", 4).alias("similarity_score"))
 
 
