@@ -741,8 +741,7 @@ def q_criteria_report(spark, sf):
 
 
 def _neighbours(spark, sf):
-    words = reports.content_words(docs(spark, sf).select("text"), T.STOP_WORDS)
-    return reports.neighbour_counts(words)
+    return reports.text_neighbours(docs(spark, sf).select("text"), T.STOP_WORDS)
 
 
 @query

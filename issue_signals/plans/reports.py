@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_issue_text
+from ..operators.scoring import clean_words
 from ..operators.skew import lookup_join, top_n_per_key
 from ..operators.summaries import histogram, sentiment_table, value_counts
-from ..session import materialize
+from ..session import materialize, small_batches
+
+#: Words whose pairs a task counts at once.
+PAIR_WORDS = 1 << 20
 
 
 def chart_tables(mentions: DataFrame) -> dict[str, DataFrame]:
@@ -53,16 +59,57 @@ def neighbour_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     Pairs are counted in the task before the shuffle, so frequent pairs stay cheap.
     """
     words = F.col(tokens)
-
-    def pairs(a, b):
-        return F.array(
-            F.struct(a.alias("word"), b.alias("neighbour")), F.struct(b.alias("word"), a.alias("neighbour"))
-        )
-
     following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
     before = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    rows = df.select(F.explode(F.zip_with(before, following, pairs)).alias("pair")).select(F.inline("pair"))
-    return rows.groupBy("word", "neighbour").agg(F.count("*").alias("n"))
+    pair = F.zip_with(before, following, lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.lit(1).cast("long").alias("n")))
+    return _both_ways(df.select(F.inline(pair)))
+
+
+def text_neighbours(df: DataFrame, stop_words: Sequence[str], text: str = "text") -> DataFrame:
+    """The neighbour_counts of the content_words of texts, in one pass over the texts: a task names the words of some
+    PAIR_WORDS by number, counts their pairs as numbers and sends each pair once."""
+    small_batches(df.sparkSession)
+    left_out = frozenset(w.encode() for w in stop_words)
+
+    def counted(rows: list[list[int]], number: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        names = sorted(number)
+        place = np.empty(len(names), np.int64)
+        place[[number[w] for w in names]] = np.arange(len(names))
+        flat = place[np.fromiter((k for row in rows for k in row), np.int64)]
+        ends = np.cumsum([len(row) for row in rows])[:-1]  # the last word of a text and the first of the next are no pair
+        one, two = np.delete(flat[:-1], ends - 1), np.delete(flat[1:], ends - 1)
+        pairs, n = np.unique(np.minimum(one, two) * len(names) + np.maximum(one, two), return_counts=True)
+        words = pa.array(names, pa.binary()).cast(pa.string())
+        for low in range(0, len(pairs), 1 << 16):
+            part = pairs[low : low + (1 << 16)]
+            sides = [words.take(pa.array(part // len(names))), words.take(pa.array(part % len(names)))]
+            yield pa.RecordBatch.from_arrays([*sides, pa.array(n[low : low + (1 << 16)])], names=["a", "b", "n"])
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list[int]] = []
+        number: dict[bytes, int] = {}
+        held = 0
+        for batch in batches:
+            for found in batch.column(0).to_pylist():
+                row = [number.setdefault(w, len(number)) for w in clean_words(found or "") if w not in left_out]
+                if len(row) > 1:
+                    rows.append(row)
+                    held += len(row)
+                if held >= PAIR_WORDS:
+                    yield from counted(rows, number)
+                    rows, number, held = [], {}, 0
+        if rows:
+            yield from counted(rows, number)
+
+    return _both_ways(df.select(text).mapInArrow(pairs_of, "a string, b string, n long"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """word, neighbour, n from counted pairs a <= b: a pair is summed once and then stands for both its words."""
+    met = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    own = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("neighbour"), (F.col("n") * 2).alias("n")))
+    two = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("neighbour"), "n"), F.struct(F.col("b").alias("word"), F.col("a").alias("neighbour"), "n"))
+    return met.select(F.inline(F.when(F.col("a") == F.col("b"), own).otherwise(two)))
 
 
 def synonyms(neighbours: DataFrame, criteria: DataFrame, top: int = 10) -> DataFrame:
@@ -70,12 +117,12 @@ def synonyms(neighbours: DataFrame, criteria: DataFrame, top: int = 10) -> DataF
 
     A word's vector is its neighbour counts; the score is the cosine. Only words that share a
     neighbour with a criterion get a product, found by an equality join on the neighbour. The counts
-    are written once, as four steps read them.
+    are written once, as four steps read them, and those of the criteria, so that Spark knows how few they are.
     """
     neighbours = materialize(neighbours)
     lengths = neighbours.groupBy("word").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
     wanted = lookup_join(neighbours, criteria.select(F.col("criteria").alias("word")).distinct(), ["word"])
-    left = wanted.select(F.col("word").alias("criteria"), "neighbour", F.col("n").alias("m"))
+    left = materialize(wanted.select(F.col("word").alias("criteria"), "neighbour", F.col("n").alias("m")))
     shared = lookup_join(neighbours, left, ["neighbour"], "inner")
     dots = shared.groupBy("criteria", "word").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     of_criteria = lengths.select(F.col("word").alias("criteria"), F.col("length").alias("criteria_length"))
