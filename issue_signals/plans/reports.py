@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,35 +72,36 @@ def text_neighbours(df: DataFrame, stop_words: Sequence[str], text: str = "text"
     small_batches(df.sparkSession)
     left_out = frozenset(w.encode() for w in stop_words)
 
-    def counted(rows: list[list[int]], number: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        names = sorted(number)
+    def counted(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        named = pa.array([w for row in rows for w in row], pa.binary()).dictionary_encode()
+        order = pc.sort_indices(named.dictionary)
+        names = named.dictionary.take(order)
         place = np.empty(len(names), np.int64)
-        place[[number[w] for w in names]] = np.arange(len(names))
-        flat = place[np.fromiter((k for row in rows for k in row), np.int64)]
+        place[order.to_numpy()] = np.arange(len(names))
+        flat = place[named.indices.to_numpy()]
         ends = np.cumsum([len(row) for row in rows])[:-1]  # the last word of a text and the first of the next are no pair
         one, two = np.delete(flat[:-1], ends - 1), np.delete(flat[1:], ends - 1)
         pairs, n = np.unique(np.minimum(one, two) * len(names) + np.maximum(one, two), return_counts=True)
-        words = pa.array(names, pa.binary()).cast(pa.string())
+        words = names.cast(pa.string())
         for low in range(0, len(pairs), 1 << 16):
             part = pairs[low : low + (1 << 16)]
             sides = [words.take(pa.array(part // len(names))), words.take(pa.array(part % len(names)))]
             yield pa.RecordBatch.from_arrays([*sides, pa.array(n[low : low + (1 << 16)])], names=["a", "b", "n"])
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list[int]] = []
-        number: dict[bytes, int] = {}
+        rows: list[list[bytes]] = []
         held = 0
         for batch in batches:
             for found in batch.column(0).to_pylist():
-                row = [number.setdefault(w, len(number)) for w in clean_words(found or "") if w not in left_out]
+                row = [w for w in clean_words(found or "") if w not in left_out]
                 if len(row) > 1:
                     rows.append(row)
                     held += len(row)
                 if held >= PAIR_WORDS:
-                    yield from counted(rows, number)
-                    rows, number, held = [], {}, 0
+                    yield from counted(rows)
+                    rows, held = [], 0
         if rows:
-            yield from counted(rows, number)
+            yield from counted(rows)
 
     return _both_ways(df.select(text).mapInArrow(pairs_of, "a string, b string, n long"))
 
