@@ -1,10 +1,13 @@
 """Dense word vectors from neighbour counts, trained on executors.
 
 The counts become a sparse symmetric matrix of positive pointwise mutual information. Its leading singular
-vectors are found by subspace iteration from random signs: a join of the matrix with one row per word,
-a sum per word, and an orthonormal basis of the result. The basis comes from the Gram matrix of the rows, which has
-as many rows and columns as a vector has numbers; that matrix is all that the driver sees. Words are rows throughout,
-so the vocabulary can be of any size.
+vectors are found by subspace iteration from random signs: a product of the matrix with one row per word, and an
+orthonormal basis of the result, which comes from the Gram matrix of the rows, as wide as a vector.
+
+Nearly every pair of neighbours has a frequent word. The HUBS most frequent words are numbered, and their rows, bounded by
+that number, are broadcast in each round. Every word is stored with the numbers and values of its frequent neighbours, so
+that a task makes its words' sums from the broadcast rows and what they add to the frequent words in total: no entry of
+the matrix is sent. Only pairs of two rare words are joined. The vocabulary can be of any size.
 """
 
 from __future__ import annotations
@@ -13,28 +16,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..session import materialize
+from ..session import materialize, small_batches
 from .similarity import similar_words
 from .skew import top_n_per_key
 
 #: Numbers of a vector, further numbers of the iteration, rounds, and occurrences that a word needs.
 DIM, EXTRA, ROUNDS, MIN_COUNT, SEED = 32, 8, 5, 5, 17
+#: Words whose rows are broadcast, and entries of the matrix that are multiplied at once.
+HUBS, STEP = 1 << 17, 1 << 15
+
+
+def _both(pairs: DataFrame, one: list[Column], two: list[Column]) -> DataFrame:
+    """Of every pair word <= neighbour the fields seen from either word; a word beside itself is seen once."""
+    own, other = F.struct(*one), F.struct(*two)
+    return pairs.select(F.inline(F.when(F.col("word") == F.col("neighbour"), F.array(own)).otherwise(F.array(own, other))))
+
 
+def _words(pairs: DataFrame, min_count: int, hubs: int) -> DataFrame:
+    """word, of_word, hub: the words with at least min_count neighbours, and the numbers of the most frequent ones."""
+    counted = _both(pairs, [F.col("word"), F.col("n")], [F.col("neighbour").alias("word"), F.col("n")]).groupBy("word")
+    of_word = materialize(counted.agg(F.sum("n").cast("double").alias("of_word")).filter(F.col("of_word") >= min_count))
+    order = [F.desc("of_word"), F.col("word")]
+    top = of_word.orderBy(*order).limit(hubs).select("word", (F.row_number().over(Window.orderBy(*order)) - 1).alias("hub"))
+    return materialize(of_word.join(top, "word", "left"))
 
-def mutual_information(neighbours: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """word, neighbour, value: the positive logarithms of n x total / (n of word x n of neighbour).
+
+def mutual_information(neighbours: DataFrame, min_count: int = MIN_COUNT, hubs: int = HUBS) -> DataFrame:
+    """word, neighbour, hub, other, value: the positive logarithms of n x total / (n of word x n of neighbour), each
+    pair once, word <= neighbour; hub and other are their numbers among the `hubs` most frequent words, or null.
 
     neighbours has word, neighbour and n, both ways. Words with fewer than min_count neighbours are left out."""
-    of_word = neighbours.groupBy("word").agg(F.sum("n").cast("double").alias("of_word")).filter(F.col("of_word") >= min_count)
-    of_neighbour = of_word.select(F.col("word").alias("neighbour"), F.col("of_word").alias("of_neighbour"))
-    met = materialize(neighbours.join(of_word, "word").join(of_neighbour, "neighbour"))
-    total = float(met.agg(F.sum("n")).first()[0] or 0)
+    pairs = materialize(neighbours.filter("word <= neighbour").select("word", "neighbour", "n"))
+    words = _words(pairs, min_count, hubs)
+    near = words.toDF("neighbour", "of_neighbour", "other")
+    met = materialize(pairs.join(words, "word").join(near, "neighbour"))
+    total = float(met.agg(F.sum(F.when(F.col("word") == F.col("neighbour"), F.col("n")).otherwise(2 * F.col("n")))).first()[0] or 0)
     value = F.log(F.col("n") * total / (F.col("of_word") * F.col("of_neighbour")))
-    return met.select("word", "neighbour", value.alias("value")).filter("value > 0")
+    return met.select("word", "neighbour", "hub", "other", value.alias("value")).filter("value > 0")
+
+
+def _lists(matrix: DataFrame) -> DataFrame:
+    """word, hub, others, values, mixed: every word of the matrix with its frequent neighbours (HUBS at most), and
+    whether it is a rare word with rare neighbours."""
+    columns = ["word", "hub", "other", "value"]
+    back = [F.col(a).alias(b) for a, b in zip(["neighbour", "other", "hub", "value"], columns)]
+    entry = F.when(F.col("other").isNotNull(), F.struct("other", "value"))
+    grouped = _both(matrix, [F.col(c) for c in columns], back).repartition("word").groupBy("word")
+    rare = F.bool_or(F.col("hub").isNull() & F.col("other").isNull())
+    found = grouped.agg(F.max("hub").alias("hub"), F.collect_list(entry).alias("entries"), rare.alias("mixed"))
+    return materialize(found.select("word", "hub", F.col("entries.other").alias("others"), F.col("entries.value").alias("values"), "mixed"))
 
 
 def _names(width: int) -> list[str]:
@@ -46,13 +81,6 @@ def _signs(word: Column, width: int, seed: int) -> list[Column]:
     return [(F.pmod(F.xxhash64(word, F.lit(seed), F.lit(k)), F.lit(2)) * 2 - 1).cast("double").alias(name) for k, name in enumerate(_names(width))]
 
 
-def _product(matrix: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """matrix x rows: per word the sum of its neighbours' rows, each times the value of the pair."""
-    given = rows.withColumnRenamed("word", "neighbour")
-    sums = [F.sum(F.col("value") * F.col(x)).alias(x) for x in _names(width)]
-    return matrix.join(given, "neighbour").groupBy("word").agg(*sums)
-
-
 def _numbers(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(x).to_numpy() for x in names], axis=1)
 
@@ -76,6 +104,104 @@ def gram(rows: DataFrame, width: int) -> np.ndarray:
     return out.reshape(width, width)
 
 
+def _add(into: np.ndarray, at: np.ndarray, values: np.ndarray, rows: np.ndarray, picked: np.ndarray) -> None:
+    """Add values x rows[picked] to the rows `at` (ascending) of into."""
+    for low in range(0, len(at), STEP):
+        part = slice(low, low + STEP)
+        first = np.flatnonzero(np.diff(at[part], prepend=-1))
+        into[at[part][first]] += np.add.reduceat(values[part, None] * rows[picked[part]], first, axis=0)
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lists of a batch: the row, the frequent neighbour and the value of each entry."""
+    lengths = np.diff(batch.column("others").offsets.to_numpy())
+    return np.repeat(np.arange(len(batch)), lengths), *(batch.column(c).flatten().to_numpy() for c in ("others", "values"))
+
+
+def _hub_sums(hubs: DataFrame, shared, width: int) -> DataFrame:
+    """hub, x...: the sums of the frequent words over their frequent neighbours, a row each."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.zeros((len(batch), width))
+            owner, other, value = _entries(batch)
+            _add(sums, owner, value, shared.value[0], other)
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), *[pa.array(c) for c in sums.T]], names=["hub", *_names(width)])
+
+    schema = StructType([hubs.schema["hub"], *[StructField(x, DoubleType()) for x in _names(width)]])
+    return hubs.select("hub", "others", "values").mapInArrow(apply, schema)
+
+
+def _rare_sums(rare: DataFrame, shared, width: int) -> DataFrame:
+    """The rare words with the sums over their frequent neighbours in place of their rows, and for each task and frequent
+    word (hub, and no word) what the task's words add to it."""
+    names, columns = _names(width), ["word", "others", "values", "mixed"]
+    schema = StructType([StructField("hub", IntegerType()), *[rare.schema[c] for c in columns], *[StructField(x, DoubleType()) for x in names]])
+    types = to_arrow_schema(schema)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, turn = shared.value
+        given = np.zeros((len(rows), width))
+        seen = np.zeros(len(rows), bool)
+        for batch in batches:
+            sums = np.zeros((len(batch), width))
+            owner, other, value = _entries(batch)
+            _add(sums, owner, value, rows, other)
+            order = np.argsort(other, kind="stable")
+            _add(given, other[order], value[order], _numbers(batch, names) @ turn, owner[order])
+            seen[other] = True
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int32()), *[batch.column(c) for c in columns], *[pa.array(c) for c in sums.T]], schema=types)
+        found = np.flatnonzero(seen)
+        for low in range(0, len(found), STEP):
+            at = found[low : low + STEP]
+            absent = [pa.nulls(len(at), types.field(c).type) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *absent, *[pa.array(c) for c in given[at].T]], schema=types)
+
+    return rare.select(*columns, *names).mapInArrow(apply, schema)
+
+
+def _hub_rows(sums: DataFrame, count: int, width: int) -> np.ndarray:
+    """The rows of the frequent words, from (hub, x...) summed by hub: count x width numbers at most."""
+    found = sums.groupBy("hub").agg(*[F.sum(x).alias(x) for x in _names(width)]).toArrow()
+    out = np.zeros((count, width))
+    out[found.column("hub").to_numpy()] = np.stack([found.column(x).to_numpy() for x in _names(width)], axis=1)
+    return out
+
+
+def _product(lists: DataFrame, rest: DataFrame | None, rare: DataFrame, hub_rows: np.ndarray, turn: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """matrix x rows x turn, for the rows of the rare words, which come with their lists, and of the frequent ones.
+    rest has the entries of two rare words, both ways."""
+    width = hub_rows.shape[1]
+    names = _names(width)
+    shared = rare.sparkSession.sparkContext.broadcast((hub_rows @ turn, turn))
+    made = materialize(_rare_sums(rare, shared, width))
+    sums = _hub_sums(lists.filter("hub is not null"), shared, width).unionByName(made.filter("word is null").select("hub", *names))
+    hub_sums = _hub_rows(sums, len(hub_rows), width)
+    shared.unpersist()
+    own = made.filter("word is not null").drop("hub")
+    if rest is None:
+        return own, hub_sums
+    given = rare.filter("mixed").select(F.col("word").alias("neighbour"), *names)
+    more = _turned(rest.join(given, "neighbour").groupBy("word").agg(*[F.sum(F.col("value") * F.col(x)).alias(x) for x in names]), turn)
+    added = own.filter("mixed").join(more.toDF("word", *[f"more_{x}" for x in names]), "word", "left")
+    both = [(F.col(x) + F.coalesce(f"more_{x}", F.lit(0.0))).alias(x) for x in names]
+    return own.filter("not mixed").unionByName(materialize(added.select("word", "others", "values", "mixed", *both))), hub_sums
+
+
+def _named(hubs: DataFrame, rows: np.ndarray) -> DataFrame:
+    """word, x...: the rows of the frequent words."""
+    names = _names(rows.shape[1])
+    shared = hubs.sparkSession.sparkContext.broadcast(rows)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = shared.value[batch.column("hub").to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), *[pa.array(c) for c in own.T]], names=["word", *names])
+
+    schema = StructType([hubs.schema["word"], *[StructField(x, DoubleType()) for x in names]])
+    return hubs.select("word", "hub").mapInArrow(apply, schema)
+
+
 def _turned(rows: DataFrame, turn: np.ndarray) -> DataFrame:
     """Every row times the small matrix `turn`."""
     names, out = _names(turn.shape[0]), _names(turn.shape[1])
@@ -102,16 +228,24 @@ def _basis(product: np.ndarray, power: float) -> np.ndarray:
 def word_vectors(neighbours: DataFrame, dim: int = DIM, extra: int = EXTRA, rounds: int = ROUNDS, min_count: int = MIN_COUNT, seed: int = SEED) -> DataFrame:
     """word, vector: for every word its coordinates along the dim leading singular vectors, times the roots of their values.
 
-    Each round writes the rows of the words once, dim + extra numbers each. No neighbours, no vectors."""
+    Each round writes the rows of the rare words once, dim + extra numbers each. No neighbours, no vectors."""
     width = dim + extra
-    matrix = materialize(mutual_information(neighbours, min_count))
-    rows = matrix.select("word").distinct().select("word", *_signs(F.col("word"), width, seed))
-    for _ in range(rounds):
-        rows = materialize(_product(matrix, rows, width))
-        rows = _turned(rows, _basis(gram(rows, width), -1.0))  # orthonormal columns
-    rows = materialize(_product(matrix, rows, width))
-    # the columns' lengths are the singular values; what is left of them is their root
-    rows = _turned(rows, _basis(gram(rows, width), -0.5)[:, :dim])
+    names = _names(width)
+    small_batches(neighbours.sparkSession)
+    matrix = mutual_information(neighbours, min_count, HUBS)
+    lists = _lists(matrix)
+    pairs = _both(matrix.filter("hub is null and other is null"), [F.col(c) for c in ("word", "neighbour", "value")], [F.col("neighbour").alias("word"), F.col("word").alias("neighbour"), F.col("value")])
+    rest = None if lists.filter("mixed").isEmpty() else materialize(pairs)
+    signs = _signs(F.col("word"), width, seed)
+    hubs = lists.filter("hub is not null")
+    rare = lists.filter("hub is null").select("word", "others", "values", "mixed", *signs)
+    count = (hubs.agg(F.max("hub")).first()[0] or 0) + 1
+    hub_rows, turn = _hub_rows(hubs.select("hub", *signs), count, width), np.eye(width)
+    for k in range(rounds + 1):
+        rare, hub_rows = _product(lists, rest, rare, hub_rows, turn)
+        # orthonormal columns; in the end the columns' lengths are the singular values, and what is left of them is their root
+        turn = _basis(gram(rare, width) + hub_rows.T @ hub_rows, -1.0 if k < rounds else -0.5)
+    rows = _turned(rare.select("word", *names), turn[:, :dim]).unionByName(_named(hubs, hub_rows @ turn[:, :dim]))
     return materialize(rows.select("word", F.array(*_names(dim)).alias("vector")))
 
 

@@ -70,3 +70,31 @@ def test_query_ranks_words_of_the_corpus(spark):
     rows = QUERIES["q_trained_synonyms"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.criteria != r.similar_word and 0 < r.max_w2v_score <= 1 for r in rows)
     assert max(Counter(r.criteria for r in rows).values()) <= 10
+
+
+def test_vectors_do_not_depend_on_the_number_of_frequent_words(spark, monkeypatch):
+    """None or few of the words as frequent ones: pairs of two rare words count too."""
+    rows = planted(6)
+    names, want = exact_vectors(rows, 6, 20)
+    for hubs in (0, 25):
+        monkeypatch.setattr(wv, "HUBS", hubs)
+        monkeypatch.setattr(wv, "STEP", 7 if hubs == 25 else 1 << 15)
+        got = {r.word: r.vector for r in wv.word_vectors(neighbour_counts(spark.createDataFrame(rows, "tokens array<string>")), 6, 10, 12, 20).collect()}
+        assert sorted(got) == names
+        own = np.array([got[w] for w in names])
+        assert np.abs(own @ own.T - want @ want.T).max() < 0.02 * np.abs(want @ want.T).max(), hubs
+
+
+def test_a_product_sends_rows_of_words_and_not_of_pairs(spark, monkeypatch):
+    """What is summed after the shuffle: a row of a frequent word, and one for each task with rare neighbours of it."""
+    sent = []
+
+    def spy(sums, count, width, rows=wv._hub_rows):
+        sent.append(sums.count())
+        return rows(sums, count, width)
+
+    monkeypatch.setattr(wv, "HUBS", 60)
+    monkeypatch.setattr(wv, "_hub_rows", spy)
+    neighbours = neighbour_counts(spark.createDataFrame(planted(6), "tokens array<string>"))
+    words = wv.word_vectors(neighbours, 4, 4, 1, 5).count()
+    assert len(sent) == 3 and max(sent) <= 60 * (1 + 4) < neighbours.count() and words > 60
