@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..session import materialize, small_batches
@@ -46,30 +45,37 @@ def _words(pairs: DataFrame, min_count: int, hubs: int) -> DataFrame:
     return materialize(of_word.join(top, "word", "left"))
 
 
-def mutual_information(neighbours: DataFrame, min_count: int = MIN_COUNT, hubs: int = HUBS) -> DataFrame:
+def mutual_information(neighbours: DataFrame, min_count: int = MIN_COUNT, hubs: int = HUBS) -> tuple[DataFrame, DataFrame]:
     """word, neighbour, hub, other, value: the positive logarithms of n x total / (n of word x n of neighbour), each
-    pair once, word <= neighbour; hub and other are their numbers among the `hubs` most frequent words, or null.
+    pair once, word <= neighbour; hub and other are their numbers among the `hubs` most frequent words, or null. And
+    those words: word, hub.
 
-    neighbours has word, neighbour and n, both ways. Words with fewer than min_count neighbours are left out."""
+    neighbours has word, neighbour and n, both ways. Words with fewer than min_count neighbours are left out. Frequent
+    words are looked up in a broadcast table; only pairs with a rare word are shuffled."""
     pairs = materialize(neighbours.filter("word <= neighbour").select("word", "neighbour", "n"))
     words = _words(pairs, min_count, hubs)
     near = words.toDF("neighbour", "of_neighbour", "other")
-    met = materialize(pairs.join(words, "word").join(near, "neighbour"))
+    frequent = words.filter("hub is not null")
+    seen = pairs.join(F.broadcast(frequent), "word", "left").join(F.broadcast(near.filter("other is not null")), "neighbour", "left")
+    some = seen.filter("hub is null or other is null").select("word", "neighbour", "n").join(words, "word").join(near, "neighbour")
+    met = materialize(seen.filter("hub is not null and other is not null").unionByName(some))
     total = float(met.agg(F.sum(F.when(F.col("word") == F.col("neighbour"), F.col("n")).otherwise(2 * F.col("n")))).first()[0] or 0)
     value = F.log(F.col("n") * total / (F.col("of_word") * F.col("of_neighbour")))
-    return met.select("word", "neighbour", "hub", "other", value.alias("value")).filter("value > 0")
+    return met.select("word", "neighbour", "hub", "other", value.alias("value")).filter("value > 0"), frequent.select("word", "hub")
 
 
-def _lists(matrix: DataFrame) -> DataFrame:
-    """word, hub, others, values, mixed: every word of the matrix with its frequent neighbours (HUBS at most), and
-    whether it is a rare word with rare neighbours."""
+def _lists(matrix: DataFrame, frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The frequent and the rare words of the matrix with their frequent neighbours (HUBS at most): word, hub, others,
+    values, and word, others, values, mixed, which tells whether a rare word has rare neighbours."""
     columns = ["word", "hub", "other", "value"]
     back = [F.col(a).alias(b) for a, b in zip(["neighbour", "other", "hub", "value"], columns)]
-    entry = F.when(F.col("other").isNotNull(), F.struct("other", "value"))
-    grouped = _both(matrix, [F.col(c) for c in columns], back).repartition("word").groupBy("word")
-    rare = F.bool_or(F.col("hub").isNull() & F.col("other").isNull())
-    found = grouped.agg(F.max("hub").alias("hub"), F.collect_list(entry).alias("entries"), rare.alias("mixed"))
-    return materialize(found.select("word", "hub", F.col("entries.other").alias("others"), F.col("entries.value").alias("values"), "mixed"))
+    sides = _both(matrix, [F.col(c) for c in columns], back)
+    entries = F.collect_list(F.when(F.col("other").isNotNull(), F.struct("other", "value"))).alias("entries")
+    lists = [F.col("entries.other").alias("others"), F.col("entries.value").alias("values")]
+    of_hub = sides.filter("hub is not null").select("hub", "other", "value").repartition("hub").groupBy("hub").agg(entries)
+    of_rare = sides.filter("hub is null").repartition("word").groupBy("word").agg(entries, F.bool_or(F.col("other").isNull()).alias("mixed"))
+    hubs = of_hub.join(F.broadcast(frequent), "hub").select("word", "hub", *lists)
+    return materialize(hubs), materialize(of_rare.select("word", *lists, "mixed"))
 
 
 def _names(width: int) -> list[str]:
@@ -118,46 +124,39 @@ def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.repeat(np.arange(len(batch)), lengths), *(batch.column(c).flatten().to_numpy() for c in ("others", "values"))
 
 
-def _hub_sums(hubs: DataFrame, shared, width: int) -> DataFrame:
-    """hub, x...: the sums of the frequent words over their frequent neighbours, a row each."""
+def _sums(lists: DataFrame, kept: list[str], shared, width: int) -> DataFrame:
+    """The columns kept, and x...: the sum of every word over its frequent neighbours."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = np.zeros((len(batch), width))
             owner, other, value = _entries(batch)
             _add(sums, owner, value, shared.value[0], other)
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), *[pa.array(c) for c in sums.T]], names=["hub", *_names(width)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c) for c in sums.T]], names=[*kept, *_names(width)])
 
-    schema = StructType([hubs.schema["hub"], *[StructField(x, DoubleType()) for x in _names(width)]])
-    return hubs.select("hub", "others", "values").mapInArrow(apply, schema)
+    schema = StructType([*[lists.schema[c] for c in kept], *[StructField(x, DoubleType()) for x in _names(width)]])
+    return lists.select(*dict.fromkeys([*kept, "others", "values"])).mapInArrow(apply, schema)
 
 
-def _rare_sums(rare: DataFrame, shared, width: int) -> DataFrame:
-    """The rare words with the sums over their frequent neighbours in place of their rows, and for each task and frequent
-    word (hub, and no word) what the task's words add to it."""
-    names, columns = _names(width), ["word", "others", "values", "mixed"]
-    schema = StructType([StructField("hub", IntegerType()), *[rare.schema[c] for c in columns], *[StructField(x, DoubleType()) for x in names]])
-    types = to_arrow_schema(schema)
+def _given(rare: DataFrame, shared, width: int) -> DataFrame:
+    """hub, x...: what the rare words of a task add to each of their frequent neighbours."""
+    names = _names(width)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, turn = shared.value
-        given = np.zeros((len(rows), width))
-        seen = np.zeros(len(rows), bool)
+        given, seen = np.zeros((len(rows), width)), np.zeros(len(rows), bool)
         for batch in batches:
-            sums = np.zeros((len(batch), width))
             owner, other, value = _entries(batch)
-            _add(sums, owner, value, rows, other)
             order = np.argsort(other, kind="stable")
             _add(given, other[order], value[order], _numbers(batch, names) @ turn, owner[order])
             seen[other] = True
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int32()), *[batch.column(c) for c in columns], *[pa.array(c) for c in sums.T]], schema=types)
         found = np.flatnonzero(seen)
         for low in range(0, len(found), STEP):
             at = found[low : low + STEP]
-            absent = [pa.nulls(len(at), types.field(c).type) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *absent, *[pa.array(c) for c in given[at].T]], schema=types)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(c) for c in given[at].T]], names=["hub", *names])
 
-    return rare.select(*columns, *names).mapInArrow(apply, schema)
+    schema = StructType([StructField("hub", IntegerType()), *[StructField(x, DoubleType()) for x in names]])
+    return rare.select("others", "values", *names).mapInArrow(apply, schema)
 
 
 def _hub_rows(sums: DataFrame, count: int, width: int) -> np.ndarray:
@@ -168,17 +167,16 @@ def _hub_rows(sums: DataFrame, count: int, width: int) -> np.ndarray:
     return out
 
 
-def _product(lists: DataFrame, rest: DataFrame | None, rare: DataFrame, hub_rows: np.ndarray, turn: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+def _product(hubs: DataFrame, rest: DataFrame | None, rare: DataFrame, hub_rows: np.ndarray, turn: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """matrix x rows x turn, for the rows of the rare words, which come with their lists, and of the frequent ones.
     rest has the entries of two rare words, both ways."""
     width = hub_rows.shape[1]
     names = _names(width)
     shared = rare.sparkSession.sparkContext.broadcast((hub_rows @ turn, turn))
-    made = materialize(_rare_sums(rare, shared, width))
-    sums = _hub_sums(lists.filter("hub is not null"), shared, width).unionByName(made.filter("word is null").select("hub", *names))
+    own = materialize(_sums(rare, ["word", "others", "values", "mixed"], shared, width))
+    sums = _sums(hubs, ["hub"], shared, width).unionByName(_given(rare, shared, width))
     hub_sums = _hub_rows(sums, len(hub_rows), width)
     shared.unpersist()
-    own = made.filter("word is not null").drop("hub")
     if rest is None:
         return own, hub_sums
     given = rare.filter("mixed").select(F.col("word").alias("neighbour"), *names)
@@ -232,17 +230,16 @@ def word_vectors(neighbours: DataFrame, dim: int = DIM, extra: int = EXTRA, roun
     width = dim + extra
     names = _names(width)
     small_batches(neighbours.sparkSession)
-    matrix = mutual_information(neighbours, min_count, HUBS)
-    lists = _lists(matrix)
+    matrix, frequent = mutual_information(neighbours, min_count, HUBS)
+    hubs, rare = _lists(matrix, frequent)
     pairs = _both(matrix.filter("hub is null and other is null"), [F.col(c) for c in ("word", "neighbour", "value")], [F.col("neighbour").alias("word"), F.col("word").alias("neighbour"), F.col("value")])
-    rest = None if lists.filter("mixed").isEmpty() else materialize(pairs)
+    rest = None if rare.filter("mixed").isEmpty() else materialize(pairs)
     signs = _signs(F.col("word"), width, seed)
-    hubs = lists.filter("hub is not null")
-    rare = lists.filter("hub is null").select("word", "others", "values", "mixed", *signs)
+    rare = rare.select("*", *signs)
     count = (hubs.agg(F.max("hub")).first()[0] or 0) + 1
     hub_rows, turn = _hub_rows(hubs.select("hub", *signs), count, width), np.eye(width)
     for k in range(rounds + 1):
-        rare, hub_rows = _product(lists, rest, rare, hub_rows, turn)
+        rare, hub_rows = _product(hubs, rest, rare, hub_rows, turn)
         # orthonormal columns; in the end the columns' lengths are the singular values, and what is left of them is their root
         turn = _basis(gram(rare, width) + hub_rows.T @ hub_rows, -1.0 if k < rounds else -0.5)
     rows = _turned(rare.select("word", *names), turn[:, :dim]).unionByName(_named(hubs, hub_rows @ turn[:, :dim]))
