@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import classes, exact, repeats, sha, simhash, simhash_classes
 from pyspark.sql import functions as F
@@ -216,6 +217,26 @@ def test_suffixes_of_a_hot_anchor_do_not_meet_in_one_task(spark, monkeypatch):
     assert sum(met) < 100  # of some 300 suffixes of the passage alone; those left have at most 10 to a hash
 
 
+def test_memory_of_a_task_does_not_follow_the_length_of_texts(spark):
+    """Before, 500 texts of any length were one batch, 4,096 one array of the reader, and a batch's suffixes were held together."""
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        spark.conf.unset(key)
+    assert suffix_dedup.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    long = spark.range(200, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    sizes = long.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 8 << 20
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+
+    text = "".join(random.Random(8).choices("abcdefgh \n", k=60_000)).encode()
+    (found,) = suffix_dedup.anchors([text])
+    marks = [(*(int(x) for x in mark), False) for mark in zip(found[0].view(np.int64), *found[1:])]
+    rows = spark.createDataFrame([(b"id", text, marks)], "sha binary, text binary, anchors array<struct<hash:long,place:int,first:int,last:int,hot:boolean>>")
+    made = suffix_dedup._runs(rows, 1, 20_000).collect()
+    runs = [pickle.loads(r.run) for r in made if r.run is not None]
+    assert len(runs) > 5 and all(sum(map(len, rests)) + sum(len(p[0]) for p in payloads) <= 21_000 for _, rests, payloads in runs)
+    assert sum(len(payloads) for _, _, payloads in runs) == len(marks) == sum(r.first is not None for r in made)
+
+
 def test_repeated_rows_without_ids_go(spark):
     text = "".join(random.Random(8).choices("abcdefgh", k=500))
     rows = [(None, text), (None, text), (3, text + "tail"), (4, None), (4, None)]
